@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, quality_rules
 
 QUERIES = {
+    "op2_quality_rules": quality_rules.op2_quality_rules,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
 SQL = {
+    "op2_quality_rules": quality_rules.OP2_SQL,
     "op4_mix_sources": mixing.OP4_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
