@@ -11,7 +11,7 @@ from .common import WS, materialize, table
 BROADCAST_DIGESTS = 400_000
 
 
-def _normalised(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame:
+def _normalised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(
         F.col(id_col).alias("id"),
@@ -22,11 +22,10 @@ def _normalised(docs: DataFrame, id_col: str, text_col: str, salts: int) -> Data
         "n_cp",
         "norm",
         F.sha2(F.col("norm"), 256).alias("digest"),
-        F.pmod(F.hash("id", "n_cp"), F.lit(salts)).alias("salt"),
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_salt: int = 1000) -> DataFrame:
     """One row for each row of docs: id_col, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical without white space; null counts as empty. Of equal texts the row
@@ -36,22 +35,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Digests that occur once need no comparison. For the others, each task first combines its own
     equal contents (Spark's partial aggregation), then (digest, content, salt) groups are merged, and
-    at last the salt winners of each (digest, content). The members meet their winner by digest, salt
-    and whole content, so a hot group of copies is spread over the salts in every shuffle.
+    at last the salt winners of each (digest, content). A digest has one salt for every rows_per_salt of
+    its rows. The members meet their winner by digest, salt and whole content, so a hot group of copies
+    is spread over its salts in every shuffle, and small groups are not written more than once.
     """
-    base = _normalised(docs, id_col, text_col, salts)
-    repeated = materialize(base.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"))
+    base = _normalised(docs, id_col, text_col)
+    salts = (F.lit(1) + F.floor(F.col("n") / rows_per_salt)).cast("int").alias("salts")
+    repeated = materialize(base.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", salts))
     small = repeated.count() <= BROADCAST_DIGESTS
     marked = F.broadcast(repeated) if small else repeated
 
     rank = F.struct((-F.col("n_cp")).alias("neg_cp"), F.col("id").isNull().alias("no_id"), "id")
-    members = base.join(marked, "digest", "left_semi")
+    members = base.join(marked, "digest").withColumn("salt", F.pmod(F.hash("id", "n_cp"), F.col("salts")))
     winners = (
         members.groupBy("digest", "norm", "salt")
-        .agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n"), F.max("salts").alias("salts"))
         .groupBy("digest", "norm")
-        .agg(F.min("best").alias("best"), F.sum("n").alias("group_size"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        .agg(F.min("best").alias("best"), F.sum("n").alias("group_size"), F.max("salts").alias("salts"))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        .drop("salts")
     )
     found = members.join(winners, ["digest", "salt", "norm"]).select(
         F.col("id"),
