@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, quality_rules
+from . import bpe, exact_dedup, mixing, quality_rules, simhash
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_simhash": simhash.op9_simhash,
 }
 
 SQL = {
