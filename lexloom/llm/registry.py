@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, mixing, quality_model, quality_rules, simhash
+from . import bpe, chat, exact_dedup, langid, mixing, quality_model, quality_rules, simhash, warc
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_warc": warc.op5_warc,
+    "op6_chat_format": chat.op6_chat_format,
     "op7_language_id": langid.op7_language_id,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_simhash": simhash.op9_simhash,
@@ -17,5 +19,7 @@ QUERIES = {
 SQL = {
     "op2_quality_rules": quality_rules.OP2_SQL,
     "op4_mix_sources": mixing.OP4_SQL,
+    "op5_warc": warc.OP5_SQL,
+    "op6_chat_format": chat.OP6_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
