@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, langid, mixing, quality_model, quality_rules, simhash, warc
+from . import bpe, chat, exact_dedup, langid, mixing, quality_model, quality_rules, simhash, suffix_dedup, warc
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_warc": warc.op5_warc,
     "op6_chat_format": chat.op6_chat_format,
