@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Typographic characters with one plain counterpart each, in pairs.
-CURLY, PLAIN = "“”‘’–— ", "\"\"''-- "
+CURLY, PLAIN = "“”‘’–—\u00a0", "\"\"''-- "
 
 # Lines that start so are navigation or footer.
 BOILERPLATE = (
