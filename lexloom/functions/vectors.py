@@ -21,10 +21,16 @@ def norm(v: Column | str) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once for a row, however often and wherever use refers to it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def l2_normalize(v: Column | str) -> Column:
     """The vector over its norm; null for a zero vector."""
-    size = norm(v)
-    return F.when(size > 0, F.transform(v, lambda x: (x.cast("double") / size).cast("float")))
+    v = F.col(v) if isinstance(v, str) else v
+    scaled = lambda x, size: F.when(size > 0, F.transform(x, lambda e: (e.cast("double") / size).cast("float")))
+    return let(v, lambda x: let(norm(x), lambda size: scaled(x, size)))
 
 
 def vector_fault(v: Column | str, dim: int) -> Column:
@@ -59,8 +65,8 @@ def register_embedder(model: str, dim: int, factory: Callable[[], Callable[[list
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
     """Counts of tokens hashed into dim slots, normalised: deterministic and native."""
     slots = F.transform(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("float"))
-    return l2_normalize(counts)
+    count = lambda own: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(own, lambda s: s == i)).cast("float"))
+    return l2_normalize(let(slots, count))
 
 
 def embed_table(df: DataFrame, text_col: str, model: str | None = None, batch: int = 50, dim: int = 64) -> DataFrame:

@@ -11,7 +11,7 @@ from lexloom.operators import intent as I
 from lexloom.operators import prompts as P
 from lexloom.operators import retrieval as R
 from lexloom.operators.filters import query_fault
-from lexloom.session import table
+from lexloom.session import materialize, table
 from lexloom.sources.readers import read_dimension
 
 from .facts import _questions as facts_questions
@@ -25,15 +25,18 @@ def answer_batch(questions: DataFrame, facts: DataFrame, corpus: DataFrame, temp
     answer_type: invalid (with the reason as answer), facts (answered by a rule), prompt (the filled
     template, context included, ready for a language model). Questions that a rule answers never reach
     the retrieval. corpus: chunk_id, text, vec, author, year, kind, category; the text is joined to the
-    chosen rows only after the top k.
+    chosen rows only after the top k. Facts, rule answers and routes are written once, as several branches
+    read them.
     """
     checked = questions.withColumn("_fault", query_fault(F.col("question")))
     bad = checked.where("_fault is not null").select("question_id", F.lit("invalid").alias("answer_type"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("intent"), F.lit(None).cast("string").alias("template"), F.col("_fault").alias("answer"))
     good = checked.where("_fault is null").select("question_id", "question")
-    known = X.answer_facts(good, facts, award)
+    facts = materialize(facts)  # each rule reads it
+    known = materialize(X.answer_facts(good, facts, award))
     by_rule = known.select("question_id", F.lit("facts").alias("answer_type"), "rule", F.lit("factual").alias("intent"), F.lit(None).cast("string").alias("template"), "answer")
     rest = good.join(known.select("question_id"), "question_id", "left_anti")
     routed = I.route(I.classify(rest, "question", weights)).withColumn("template", I.template_name(F.col("intent"), F.lit(None).cast("string"), F.col("question")))
+    routed = materialize(routed)
     asked = routed.select(F.col("question_id").alias("query_id"), hashed_embedding(F.col("question"), dim).alias("vec"), F.col("top_k").alias("k"))
     found = R.top_k(asked, corpus, None, None, dim)
     limits = routed.select(F.col("question_id").alias("query_id"), "score_threshold", "min_return", "max_return")

@@ -8,7 +8,7 @@ from lexloom.functions import text as T
 from lexloom.operators import facts as X
 from lexloom.operators import filters as P
 from lexloom.operators import merge as M
-from lexloom.session import table
+from lexloom.session import materialize, table
 
 
 def facts_table(spark, sf):
@@ -120,7 +120,7 @@ def facts_texts(spark, sf):
 
 
 def facts_answers(spark, sf):
-    return X.answer_facts(_questions(spark, sf), _spaced(spark, sf))
+    return X.answer_facts(materialize(_questions(spark, sf)), materialize(_spaced(spark, sf)))
 
 
 def rule_match(spark, sf):

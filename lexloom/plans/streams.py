@@ -11,7 +11,7 @@ from .questions import WEIGHTS
 
 
 def _stream(spark, sf, name):
-    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parquet")
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")  # a pattern, as the table may be one file
 
 
 def _events(spark, sf):

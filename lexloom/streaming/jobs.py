@@ -2,29 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lexloom.operators.intent import classify
 from lexloom.operators.merge import upsert
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder for checkpoints and outputs below spark.checkpoint.dir; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{base.rstrip('/')}/streams-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+from lexloom.session import shared_folder
 
 
 def run_available(stream: DataFrame, mode: str = "append", partition_by: str | None = None, fmt: str = "parquet") -> DataFrame:
     """Process all that is there into files and give them back as a table. Complete mode goes through foreachBatch."""
     spark = stream.sparkSession
-    folder = shared_folder(spark)
+    folder = shared_folder(spark, "streams")
     out = f"{folder}/out"
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint")
     if mode == "append":
@@ -38,16 +31,16 @@ def run_available(stream: DataFrame, mode: str = "append", partition_by: str | N
 
 def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None]) -> None:
     """foreachBatch over all that is there."""
-    folder = shared_folder(stream.sparkSession)
+    folder = shared_folder(stream.sparkSession, "streams")
     stream.writeStream.foreachBatch(step).trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").start().awaitTermination()
 
 
-def pair_live(events: DataFrame, idle: str = "1 hour") -> DataFrame:
+def pair_live(events: DataFrame, idle: str = "1 day", late: str = "2 hours") -> DataFrame:
     """Ends right after a start, log by log: columns key, ts, id, kind (start, done, fail) in; key, start_id,
     end_id, status out.
 
-    State is the pending start of each log, dropped after `idle` without lines. Lines of a batch are taken
-    in the order of their time; a log's batches arrive in order.
+    State is the pending start of each log, dropped when the watermark is `idle` past the log's last line.
+    Lines of a batch are taken in the order of their time; a log's batches arrive in order.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -66,14 +59,15 @@ def pair_live(events: DataFrame, idle: str = "1 hour") -> DataFrame:
                 pending = None
         if pending is not None:
             state.update((int(pending),))
-            state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
+            end = int(rows["ts"].iloc[-1].timestamp() * 1000) + int(pd.Timedelta(idle).total_seconds() * 1000)
+            state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
         if out:
             yield pd.DataFrame(out, columns=["key", "start_id", "end_id", "status"])
 
-    kept = events.where(F.col("kind").isin("start", "done", "fail"))
-    return kept.groupBy("key").applyInPandasWithState(step, "key long, start_id long, end_id long, status string", "pending long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    kept = events.where(F.col("kind").isin("start", "done", "fail")).withWatermark("ts", late)
+    return kept.groupBy("key").applyInPandasWithState(step, "key long, start_id long, end_id long, status string", "pending long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def tail(lines: DataFrame, keywords: list[str], col: str = "value") -> DataFrame:
@@ -105,7 +99,7 @@ def upsert_stream(changes: DataFrame, start: DataFrame, keys: list[str], order:
     one, so a batch that is tried again starts from the same table.
     """
     spark = start.sparkSession
-    folder = shared_folder(spark)
+    folder = shared_folder(spark, "streams")
     start.write.parquet(f"{folder}/v-1")
     done = {-1: f"{folder}/v-1"}
 
