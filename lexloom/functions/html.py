@@ -91,8 +91,8 @@ def parse_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
                     [*rest, "blocks", "links"],
                 )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name != html_col)
-    return shaped.mapInArrow(run, f"{schema}, blocks {BLOCKS}, links array<struct<href: string, text: string>>")
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name != html_col]
+    return shaped.mapInArrow(run, ", ".join([*schema, f"blocks {BLOCKS}", "links array<struct<href: string, text: string>>"]))
 
 
 def _texts(blocks: Column, *tags: str) -> Column:

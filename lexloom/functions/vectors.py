@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
 
@@ -100,5 +101,4 @@ def embed_table(df: DataFrame, text_col: str, model: str | None = None, batch: i
                 vectors = pa.array([None if v is None else v.tolist() for v in out], pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, vectors], [*part.schema.names, "embedding"])
 
-    schema = df.schema.add("embedding", "array<float>")
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("embedding", ArrayType(FloatType()))]))
