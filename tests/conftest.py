@@ -3,15 +3,13 @@ import sys
 from pathlib import Path
 
 import pytest
+from tables import SMALL, TABLES
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 os.environ.setdefault("OMP_NUM_THREADS", "1")
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SMALL = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SMALL
+from tables import SMALL
 from lexloom.plans import catalog
 
 
