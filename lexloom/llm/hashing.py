@@ -54,7 +54,7 @@ def scatter(x: np.ndarray, bits: int, salt: int = 0) -> np.ndarray:
 
 def sums(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Sum of values[begin:end] for each pair; empty ranges give 0."""
-    total = np.concatenate([np.zeros(1, np.float64 if values.dtype.kind == "f" else np.int64), np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)])
-    end = np.maximum(begin, np.minimum(end, len(values)))
+    kind = np.float64 if values.dtype.kind == "f" else np.int64
+    total = np.concatenate([np.zeros(1, kind), np.cumsum(values, dtype=kind)])
     begin = np.minimum(begin, len(values))
-    return total[np.maximum(begin, end)] - total[begin]
+    return total[np.clip(end, begin, len(values))] - total[begin]
