@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import fill_template
+from lexloom.session import small
 
 
 def _known(c: Column) -> Column:
@@ -53,5 +54,5 @@ def assemble_context(df: DataFrame, by: str, style: str | None = None) -> DataFr
 
 def build_prompts(questions: DataFrame, contexts: DataFrame, templates: DataFrame, by: str = "question_id") -> DataFrame:
     """by, template, prompt: the question's template (named in template) with query and context filled in."""
-    joined = questions.join(contexts, by, "left").join(F.broadcast(templates.select(F.col("name").alias("template"), F.col("template").alias("_body"))), "template", "left")
+    joined = questions.join(contexts, by, "left").join(small(templates.select(F.col("name").alias("template"), F.col("template").alias("_body"))), "template", "left")
     return joined.select(by, "template", fill_template(F.col("_body"), query=F.col("question"), context=F.col("context")).alias("prompt"))

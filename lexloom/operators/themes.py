@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import tokens, without_stop_words
+from lexloom.functions.vectors import let
+from lexloom.session import small
 
 
 def lemmas(toks: Column, dictionary: dict[str, str]) -> Column:
@@ -19,16 +21,16 @@ def lemmas(toks: Column, dictionary: dict[str, str]) -> Column:
 def _hits(df: DataFrame, id_col: str, text_col: str, themes: DataFrame, dictionary: dict[str, str] | None) -> DataFrame:
     """id, theme, keyword for each keyword of one word among a row's tokens or lemmas, and for each phrase in its text."""
     toks = tokens(F.col(text_col))
-    every = F.array_union(toks, lemmas(toks, dictionary or {}))
+    every = let(toks, lambda t: F.array_union(t, lemmas(t, dictionary))) if dictionary else toks
     single = themes.where(~F.contains("keyword", F.lit(" ")))
-    by_token = df.select(id_col, F.explode(F.array_distinct(every)).alias("keyword")).join(F.broadcast(single), "keyword")
+    by_token = df.select(id_col, F.explode(F.array_distinct(every)).alias("keyword")).join(small(single), "keyword")
     phrases = themes.where(F.contains("keyword", F.lit(" "))).withColumn("_head", F.get(tokens(F.col("keyword")), 0))
     heads = [r["_head"] for r in phrases.select("_head").distinct().collect()]  # a dimension's, hence few
     if not heads:
         return by_token.select(id_col, "theme", "keyword").distinct()
     opened = F.array_intersect(toks, F.array(*map(F.lit, heads)))
     text = df.select(id_col, F.lower(text_col).alias("_t"), opened.alias("_heads")).where(F.size("_heads") > 0).select(id_col, "_t", F.explode("_heads").alias("_head"))
-    by_phrase = text.join(F.broadcast(phrases), "_head").where(F.contains("_t", F.col("keyword")))
+    by_phrase = text.join(small(phrases), "_head").where(F.contains("_t", F.col("keyword")))
     return by_token.select(id_col, "theme", "keyword").unionByName(by_phrase.select(id_col, "theme", "keyword")).distinct()
 
 
@@ -44,7 +46,7 @@ def extract_themes(df: DataFrame, id_col: str, text_col: str, themes: DataFrame,
 def expand_keywords(df: DataFrame, id_col: str, text_col: str, themes: DataFrame, dictionary: dict[str, str] | None = None) -> DataFrame:
     """id and all keywords, sorted, of the themes found in the text."""
     found = _hits(df, id_col, text_col, themes, dictionary).select(id_col, "theme").distinct()
-    return found.join(F.broadcast(themes), "theme").groupBy(id_col).agg(F.sort_array(F.collect_set("keyword")).alias("keywords"))
+    return found.join(small(themes), "theme").groupBy(id_col).agg(F.sort_array(F.collect_set("keyword")).alias("keywords"))
 
 
 def expansion_debug(df: DataFrame, id_col: str, text_col: str, themes: DataFrame, stop: tuple[str, ...] = ()) -> DataFrame:
