@@ -76,10 +76,10 @@ def tail(lines: DataFrame, keywords: list[str], col: str = "value") -> DataFrame
 
 
 def per_window(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "2 hours", by: tuple[str, ...] = ()) -> DataFrame:
-    """Rows and mean value of each (sliding) window: start, n, avg_value. Rows later than `late` are dropped."""
+    """Rows and total value of each (sliding) window: start, n, total_value. Rows later than `late` are dropped."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
-    counted = events.withWatermark("ts", late).groupBy(w, *by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("avg_value"))
-    return counted.select(F.col("window.start").alias("start"), *by, "n", "avg_value")
+    counted = events.withWatermark("ts", late).groupBy(w, *by).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total_value"))
+    return counted.select(F.col("window.start").alias("start"), *by, "n", "total_value")
 
 
 def drop_repeats(events: DataFrame, ids: list[str], late: str = "2 hours") -> DataFrame:
