@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .filters import since
+
 PRICE_PER_1K = 0.0015
 
 
@@ -149,3 +151,20 @@ def parse_service_log(lines: DataFrame, start: str, done: str, fail: str) -> Dat
         group(done, 2).try_cast("int").alias("total_tokens"),
         group(fail, 1).alias("error"),
     ).where("kind is not null")
+
+
+def dashboard(df: DataFrame, now: str, hours: float = 24, n: int = 5) -> DataFrame:
+    """One row over the last hours before now: totals, success rate, times, tokens, cost, and the n most
+    frequent intents (ties by name). Rows at the very start of the span don't count."""
+    recent = since(df, "ts", hours=hours, now=now)
+    totals = recent.agg(
+        F.count(F.lit(1)).alias("total"),
+        rate(F.count_if(~F.coalesce("failed", F.lit(False))), F.count(F.lit(1)), 1).alias("success_rate"),
+        F.round(F.sum("total_time_ms"), 2).alias("sum_time_ms"),
+        F.sum(F.coalesce("total_tokens", F.lit(0))).cast("long").alias("total_tokens"),
+        F.round(F.sum("cost_usd"), 6).alias("total_cost"),
+        F.max("ts").cast("string").alias("last_ts"),
+    )
+    counted = recent.groupBy("intent").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "intent").limit(n)
+    listed = counted.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "intent"))), lambda x: x["intent"]), ",").alias("top_intents"))
+    return totals.withColumn("_k", F.lit(1)).join(listed.withColumn("_k", F.lit(1)), "_k").drop("_k")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.functions.vectors import vector_fault
+from lexloom.functions.vectors import embed_table, vector_fault
 
 from .filters import apply_filters
 
@@ -150,3 +150,24 @@ def adaptive_k(question: Column, broad: tuple[str, ...], creative: tuple[str, ..
     low = F.lower(question)
     some = lambda ws: F.coalesce(low.rlike("|".join(ws)), F.lit(False)) if ws else F.lit(False)
     return F.when(some(broad), k[0]).when(some(creative), k[1]).otherwise(k[2])
+
+
+def retrieve_texts(questions: DataFrame, corpus: DataFrame, model: str | None = None, dim: int = 64, **options) -> DataFrame:
+    """retrieve() for questions given as text (query_id, question): they are embedded like the corpus was."""
+    asked = embed_table(questions.select("query_id", "question"), "question", model, dim=dim).withColumnRenamed("embedding", "vec")
+    return retrieve(asked.select("query_id", "vec"), corpus, dim=dim, **options)
+
+
+def similarity_map(expansions: DataFrame, digits: int = 4) -> DataFrame:
+    """query_id and a map from term to similarity, for the audit record."""
+    pairs = F.array_sort(F.collect_list(F.struct(F.col("term_id").cast("string").alias("term"), F.round("similarity", digits).alias("s"))))
+    known = expansions.where(F.col("term_id").isNotNull())
+    return known.groupBy("query_id").agg(F.map_from_entries(pairs).alias("similarities"))
+
+
+def ranked_intersection(expanded: DataFrame, scored: DataFrame, n: int | None = None) -> DataFrame:
+    """The terms of an expansion (query_id, term_id) that were also scored (query_id, term_id, similarity), best first."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "term_id")
+    both = scored.join(expanded.select("query_id", "term_id").distinct(), ["query_id", "term_id"], "left_semi")
+    out = both.withColumn("rank", F.row_number().over(order) - 1)
+    return out.where(F.col("rank") < n) if n is not None else out

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import tokens, without_stop_words
-from lexloom.functions.vectors import let
+from lexloom.functions.vectors import embed_table, let
 from lexloom.session import small
 
 
@@ -62,3 +62,13 @@ def focus_text(text: Column, keywords: list[str], stop: tuple[str, ...]) -> Colu
     hit = F.array_join(F.filter(tokens(text), lambda w: w.isin(*keywords)), " ")
     rest = F.array_join(without_stop_words(text, stop), " ")
     return F.coalesce(F.nullif(hit, F.lit("")), F.nullif(rest, F.lit("")), text)
+
+
+def term_vectors(themes: DataFrame, model: str | None = None, dim: int = 64) -> DataFrame:
+    """keyword and embedding of every distinct keyword; keywords without a vector are left out."""
+    return embed_table(themes.select("keyword").distinct(), "keyword", model, dim=dim).where(F.col("embedding").isNotNull())
+
+
+def refresh_term_vectors(themes: DataFrame, path: str, model: str | None = None, dim: int = 64) -> None:
+    """Write the term vectors anew; retrieval then reads them as a table."""
+    term_vectors(themes, model, dim).write.mode("overwrite").parquet(path)

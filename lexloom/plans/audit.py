@@ -63,6 +63,10 @@ def audit_lookback(spark, sf):
     return recent.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("avg_value"), F.max("ts").cast("string").alias("last_ts"))
 
 
+def dashboard(spark, sf):
+    return A.dashboard(events(spark, sf), "2024-01-20 00:00:00", 48)
+
+
 def log_pairing(spark, sf):
     kind = F.when(F.col("event_type") == "click", "start").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "fail")
     e = table(spark, sf, "events").withColumn("kind", kind)
@@ -110,7 +114,7 @@ def jsonl_validate(spark, sf):
     return jsonl_counts(e.select(line.alias("value")), ["k"])
 
 
-QUERIES = {f.__name__: f for f in (audit_summary, audit_intents, audit_errors, audit_error_rows, audit_llm_stats, audit_cost, audit_export_rows, audit_focused, audit_lookback, log_pairing, querylog_stats, querylog_union, word_freq, recent_queries, prompt_stats, expansion_stats, expansion_summary, jsonl_validate)}
+QUERIES = {f.__name__: f for f in (audit_summary, audit_intents, audit_errors, audit_error_rows, audit_llm_stats, audit_cost, audit_export_rows, audit_focused, audit_lookback, dashboard, log_pairing, querylog_stats, querylog_union, word_freq, recent_queries, prompt_stats, expansion_stats, expansion_summary, jsonl_validate)}
 
 _E = """
 with e as (select event_id, ts, user_id, event_type as intent, event_type = 'error' as failed, value as total_time_ms, (props->>'$.k')::int as total_tokens,
@@ -129,6 +133,10 @@ SQL = {
     "audit_export_rows": "select event_id, case when event_type = 'error' then 'Yes' else 'No' end as failed, event_type || ', ' || user_id as terms, 'answer ' || event_type as final_answer, (7 + length(event_type))::int as answer_length from events",
     "audit_focused": "with t as (select doc_id, lang, case when length(text) > 500 then text[1:500] || '...' else text end as x, case when n_chars > 2000 then 'Yes' else 'No' end as long from documents) select doc_id, lang, md5(x) as text_md5, length(x)::int as length, long from t",
     "audit_lookback": "select event_type, count(*) as n, round(avg(value), 4) as avg_value, max(ts)::varchar as last_ts from events where ts > timestamp '2024-01-29 00:00:00' group by 1",
+    "dashboard": _E
+    + """, r as (select * from e where ts > timestamp '2024-01-18 00:00:00')
+select count(*) as total, round(100.0::double * count(*) filter (not failed) / count(*), 1) as success_rate, round(sum(total_time_ms), 2) as sum_time_ms, sum(total_tokens)::bigint as total_tokens, round(sum(cost_usd), 6) as total_cost,
+ max(ts)::varchar as last_ts, (select string_agg(intent, ',' order by n desc, intent) from (select intent, count(*) as n from r group by 1 order by n desc, intent limit 5)) as top_intents from r""",
     "log_pairing": """with k as (select *, case event_type when 'click' then 'start' when 'purchase' then 'done' when 'error' then 'fail' end as kind from events where event_type in ('click', 'purchase', 'error')),
 p as (select *, lag(kind) over w as before, lag(event_id) over w as start_event_id, lag(value) over w as start_value from k window w as (partition by user_id order by ts, event_id))
 select user_id, event_id, start_event_id, start_value, case kind when 'done' then 'completed' else 'failed' end as status from p where kind <> 'start' and before = 'start'""",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.vectors import l2_normalize, norm, uuid5, vector_fault
 from lexloom.operators import retrieval as R
-from lexloom.session import table
+from lexloom.session import register_sql, table
 
 DIM = 64
 
@@ -99,6 +99,24 @@ def vector_publish_ids(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", uuid5(F.concat(F.lit("chunk_"), F.col("vec_id").cast("string"))).alias("point_id"), "label")
 
 
+def expansion_map(spark, sf):
+    m = R.similarity_map(ranked_expansion(spark, sf))
+    return m.select("query_id", F.array_join(F.transform(F.array_sort(F.map_keys("similarities")), lambda k: F.concat(k, F.lit("="), F.format_string("%.4f", F.element_at("similarities", k)))), "|").alias("terms"))
+
+
+def expansion_intersection(spark, sf):
+    scored = R.expand_ranked(_queries(spark, sf), _corpus(spark, sf), 0.3, 20).where("term_id is not null")
+    same_label = _corpus(spark, sf).select(F.col("chunk_id").alias("term_id"), "label").where("label < 5")
+    expanded = scored.select("query_id", "term_id").join(same_label, "term_id").select("query_id", "term_id")
+    return R.ranked_intersection(expanded, scored, 10)
+
+
+def sql_functions(spark, sf):
+    register_sql(spark)
+    table(spark, sf, "embeddings").createOrReplaceTempView("lex_embeddings")
+    return spark.sql("SELECT vec_id, round(lex_dot(embedding, embedding), 4) AS self, round(lex_norm(embedding), 4) AS norm, lex_words(concat('a  b ', vec_id)) AS n_words, lex_squeeze(concat(' a  ', vec_id)) AS squeezed FROM lex_embeddings")
+
+
 _SCORES = """
 with q as (select vec_id as query_id, embedding::double[] as v from embeddings where vec_id % 50 = 0),
 s as (select q.query_id, e.vec_id as chunk_id, e.label, round(list_dot_product(q.v, e.embedding::double[]), 6) as score
@@ -127,7 +145,7 @@ select query_id, chunk_id, term_id, boost_factor, score,
 from n where case when enough then score >= {threshold}::double else rn < {least} end and rn < {most}"""
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, vector_topk_fallback, vector_topk_metadata, vector_adaptive_k, term_weighted_retrieval, term_union_retrieval, retrieval_report, ranked_expansion, score_stats, reason_counts, vector_norms, vector_normalized, vector_quality, vector_publish_ids)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, vector_topk_fallback, vector_topk_metadata, vector_adaptive_k, term_weighted_retrieval, term_union_retrieval, retrieval_report, ranked_expansion, expansion_map, expansion_intersection, sql_functions, score_stats, reason_counts, vector_norms, vector_normalized, vector_quality, vector_publish_ids)}
 
 _NORM = "sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double)))"
 SQL = {
@@ -140,6 +158,9 @@ SQL = {
     "term_union_retrieval": _terms_sql("1.0::double", 10, 0.35, 3, 10),
     "retrieval_report": _SCORES + " select query_id % 100 as question, count(*) as n_found, count(distinct chunk_id) as n_unique, max(score) as best_score from r where rank < 5 group by 1",
     "ranked_expansion": _SCORES + " select q.query_id, n.chunk_id as term_id, coalesce(n.score, 1.0::double) as similarity from q left join (select * from r where rank < 20 and score >= 0.3::double) n on n.query_id = q.query_id",
+    "expansion_map": _SCORES + " select query_id, string_agg(chunk_id::varchar || '=' || printf('%.4f', round(score, 4)), '|' order by chunk_id::varchar) as terms from r where rank < 20 and score >= 0.3::double group by 1",
+    "expansion_intersection": _SCORES + ", x as (select * from r where rank < 20 and score >= 0.3::double and label < 5) select query_id, chunk_id as term_id, score as similarity, row_number() over (partition by query_id order by score desc, chunk_id) - 1 as rank from x qualify row_number() over (partition by query_id order by score desc, chunk_id) <= 10",
+    "sql_functions": "select vec_id, 1.0::double as self, 1.0::double as norm, 3 as n_words, 'a ' || vec_id as squeezed from embeddings",
     "score_stats": _SCORES + " select query_id, count(*) as n, round(avg(score), 6) as mean_score, round(stddev_pop(score), 6) as std_score, min(score) as min_score, max(score) as max_score, round(median(score), 6) as median_score from r where rank < 15 group by 1",
     "reason_counts": _FALLBACK + " select filtering_reason, count(*) as n, count(distinct query_id) as n_queries from f group by 1",
     "vector_norms": f"select label, count(*) as vectors, round(avg(n), 6) as mean_norm, round(stddev_pop(n), 6) as std_norm, round(min(n), 6) as min_norm, round(max(n), 6) as max_norm, count(*) filter (n <= 1e-8) as zero_vectors from (select label, {_NORM} as n from embeddings) group by 1",

@@ -49,3 +49,19 @@ def small(df: DataFrame) -> DataFrame:
     """df marked for broadcast if it is small: its rows are counted first. Beyond the bound it stays as it is and
     Spark chooses the join."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+# Scalar functions for SQL: name, parameters, result, body.
+SQL_FUNCTIONS = (
+    ("lex_dot", "a ARRAY<FLOAT>, b ARRAY<FLOAT>", "DOUBLE", "aggregate(zip_with(a, b, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), CAST(0 AS DOUBLE), (s, x) -> s + x)"),
+    ("lex_norm", "v ARRAY<FLOAT>", "DOUBLE", "sqrt(aggregate(v, CAST(0 AS DOUBLE), (s, x) -> s + CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))"),
+    ("lex_words", "t STRING", "INT", r"size(filter(split(coalesce(t, ''), '\\s+'), w -> w <> ''))"),
+    ("lex_squeeze", "t STRING", "STRING", r"trim(regexp_replace(t, '\\s+', ' '))"),
+)
+
+
+def register_sql(spark: SparkSession) -> list[str]:
+    """Make the scalar functions available to SQL in this session; gives their names."""
+    for name, parameters, result, body in SQL_FUNCTIONS:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {body}")
+    return [f[0] for f in SQL_FUNCTIONS]

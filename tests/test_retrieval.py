@@ -44,3 +44,16 @@ def test_parameters(spark, bad):
     df = spark.createDataFrame([(5, [1.0])], "query_id long, vec array<float>")
     with pytest.raises(ValueError):
         R.retrieve(df, df, **bad)
+
+
+def test_texts_are_embedded_like_the_corpus(spark):
+    from lexloom.functions.vectors import embed_table
+    from lexloom.operators.themes import term_vectors
+
+    docs = spark.createDataFrame([(1, "hope and light"), (2, "war and peace"), (3, "")], "chunk_id long, text string")
+    corpus = embed_table(docs, "text").withColumnRenamed("embedding", "vec")
+    asked = spark.createDataFrame([(9, "peace and war")], "query_id long, question string")
+    got = R.retrieve_texts(asked, corpus, k=1, threshold=0.2, min_return=1).collect()
+    assert [(r["chunk_id"], r["score"]) for r in got] == [(2, pytest.approx(1.0))]
+    themes = spark.createDataFrame([("a", "hope"), ("b", "hope"), ("b", "light")], "theme string, keyword string")
+    assert sorted(r["keyword"] for r in term_vectors(themes).collect()) == ["hope", "light"]
