@@ -31,6 +31,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lexloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """name, lengthened until no column of docs bears it (Spark ignores case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 @contextmanager
 def _shuffles_freed(spark: SparkSession):
     """Shuffle files of the writes inside are removed when each write has ended."""

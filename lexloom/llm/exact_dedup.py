@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, materialize, table
+from .common import WS, materialize, table, unused
 
 #: Digests of 32 bytes up to this number are broadcast; beyond it the same join shuffles.
 BROADCAST_DIGESTS = 400_000
@@ -73,9 +73,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_dedup drops; same columns. Ids identify rows here."""
     verdict = exact_dedup(docs, id_col, text_col)
-    dropped = materialize(verdict.where(~F.col("kept")).select(F.col(id_col).alias("_dropped")).distinct())
+    gone = unused(docs, "_dropped")
+    dropped = materialize(verdict.where(~F.col("kept")).select(F.col(id_col).alias(gone)).distinct())
     side = F.broadcast(dropped) if dropped.count() <= 4 * BROADCAST_DIGESTS else dropped
-    return docs.join(side, F.col(id_col).eqNullSafe(F.col("_dropped")), "left_anti")
+    return docs.join(side, F.col(id_col).eqNullSafe(F.col(gone)), "left_anti")
 
 
 def op8_exact_dedup(spark, sf_dir):

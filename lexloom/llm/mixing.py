@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_WS, materialize, table
+from .common import NOT_WS, materialize, table, unused
 
 
 def water_fill(sources: DataFrame, share_num: int = 3, share_den: int = 2, max_epochs: int = 2) -> DataFrame:
@@ -43,7 +43,7 @@ def plan_mix(
     source_col: str = "source",
     weights: tuple[int, ...] = (3, 1, 2),
     seed: str = "mix-1",
-    salts: int = 256,
+    rows_per_cell: int = 1_000_000,
 ) -> DataFrame:
     """How often each row of docs goes into the mix: id, size, source_size, target, repeats, taken.
 
@@ -54,8 +54,10 @@ def plan_mix(
     row is taken more than the cap allows. Rows without words are repeated zero times. Repeated rows
     are rows of their own. An empty table gives no rows.
 
-    The order within a source is never sorted as a whole: the digest's first byte deals a source out
-    over `salts` groups, whose sums are added up first; only (id, source, size, digest) is shuffled.
+    The order within a source is never sorted as a whole: one byte of the digest, and with more rows part
+    of a second, deal a source out over 256 to 65536 cells of about rows_per_cell rows at most. Their sums
+    are added up first, and how many cells there are doesn't change the order. Only (id, source, size,
+    digest) is shuffled.
     """
     sized = materialize(
         docs.select(
@@ -63,8 +65,11 @@ def plan_mix(
             F.col(source_col).alias("source"),
             F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(NOT_WS + "+")).cast("long").alias("size"),
             F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("u"),
-        ).withColumn("salt", F.conv(F.substring("u", 1, 4), 16, 10).cast("int") % salts)
+        )
     )
+    finer = max(1, min(256, -(-sized.count() // (256 * rows_per_cell))))
+    first, second = (F.conv(F.substring("u", at, 2), 16, 10).cast("int") for at in (3, 1))
+    sized = sized.withColumn("salt", first * finer + F.floor(second * finer / 256).cast("int"))
     cells = sized.groupBy("source", "salt").agg(F.sum("size").alias("cell_size"))
     totals = cells.groupBy("source").agg(F.sum("cell_size").alias("source_size"))
     order = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -90,9 +95,10 @@ def plan_mix(
 
 def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs, each as often as plan_mix says; same columns. Ids identify rows here."""
-    plan = plan_mix(docs, id_col, **options).where("repeats > 0").select(F.col(id_col).alias("_mix_id"), "repeats")
-    chosen = docs.join(plan, F.col(id_col).eqNullSafe(F.col("_mix_id")))
-    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).select(*[docs[c] for c in docs.columns])
+    key, times = unused(docs, "_mix_id"), unused(docs, "_mix_times")
+    plan = plan_mix(docs, id_col, **options).where("repeats > 0").select(F.col(id_col).alias(key), F.col("repeats").alias(times))
+    chosen = docs.join(plan, F.col(id_col).eqNullSafe(F.col(key))).drop(key)
+    return chosen.withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).drop(times)
 
 
 def op4_mix_sources(spark, sf_dir):

@@ -122,7 +122,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     mean = docs.agg(F.avg(F.length(text_col))).first()[0] or 1.0
     wanted = min(TRAIN_DOCS, TRAIN_CHARS / mean)
     chosen = usable.where(draw < min(1.0, wanted / n))
-    got = docs.join(F.broadcast(chosen), id_col).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), "_label")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    got = texts.join(F.broadcast(chosen.withColumnRenamed(id_col, "id")), "id").select("id", "text", "_label")
     rows = sorted((r["id"], r["text"], r["_label"]) for r in got.collect())
     return fit([r[1] for r in rows], np.array([r[2] for r in rows], np.int64))
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, unused
 from .components import components
 
 SEED = 42
@@ -270,11 +270,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that are near-duplicates of one with a smaller id; same columns."""
+    gone = unused(docs, "_dropped")
     dropped = materialize(
-        near_duplicates(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_dropped")).distinct()
+        near_duplicates(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct()
     )
     side = F.broadcast(dropped) if dropped.count() < 1_000_000 else dropped
-    return docs.join(side, F.col(id_col) == F.col("_dropped"), "left_anti")
+    return docs.join(side, F.col(id_col) == F.col(gone), "left_anti")
 
 
 def op9_simhash(spark, sf_dir):

@@ -135,6 +135,8 @@ def test_mix(spark, awkward):
     again = mixing.plan_mix(awkward)
     assert again.count() == awkward.count() and mixing.plan_mix(awkward.limit(0)).count() == 0
     assert mixing.mix(_docs(spark)).count() == sum(r["repeats"] for r in got)
+    finer = mixing.plan_mix(_docs(spark), rows_per_cell=1)
+    assert sorted(map(tuple, finer.collect())) == sorted(map(tuple, got))
 
 
 # 5
@@ -284,6 +286,20 @@ def test_quality_classifier(spark, awkward):
     assert set(quality_model.train(awkward, labels.limit(0)).scores(["", "a b"])) == {0.5}
 
 
+# stages
+
+
+@pytest.mark.parametrize("stage", [langid.keep_identified, exact_dedup.keep_first_copies, simhash.keep_one_of_each, mixing.mix])
+def test_stages_carry_columns_of_any_name(spark, awkward, stage):
+    names = ["_dropped", "_DROPPED_", "_mix_id", "_mix_times", "repeats", "_label", "component_id", "kept", "lang_pred"]
+    wide = awkward.withColumns({n: F.lit("x") for n in names})
+    got = stage(wide)
+    assert got.columns == wide.columns
+    plain = stage(awkward)
+    assert sorted(map(repr, got.select(*awkward.columns).collect())) == sorted(map(repr, plain.collect()))
+    assert stage(wide.limit(0)).count() == 0
+
+
 # pipeline
 
 
