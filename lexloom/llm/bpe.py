@@ -27,6 +27,7 @@ class Merges:
 
     def __init__(self, lines: bytes):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines()) if a}
+        self.spell = {rank: token for token, rank in self.ranks.items()}
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         left, right, to = [], [], []
         for token, rank in self.ranks.items():
@@ -114,7 +115,7 @@ class Merges:
         first = self.pairs(np.array(ids[:-1], np.int32), np.array(ids[1:], np.int32))
         heap = [(int(r), i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r != NONE]
         heapq.heapify(heap)
-        spell = {v: k for k, v in self.ranks.items()}
+        spell = self.spell
 
         def push(i: int, j: int) -> None:
             r = self.ranks.get(spell[ids[i]] + spell[ids[j]])
