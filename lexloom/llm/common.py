@@ -7,6 +7,7 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space as the contracts define it: space and U+0009 to U+000D. (Java and RE2 syntax.)
 WS = r"[\x20\x09-\x0D]"
@@ -65,3 +66,8 @@ def materialize(df: DataFrame) -> DataFrame:
     with _shuffles_freed(spark):
         df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs, written once with a number of its own for each row in the column name."""
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()))

@@ -2,51 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, materialize, table, unused
+from .common import WS, materialize, table
 
 #: Digests of 32 bytes up to this number are broadcast; beyond it the same join shuffles.
 BROADCAST_DIGESTS = 400_000
 
 
-def _normalised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _normalised(docs: DataFrame, id_col: str, text_col: str, carried: Column) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(
+        carried.alias("doc"),
         F.col(id_col).alias("id"),
         F.length(text).cast("long").alias("n_cp"),
         F.regexp_replace(text, WS + "+", "").alias("norm"),
-    ).select(
-        "id",
-        "n_cp",
-        "norm",
-        F.sha2(F.col("norm"), 256).alias("digest"),
-    )
-
+    ).select("doc", "id", "n_cp", "norm", F.sha2(F.col("norm"), 256).alias("digest"))
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_salt: int = 1000) -> DataFrame:
-    """One row for each row of docs: id_col, keep_id, group_size, kept, text_sha256.
 
-    Texts are equal when identical without white space; null counts as empty. Of equal texts the row
-    with the most code points stays, then the one with the smallest id (a null id comes last). Rows
-    that repeat the winner's id and length are all marked as kept. An empty table gives no rows;
-    further columns of docs are ignored, whatever their names.
+def _judged(docs: DataFrame, id_col: str, text_col: str, rows_per_salt: int, carried: Column) -> DataFrame:
+    """doc (what is carried of the row), keep_id, group_size, kept, digest for each row of docs.
 
-    Digests that occur once need no comparison. For the others, each task first combines its own
-    equal contents (Spark's partial aggregation), then (digest, content, salt) groups are merged, and
-    at last the salt winners of each (digest, content). A digest has one salt for every rows_per_salt of
-    its rows. The members meet their winner by digest, salt and whole content, so a hot group of copies
-    is spread over its salts in every shuffle, and small groups are not written more than once.
+    Rows that share a digest are written once with a number of their own, so a verdict belongs to its row
+    and not to all rows with its id.
     """
-    base = _normalised(docs, id_col, text_col)
+    base = _normalised(docs, id_col, text_col, carried)
     salts = (F.lit(1) + F.floor(F.col("n") / rows_per_salt)).cast("int").alias("salts")
     repeated = materialize(base.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", salts))
     small = repeated.count() <= BROADCAST_DIGESTS
     marked = F.broadcast(repeated) if small else repeated
 
+    members = materialize(base.join(marked, "digest").withColumn("row", F.monotonically_increasing_id()))
+    members = members.withColumn("salt", F.pmod(F.hash("row"), F.col("salts")))
     rank = F.struct((-F.col("n_cp")).alias("neg_cp"), F.col("id").isNull().alias("no_id"), "id")
-    members = base.join(marked, "digest").withColumn("salt", F.pmod(F.hash("id", "n_cp"), F.col("salts")))
     winners = (
         members.groupBy("digest", "norm", "salt")
         .agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n"), F.max("salts").alias("salts"))
@@ -56,27 +45,39 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .drop("salts")
     )
     found = members.join(winners, ["digest", "salt", "norm"]).select(
-        F.col("id"),
+        "doc",
         F.col("best.id").alias("keep_id"),
-        F.col("group_size"),
+        "group_size",
         (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("n_cp") == -F.col("best.neg_cp"))).alias("kept"),
-        F.col("digest"),
+        "digest",
     )
     single = base.join(marked, "digest", "left_anti").select(
-        "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest"
-    )
-    return single.unionByName(found).select(
-        F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256")
+        "doc", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest"
     )
+    return single.unionByName(found)
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_salt: int = 1000) -> DataFrame:
+    """One row for each row of docs: id_col, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical without white space; null counts as empty. Of equal texts the row
+    with the most code points stays, then the one with the smallest id (a null id comes last). Rows
+    that repeat the winner's id and length are all marked as kept. An empty table gives no rows;
+    further columns of docs are ignored, whatever their names.
+
+    Digests that occur once need no comparison. For the others, each task first combines its own
+    equal contents (Spark's partial aggregation), then (digest, content, salt) groups are merged, and
+    at last the salt winners of each (digest, content). A digest has one salt for every rows_per_salt of
+    its rows. The members meet their winner by digest, salt and whole content, so a hot group of copies
+    is spread over its salts in every shuffle, and small groups are not written more than once.
+    """
+    judged = _judged(docs, id_col, text_col, rows_per_salt, F.struct(F.col(id_col).alias("id")))
+    return judged.select(F.col("doc.id").alias(id_col), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
-def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_dedup drops; same columns. Ids identify rows here."""
-    verdict = exact_dedup(docs, id_col, text_col)
-    gone = unused(docs, "_dropped")
-    dropped = materialize(verdict.where(~F.col("kept")).select(F.col(id_col).alias(gone)).distinct())
-    side = F.broadcast(dropped) if dropped.count() <= 4 * BROADCAST_DIGESTS else dropped
-    return docs.join(side, F.col(id_col).eqNullSafe(F.col(gone)), "left_anti")
+def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_salt: int = 1000) -> DataFrame:
+    """docs without the rows that exact_dedup drops; same columns. Ids may be null or repeated."""
+    return _judged(docs, id_col, text_col, rows_per_salt, F.struct("*")).where("kept").select("doc.*")
 
 
 def op8_exact_dedup(spark, sf_dir):

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table, unused
+from .common import materialize, numbered, table, unused
 from .components import components
 
 SEED = 42
@@ -269,13 +269,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that are near-duplicates of one with a smaller id; same columns."""
-    gone = unused(docs, "_dropped")
-    dropped = materialize(
-        near_duplicates(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct()
-    )
+    """One row of docs for each component of near-duplicates; same columns.
+
+    The row with the smallest id stays (a null id comes last), and one of those that share this id. Ids may
+    be null or repeated: each row has a number of its own, which takes part in the order and in the filter.
+    """
+    row = unused(docs, "_row")
+    docs = numbered(docs, row)
+    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    judged = near_duplicates(docs.select(order.alias("key"), F.col(text_col).alias("text")), "key", "text")
+    dropped = materialize(judged.where("key.row != component_id.row").select(F.col("key.row").alias(row)))
     side = F.broadcast(dropped) if dropped.count() < 1_000_000 else dropped
-    return docs.join(side, F.col(id_col) == F.col(gone), "left_anti")
+    return docs.join(side, row, "left_anti").drop(row)
 
 
 def op9_simhash(spark, sf_dir):
