@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_WS, materialize, table, unused
+from .common import NOT_WS, materialize, numbered, table, unused
 
 
 def water_fill(sources: DataFrame, share_num: int = 3, share_den: int = 2, max_epochs: int = 2) -> DataFrame:
@@ -59,8 +59,17 @@ def plan_mix(
     are added up first, and how many cells there are doesn't change the order. Only (id, source, size,
     digest) is shuffled.
     """
+    planned = _planned(docs, F.lit(None).cast("long"), id_col, text_col, source_col, weights, seed, rows_per_cell)
+    return planned.drop("_row")
+
+
+def _planned(
+    docs: DataFrame, row: Column, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], seed: str, rows_per_cell: int
+) -> DataFrame:
+    """plan_mix with a column _row; it decides between rows of one id and size, and may be null where none is needed."""
     sized = materialize(
         docs.select(
+            row.alias("_row"),
             F.col(id_col).alias("id"),
             F.col(source_col).alias("source"),
             F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(NOT_WS + "+")).cast("long").alias("size"),
@@ -80,7 +89,7 @@ def plan_mix(
         F.col("source").alias("c_source"), F.col("salt").alias("c_salt"), "cell_before"
     )
     cells = cells.join(targets, F.col("c_source").eqNullSafe(F.col("source"))).drop("source")
-    within = Window.partitionBy("source", "salt").orderBy("u", F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "salt").orderBy("u", F.col("id").asc_nulls_last(), "size", "_row").rowsBetween(Window.unboundedPreceding, -1)
     ordered = sized.withColumn("own_before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     joined = ordered.join(cells, (F.col("salt") == F.col("c_salt")) & F.col("source").eqNullSafe(F.col("c_source")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -89,15 +98,28 @@ def plan_mix(
     return (
         joined.withColumn("whole", whole)
         .withColumn("repeats", F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("whole") + (middle < rest).cast("long")).cast("long"))
-        .select(F.col("id").alias(id_col), "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
+        .select("_row", F.col("id").alias(id_col), "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
     )
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs, each as often as plan_mix says; same columns. Ids identify rows here."""
-    key, times = unused(docs, "_mix_id"), unused(docs, "_mix_times")
-    plan = plan_mix(docs, id_col, **options).where("repeats > 0").select(F.col(id_col).alias(key), F.col("repeats").alias(times))
-    chosen = docs.join(plan, F.col(id_col).eqNullSafe(F.col(key))).drop(key)
+def mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[int, ...] = (3, 1, 2),
+    seed: str = "mix-1",
+    rows_per_cell: int = 1_000_000,
+) -> DataFrame:
+    """The rows of docs, each as often as plan_mix says; same columns. Ids may be null or repeated.
+
+    Each row has a number of its own, by which it meets its plan.
+    """
+    row, times = unused(docs, "_mix_row"), unused(docs, "_mix_times")
+    docs = numbered(docs, row)
+    plan = _planned(docs, F.col(row), id_col, text_col, source_col, weights, seed, rows_per_cell)
+    plan = plan.where("repeats > 0").select(F.col("_row").alias(row), F.col("repeats").alias(times))
+    chosen = docs.join(plan, row).drop(row)
     return chosen.withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).drop(times)
 
 

@@ -1,6 +1,12 @@
 """Stages on tables whose ids are null or repeated: verdicts belong to rows."""
 
-from lexloom.llm import exact_dedup, simhash
+import hashlib
+import re
+from collections import Counter
+
+import corpus_pipeline
+from lexloom.llm import exact_dedup, mixing, simhash
+from test_operators import _fingerprint, reference_encoder  # noqa: F401
 
 #: Null ids and repeated ids, once as a copy of another row and once with a text of their own.
 SHARED_IDS = [
@@ -34,3 +40,66 @@ def test_near_copies_of_shared_ids(spark):
     assert got == sorted([(1, SHARED_IDS[0][1]), (0, SHARED_IDS[3][1]), (0, SHARED_IDS[4][1]), (2, SHARED_IDS[6][1]), (3, SHARED_IDS[7][1])])
     alone = _table(spark, [(None, "a b c d", "en", "a"), (None, "A b  c d", "en", "a")])
     assert simhash.keep_one_of_each(alone).count() == 1
+
+
+def _mixed_by_hand(rows):
+    """Rows as often as the mix takes them, by clamping rounds and one walk over each source."""
+    sized = [(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), i, t, s) for i, t, _, s in rows]
+    names = sorted({s for *_, s in sized}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(x[0] for x in sized if x[3] == s) for s in names}
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    left, free, target = 1.5 * sum(size.values()), set(names), {}
+    while free:
+        level = left / sum(weight[s] for s in free)
+        full = {s for s in free if level * weight[s] > 2 * size[s]}
+        target |= {s: 2.0 * size[s] for s in full} if full else {s: level * weight[s] for s in free}
+        left -= sum(target[s] for s in full)
+        free = free - full if full else set()
+    taken = []
+    for s in names:
+        before, whole = 0, int(target[s] // size[s]) if size[s] else 0
+        digest = lambda i: hashlib.md5(f"mix-1:{'' if i is None else i}".encode()).hexdigest()
+        for n, i, t, _ in sorted((x for x in sized if x[3] == s), key=lambda x: (int(digest(x[1])[:4], 16) % 256, digest(x[1]), x[0])):
+            taken += [(i, t, s)] * ((whole + (before + n / 2 < target[s] - whole * size[s])) if n else 0)
+            before += n
+    return Counter(taken)
+
+
+MANY_IDS = [(None, " ".join(f"w{k}x{j}" for j in range(3 * k + 1)), "en", "ab"[k % 2]) for k in range(12)]
+MANY_IDS += [(7, " ".join(f"v{k}y{j}" for j in range(3 * k + 2)), "en", ["c", None][k % 2]) for k in range(8)]
+
+
+def test_mix_of_shared_ids(spark):
+    got = Counter((r["doc_id"], r["text"], r["source"]) for r in mixing.mix(_table(spark, MANY_IDS)).collect())
+    assert got == _mixed_by_hand(MANY_IDS) and max(got.values()) == 2
+
+
+def _pipeline_by_hand(rows, encoder):
+    rows = [r for r in rows if any(map(str.isalpha, r[1] or ""))]
+    rows.sort(key=lambda r: (-len(r[1]), r[0] is None, r[0] or 0))
+    first = {}
+    for r in rows:
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", "", r[1]), r)
+    rows = sorted(first.values(), key=lambda r: (r[0] is None, r[0] or 0))
+    fps = [_fingerprint(r[1]) for r in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if bin(fps[a] ^ fps[b]).count("1") <= 4:
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = [new if g == old else g for g in group]
+    mixed = _mixed_by_hand([r for k, r in enumerate(rows) if group[k] == k])
+    out = Counter()
+    for (i, t, _), n in mixed.items():
+        ids = encoder.encode_ordinary(t)
+        out[i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()] += n
+    return out
+
+
+def test_pipeline_by_brute_force(spark, tmp_path, reference_encoder):  # noqa: F811
+    rows = SHARED_IDS + MANY_IDS + [(50 + k, f"text number {k} about a thing of its own " * (k + 1), "de", "a") for k in range(6)]
+    rows += [(80, "123 456", "en", "a"), (81, None, "en", "a"), (82, "", None, None)]
+    rows += [(83, "Text number 1 about a thing of its own text number 1 about a thing of its own", "de", "b")]
+    _table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert Counter(map(tuple, got)) == _pipeline_by_hand(rows, reference_encoder)
