@@ -22,10 +22,10 @@ def _normalised(docs: DataFrame, id_col: str, text_col: str, carried: Column) ->
 
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, rows_per_salt: int, carried: Column) -> DataFrame:
-    """doc (what is carried of the row), keep_id, group_size, kept, digest for each row of docs.
+    """doc (what is carried of the row), keep_id, group_size, kept, equal, digest for each row of docs.
 
-    Rows that share a digest are written once with a number of their own, so a verdict belongs to its row
-    and not to all rows with its id.
+    equal marks the row that is kept and those with its id and length. Rows that share a digest are
+    written once with a number of their own, so a verdict belongs to its row and not to all rows with its id.
     """
     base = _normalised(docs, id_col, text_col, carried)
     salts = (F.lit(1) + F.floor(F.col("n") / rows_per_salt)).cast("int").alias("salts")
@@ -35,7 +35,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, rows_per_salt: int, car
 
     members = materialize(base.join(marked, "digest").withColumn("row", F.monotonically_increasing_id()))
     members = members.withColumn("salt", F.pmod(F.hash("row"), F.col("salts")))
-    rank = F.struct((-F.col("n_cp")).alias("neg_cp"), F.col("id").isNull().alias("no_id"), "id")
+    rank = F.struct((-F.col("n_cp")).alias("neg_cp"), F.col("id").isNull().alias("no_id"), "id", "row")
     winners = (
         members.groupBy("digest", "norm", "salt")
         .agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n"), F.max("salts").alias("salts"))
@@ -48,11 +48,12 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, rows_per_salt: int, car
         "doc",
         F.col("best.id").alias("keep_id"),
         "group_size",
-        (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("n_cp") == -F.col("best.neg_cp"))).alias("kept"),
+        (F.col("row") == F.col("best.row")).alias("kept"),
+        (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("n_cp") == -F.col("best.neg_cp"))).alias("equal"),
         "digest",
     )
     single = base.join(marked, "digest", "left_anti").select(
-        "doc", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest"
+        "doc", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lit(True).alias("equal"), "digest"
     )
     return single.unionByName(found)
 
@@ -61,8 +62,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row for each row of docs: id_col, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical without white space; null counts as empty. Of equal texts the row
-    with the most code points stays, then the one with the smallest id (a null id comes last). Rows
-    that repeat the winner's id and length are all marked as kept. An empty table gives no rows;
+    with the most code points stays, then the one with the smallest id (a null id comes last). Of
+    rows that repeat the winner's id and length one is marked as kept. An empty table gives no rows;
     further columns of docs are ignored, whatever their names.
 
     Digests that occur once need no comparison. For the others, each task first combines its own
@@ -75,9 +76,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return judged.select(F.col("doc.id").alias(id_col), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
-def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_salt: int = 1000) -> DataFrame:
-    """docs without the rows that exact_dedup drops; same columns. Ids may be null or repeated."""
-    return _judged(docs, id_col, text_col, rows_per_salt, F.struct("*")).where("kept").select("doc.*")
+def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_salt: int = 1000, repeats: bool = True) -> DataFrame:
+    """docs without copies; same columns. Ids may be null or repeated.
+
+    Without `repeats` exactly the rows that exact_dedup keeps stay, one of each group. With it, rows that
+    repeat the id and length of the kept row stay as well.
+    """
+    judged = _judged(docs, id_col, text_col, rows_per_salt, F.struct("*"))
+    return judged.where("equal" if repeats else "kept").select("doc.*")
 
 
 def op8_exact_dedup(spark, sf_dir):
