@@ -62,10 +62,12 @@ def build_corpus(entities: DataFrame, texts: DataFrame, shared: DataFrame, field
     named = entities.withColumn("lastname", last_name(F.col("full_name")))
     meta = [c for c in named.columns if c not in fields]
     own = named.select(*meta).join(texts, ["year_awarded", "lastname"])
-    common = named.select(*meta).join(shared, ["year_awarded"])
-    split = [own, common] + [named.select(*meta, F.lit(f).alias("source_type"), F.col(f).alias("text")) for f, cut in fields.items() if cut]
+    split = [own] + [named.select(*meta, F.lit(f).alias("source_type"), F.col(f).alias("text")) for f, cut in fields.items() if cut]
     whole = [named.select(*meta, F.lit(f).alias("source_type"), F.col(f).alias("text")) for f, cut in fields.items() if not cut]
     parts = [chunk(d.where("trim(text) <> ''"), "text", max_tokens, overlap, para_pattern) for d in split]
+    # a shared text is cut once and its chunks meet the entities of its year
+    common = chunk(shared.where("trim(text) <> ''"), "text", max_tokens, overlap, para_pattern)
+    parts.append(named.select(*meta).join(common, ["year_awarded"]))
     parts += [d.where("trim(text) <> ''").select(*meta, "source_type", F.lit(0).alias("chunk_index"), F.col("text").alias("chunk")) for d in whole]
     every = reduce(DataFrame.unionByName, parts)
     return every.withColumn("chunk_id", chunk_id(F.col("year_awarded"), F.col("lastname"), F.col("source_type"), F.col("chunk_index")))

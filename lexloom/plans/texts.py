@@ -92,11 +92,17 @@ def chunk_greedy_tokens(spark, sf):
     return whole.select("doc_id", F.md5(F.array_join(F.transform("x", lambda x: x["chunk"]), " ")).alias("words_md5"))
 
 
+def _year(key):
+    return (F.lit(1901) + F.col(key) % 100).cast("int")
+
+
 def corpus_build(spark, sf):
-    e = table(spark, sf, "customer").select(F.col("c_name").alias("full_name"), F.lit(2000).alias("year_awarded"), F.col("c_mktsegment").alias("motivation"), F.concat_ws(" ", "c_name", "c_mktsegment", F.col("c_custkey")).alias("life"))
+    """Entities of a hundred years with their own texts and the longest document of their year as its ceremony."""
+    e = table(spark, sf, "customer").select(F.col("c_name").alias("full_name"), _year("c_custkey").alias("year_awarded"), F.col("c_mktsegment").alias("motivation"), F.concat_ws(" ", "c_name", "c_mktsegment", F.col("c_custkey")).alias("life"))
     docs = _docs(spark, sf)
-    own = docs.select(F.lit(2000).alias("year_awarded"), F.concat(F.lit("customer#"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("lastname"), F.lit("lecture").alias("source_type"), "text")
-    shared = docs.where("doc_id < 0").select(F.lit(2000).alias("year_awarded"), F.lit("ceremony").alias("source_type"), "text")
+    own = docs.select(_year("doc_id").alias("year_awarded"), F.concat(F.lit("customer#"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("lastname"), F.lit("lecture").alias("source_type"), "text")
+    longest = F.max_by("text", F.struct(F.length("text"), -F.col("doc_id")))
+    shared = docs.groupBy(_year("doc_id").alias("year_awarded")).agg(longest.alias("text")).select("year_awarded", F.lit("ceremony").alias("source_type"), "text")
     built = C.build_corpus(e, own, shared, {"motivation": False, "life": True}, 200, 0, "\n")
     return built.groupBy("source_type").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("chunk_id").alias("ids"), F.count_distinct("full_name").alias("entities"))
 
