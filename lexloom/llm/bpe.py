@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
+from itertools import batched, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .hashing import runs, small_parts
 
 NONE = np.int32(2**31 - 1)
 #: Pieces of more bytes than this are merged by a heap of pairs, with the same result.
 MATRIX_BYTES = 256
-#: Cells of a matrix at a time, characters of text at a time, and pieces that a task remembers.
-MATRIX_CELLS = 1 << 20
-TEXT_CHARS = 1 << 20
-MEMORY_PIECES = 400_000
+#: Cells of a matrix, characters of text and pieces at a time.
+MATRIX_CELLS = 1 << 19
+TEXT_CHARS = 1 << 19
+PIECES_AT_ONCE = 1 << 16
+#: What a task remembers: pieces, and their characters in all.
+MEMORY_PIECES, MEMORY_CHARS = 300_000, 4 << 20
 
 
 class Merges:
@@ -27,7 +32,9 @@ class Merges:
 
     def __init__(self, lines: bytes):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines()) if a}
-        self.spell = {rank: token for token, rank in self.ranks.items()}
+        self.spell = [b""] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
+            self.spell[rank] = token
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         left, right, to = [], [], []
         for token, rank in self.ranks.items():
@@ -161,9 +168,12 @@ class Encoder:
     """Encodes texts piece by piece and remembers pieces that it has seen, up to a bound."""
 
     def __init__(self, merges: Merges, pattern: str):
-        self.merges, self.split = merges, regex.compile(pattern).findall
+        self.merges, self.pattern = merges, regex.compile(pattern)
+        self._forget()
+
+    def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.flat, self.starts, self.held = np.zeros(0, np.int32), np.zeros(1, np.int64), 0
 
     def _learn(self, pieces: set[str]) -> None:
         new = list(pieces)
@@ -171,13 +181,10 @@ class Encoder:
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         self.flat = np.concatenate([self.flat, *ids])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
+        self.held += sum(map(len, new))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and the number of ids of each text."""
-        split = [self.split(x) for x in texts]
-        pieces = [p for x in split for p in x]
-        if len(self.known) > MEMORY_PIECES:
-            self.known, self.flat, self.starts = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of the pieces, and where the ids of each piece end."""
         if new := set(pieces).difference(self.known):
             self._learn(new)
         at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
@@ -185,22 +192,24 @@ class Encoder:
         n = self.starts[at + 1] - first
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
-        where = np.arange(total) + np.repeat(first - (ends - n), n)
-        by_text = np.concatenate([[0], np.cumsum([len(x) for x in split])])
-        edges = np.concatenate([[0], ends])[by_text]
-        return self.flat[where], np.diff(edges)
-
-
-def _chunks(texts: list[str], most: int):
-    """Runs of texts with about `most` characters in all; a longer text is a run by itself."""
-    begin = size = 0
-    for i, x in enumerate(texts):
-        if size and size + len(x) > most:
-            yield begin, i
-            begin, size = i, 0
-        size += len(x)
-    if begin < len(texts):
-        yield begin, len(texts)
+        ids = self.flat[np.arange(total) + np.repeat(first - (ends - n), n)]
+        if len(self.known) > MEMORY_PIECES or self.held > MEMORY_CHARS:
+            self._forget()
+        return ids, ends
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Short texts are encoded together, long ones in blocks of their pieces."""
+        out: list[np.ndarray] = []
+        for a, b in runs(texts, TEXT_CHARS):
+            if b - a == 1:
+                pieces = map(regex.Match.group, self.pattern.finditer(texts[a]))
+                out.append(np.concatenate([np.zeros(0, np.int32), *(self._ids(list(block))[0] for block in batched(pieces, PIECES_AT_ONCE))]))
+                continue
+            split = [self.pattern.findall(x) for x in texts[a:b]]
+            ids, ends = self._ids([p for x in split for p in x])
+            edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(x) for x in split])])]
+            out += [ids[i:j] for i, j in pairwise(edges.tolist())]
+        return out
 
 
 def read_ranks(spark: SparkSession, path: str):
@@ -209,74 +218,111 @@ def read_ranks(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+def _encoded(batches, encoder: Encoder):
+    """Keys and ids of runs of rows; a run has about TEXT_CHARS characters, or one longer text."""
+    for batch in batches:
+        for part in small_parts(batch):
+            texts = part.column(1).to_pylist()
+            for a, b in runs(texts, TEXT_CHARS):
+                yield part.column(0).slice(a, b - a), encoder.encode(texts[a:b])
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col and ids (array of int) of each row's whole text: null is encoded as empty, giving no ids.
 
     Each match of the pattern is encoded separately, without special tokens. Rows, repeated or not, keep
-    to themselves: nothing is shuffled, batches are cut by text length, and a text is never split. An
-    empty table gives no rows; other columns are ignored.
+    to themselves: nothing is shuffled, batches are cut by text length, and a text is never split. Ids may
+    be of any type. A task holds its batch, the ids of one long text (4 bytes each) and about 100 bytes a
+    byte of its longest piece. An empty table gives no rows; other columns are ignored.
     """
     lines = read_ranks(docs.sparkSession, ranks_path)
 
     def run(batches):
-        encoder = Encoder(Merges(lines.value), pattern)
-        for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            for at in range(0, batch.num_rows, 256):
-                part = texts.slice(at, 256).to_pylist()
-                for a, b in _chunks(part, TEXT_CHARS):
-                    ids, n = encoder.encode(part[a:b])
-                    offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([keys.slice(at + a, b - a), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], ["id", "ids"])
+        for keys, ids in _encoded(batches, Encoder(Merges(lines.value), pattern)):
+            offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))], ["id", "ids"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    chosen = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return chosen.mapInArrow(run, f"id {id_type}, ids array<int>").withColumnRenamed("id", id_col)
+    return _texts(docs, id_col, text_col).mapInArrow(run, f"id {id_type}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """id_col, ids_col and decoded (binary): the bytes of the ids joined; null ids give no bytes.
 
-    An id outside the vocabulary fails the task.
+    An id outside the vocabulary fails the task. Rows leave in batches of about TEXT_CHARS ids, or one by
+    one where they are longer.
     """
     lines = read_ranks(encoded.sparkSession, ranks_path)
 
     def run(batches):
-        ranks = {int(b): base64.b64decode(a) for a, b in map(bytes.split, lines.value.splitlines()) if a}
-        sizes = np.zeros(max(ranks) + 1, np.int64)
-        for k, v in ranks.items():
-            sizes[k] = len(v)
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        flat = np.frombuffer(b"".join(ranks.get(i, b"") for i in range(len(sizes))), np.uint8)
+        spelling = Spelling(Merges(lines.value).spell)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                lists = part.column(1)
-                ids = lists.flatten().to_numpy(zero_copy_only=False)
-                if len(ids) and (ids.min() < 0 or ids.max() >= len(sizes) or not sizes[ids].all()):
-                    raise ValueError("an id is not in the vocabulary")
-                n = sizes[ids]
-                ends = np.cumsum(n)
-                data = flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[ids] - (ends - n), n)]
-                counts = np.array([0 if x is None else x for x in lists.value_lengths().to_pylist()], np.int64)
-                edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
-                decoded = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(data.tobytes())])
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, decoded], ["id", "ids", "decoded"])
+            lists = batch.column(1)
+            counts = [x or 0 for x in lists.value_lengths().to_pylist()]
+            for a, b in runs(counts, TEXT_CHARS, int):
+                part = lists.slice(a, b - a)
+                ids, ends = part.flatten().to_numpy(zero_copy_only=False), np.cumsum(counts[a:b])
+                decoded = [b"".join(spelling.bytes_of(ids[i:j])) for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), part, pa.array(decoded, pa.binary())], ["id", "ids", "decoded"])
 
     id_type = encoded.schema[id_col].dataType.simpleString()
     chosen = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     return chosen.mapInArrow(run, f"id {id_type}, ids array<int>, decoded binary").withColumnsRenamed({"id": id_col, "ids": ids_col})
 
 
+class Spelling:
+    """The bytes of ids, and their decimal numbers, in blocks."""
+
+    def __init__(self, spell: list[bytes]):
+        self.spell, self.decimal = spell, [b"%d" % i for i in range(len(spell))]
+
+    def _blocks(self, ids: np.ndarray, words: list[bytes]):
+        for k in range(0, len(ids), PIECES_AT_ONCE):
+            yield [words[i] for i in ids[k : k + PIECES_AT_ONCE].tolist()]
+
+    def bytes_of(self, ids: np.ndarray):
+        """Decoded bytes, block by block."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.spell)):
+            raise ValueError("an id is not in the vocabulary")
+        for words in self._blocks(ids, self.spell):
+            if not all(words):
+                raise ValueError("an id is not in the vocabulary")
+            yield b"".join(words)
+
+    def numbers(self, ids: np.ndarray):
+        """The ids in decimal, joined by commas, block by block."""
+        for k, words in enumerate(self._blocks(ids, self.decimal)):
+            yield (b"," if k else b"") + b",".join(words)
+
+
+def _sha256(blocks) -> str:
+    digest = hashlib.sha256()
+    for x in blocks:
+        digest.update(x)
+    return digest.hexdigest()
+
+
 def token_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_tokens, ids_sha256 and decoded_sha256 of encode() and decode()."""
-    both = decode(encode(docs, ranks_path, pattern, id_col, text_col), ranks_path, id_col)
-    return both.select(
-        id_col,
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    """id_col, n_tokens, ids_sha256 and decoded_sha256 of each row's whole text.
+
+    The ids are those of encode() and the bytes those of decode(); both happen in one pass, so a task
+    needs one worker and no ids leave it. Nulls, repeated rows and memory are as in encode().
+    """
+    lines = read_ranks(docs.sparkSession, ranks_path)
+
+    def run(batches):
+        merges = Merges(lines.value)
+        spelling = Spelling(merges.spell)
+        for keys, ids in _encoded(batches, Encoder(merges, pattern)):
+            columns = [[len(x) for x in ids], [_sha256(spelling.numbers(x)) for x in ids], [_sha256(spelling.bytes_of(x)) for x in ids]]
+            yield pa.RecordBatch.from_arrays([keys, *map(pa.array, columns)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    id_type = docs.schema[id_col].dataType.simpleString()
+    return _texts(docs, id_col, text_col).mapInArrow(run, f"id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def default_vocabulary() -> tuple[str, str]:

@@ -6,18 +6,18 @@ import numpy as np
 import pyarrow as pa
 
 #: Characters of text that are handled at a time.
-TEXT_CHARS = 1 << 20
+TEXT_CHARS = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def runs(texts: list[str], most: int = TEXT_CHARS):
+def runs(texts: list, most: int = TEXT_CHARS, size_of=len):
     """Begin and end of runs of texts with about `most` characters; a longer text is a run by itself."""
     begin = size = 0
-    for i, x in enumerate(texts):
-        if size and size + len(x) > most:
+    for i, n in enumerate(map(size_of, texts)):
+        if i > begin and size + n > most:
             yield begin, i
             begin, size = i, 0
-        size += len(x)
+        size += n
     if begin < len(texts):
         yield begin, len(texts)
 
