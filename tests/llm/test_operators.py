@@ -93,12 +93,12 @@ def _passages_by_brute_force(rows):
     return out
 
 
-def _removed(df):
-    got = suffix_dedup.remove_repeats(df).collect()
+def _removed(df, **how):
+    got = suffix_dedup.remove_repeats(df, **how).collect()
     return Counter((r["doc_id"], r["n_bytes"], sum(s["length"] for s in r["spans"]), len(r["spans"]), hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in got)
 
 
-def test_suffix_dedup(spark, awkward):
+def test_suffix_dedup(spark, awkward, monkeypatch):
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 6))) for _ in range(50)]
     passages = [" ".join(rng.choice(words) for _ in range(rng.randint(8, 40))) for _ in range(8)]
@@ -111,8 +111,13 @@ def test_suffix_dedup(spark, awkward):
             parts.append(rng.choice([x[cut : cut + rng.randint(20, len(x))], " ".join(rng.choice(words) for _ in range(rng.randint(1, 25))), (rng.choice(words) + " ") * rng.randint(5, 60)]))
         rows.append((100 + rng.randint(0, 100), "\n".join(parts)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert _removed(df) == _passages_by_brute_force(rows)
+    want = _passages_by_brute_force(rows)
+    assert _removed(df) == want and _removed(df, decide="ranks") == want
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 20_000)  # many batches, so that anchors meet in buckets
+    assert _removed(df) == want and _removed(df, decide="ranks") == want
     assert _removed(df.limit(0)) == Counter()
+    with pytest.raises(ValueError, match="whole number"):
+        suffix_dedup.remove_repeats(df.select(F.col("doc_id").cast("string"), "text"))
 
 
 # 4
