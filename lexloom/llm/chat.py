@@ -64,6 +64,8 @@ def assemble(rows: pa.Table, loss_role: str = "assistant") -> pa.RecordBatch:
 
     first = np.flatnonzero(_changes(rows.column("conv_id")))
     edges = np.concatenate([begin[first], [len(out)]])
+    if len(out) > 2**31 - 1:
+        raise ValueError("a conversation of more than 2 GB does not fit into a string")
     loss = which == roles.dictionary.to_pylist().index(loss_role) if loss_role in roles.dictionary.to_pylist() else np.zeros(len(which), bool)
     conversation = np.cumsum(_changes(rows.column("conv_id"))) - 1
     spans = pa.StructArray.from_arrays(
@@ -83,9 +85,11 @@ def assemble(rows: pa.Table, loss_role: str = "assistant") -> pa.RecordBatch:
 
 
 def _changes(keys) -> np.ndarray:
-    """Where a key differs from the one before; nulls are alike."""
-    k, null = pc.fill_null(keys, 0).to_numpy(), pc.is_null(keys).to_numpy()
-    return np.concatenate([[True], (k[1:] != k[:-1]) | (null[1:] != null[:-1])])
+    """Where a key of any type differs from the one before; nulls are alike."""
+    keys = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
+    null = pc.is_null(keys).to_numpy(zero_copy_only=False)
+    differs = pc.fill_null(pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)), False).to_numpy(zero_copy_only=False)
+    return np.concatenate([[True], differs | (null[1:] != null[:-1])])
 
 
 def format_chats(chats: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
@@ -94,7 +98,9 @@ def format_chats(chats: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     Turns go by turn_col, then role, then text; a null turn comes first. Null roles and texts are empty;
     rows without a conversation id form one conversation with a null id; repeated rows are turns of their
     own. Conversations meet by one shuffle and are then assembled as a stream, so a task holds one
-    conversation, or some megabytes of short ones. An empty table gives no rows; other columns are ignored.
+    conversation (about four times its bytes), or some megabytes of short ones. A conversation is one value in
+    the end, so it must fit into a string: over 2 GB the task fails, also for the rows without an id. Ids may
+    be of any type. An empty table gives no rows; other columns are ignored.
     """
 
     def run(batches):
@@ -134,7 +140,8 @@ def _plain(col: Column, role: bool = False) -> Column:
 
 def read_chats(formatted: DataFrame) -> DataFrame:
     """Turns of each formatted conversation, and its texts under the loss mask, unescaped: adds turns
-    (array of role and text) and loss_texts (array of string)."""
+    (array of role and text) and loss_texts (array of string). formatted: what format_chats() gives, with
+    any further columns; an empty table stays empty."""
     parts = F.split("formatted", END.decode())
     turns = F.transform(
         F.slice(parts, 1, F.size(parts) - 1),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,10 @@ def bucket_of(id_col: str, n: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(n)), F.lit(0))
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def _prepared(text: str) -> bytes:
     """Lower case, with a space at either end, and long enough for one n-gram."""
     return f" {text.lower()} ".encode("utf-8", "replace").ljust(NGRAM)
@@ -34,44 +39,44 @@ def _prepared(text: str) -> bytes:
 
 @dataclass
 class Filters:
-    """One Bloom filter for each language, bit-sliced: bit l of a slot belongs to language l."""
+    """One Bloom filter for each language, bit-sliced: bit l % 64 of a slot of table l // 64 belongs to language l."""
 
     languages: list[str]
-    slots: np.ndarray
+    slots: list[np.ndarray]
     false_rate: np.ndarray
 
     @staticmethod
     def build(grams: dict[str, np.ndarray]) -> Filters:
         languages = sorted(grams)
-        if len(languages) > 64:
-            raise ValueError("more than 64 languages")
-        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= len(languages))
-        slots = np.zeros(1 << BITS, kind)
-        rates = []
-        for bit, lang in enumerate(languages):
-            for probe in range(PROBES):
-                slots[scatter(grams[lang], BITS, probe + 1)] |= kind(1 << bit)
-            rates.append(float(((slots >> kind(bit)) & kind(1)).mean()) ** PROBES)
-        return Filters(languages, slots, np.array(rates))
-
-    def masks(self, grams: np.ndarray) -> np.ndarray:
-        """For each n-gram the set of languages that contain it, as bits."""
-        out = self.slots[scatter(grams, BITS, 1)]
-        for probe in range(1, PROBES):
-            out &= self.slots[scatter(grams, BITS, probe + 1)]
-        return out
+        tables, rates = [], []
+        for low in range(0, len(languages), 64):
+            some = languages[low : low + 64]
+            kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= len(some))
+            slots = np.zeros(1 << BITS, kind)
+            for bit, lang in enumerate(some):
+                for probe in range(PROBES):
+                    slots[scatter(grams[lang], BITS, probe + 1)] |= kind(1 << bit)
+                rates.append(float(((slots >> kind(bit)) & kind(1)).mean()) ** PROBES)
+            tables.append(slots)
+        return Filters(languages, tables, np.array(rates))
+
+    def masks(self, grams: np.ndarray) -> list[np.ndarray]:
+        """For each n-gram the set of languages that contain it, as bits: one word for every 64 languages."""
+        at = [scatter(grams, BITS, probe + 1) for probe in range(PROBES)]
+        return [reduce(np.bitwise_and, (slots[i] for i in at)) for slots in self.slots]
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """n-grams of each text, and how many of them each language has, without expected false hits."""
         data, begin, end = joined([_prepared(x) for x in texts])
         masks = self.masks(windows(data, NGRAM))
         n = end - begin - NGRAM + 1
-        found = np.stack([sums((masks >> masks.dtype.type(l)) & masks.dtype.type(1), begin, begin + n) for l in range(len(self.languages))], 1)
+        bit = lambda l: (masks[l // 64] >> masks[l // 64].dtype.type(l % 64)) & masks[l // 64].dtype.type(1)
+        found = np.stack([sums(bit(l), begin, begin + n) for l in range(len(self.languages))], 1)
         return n, np.maximum(0, (found - n[:, None] * self.false_rate) / (1 - self.false_rate))
 
     def decide(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text: the score is the winner's share of all corrected counts."""
-        letters = np.array([any(map(str.isalpha, x)) for x in texts], bool)
+        letters = np.array(list(map(has_letter, texts)), bool)
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         _, counts = self.counts(texts)
@@ -84,14 +89,15 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """Filters of the NGRAMS most frequent n-grams of each language.
 
     They are learned from about TRAIN_DOCS whole texts of each language, chosen by a digest of the id.
-    What reaches the driver is bounded by these parameters and by the number of languages.
+    What reaches the driver is bounded by these parameters and by the number of languages, of which there
+    may be any number; without a labelled text there are none.
     """
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id")
     )
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return Filters([], np.zeros(1, np.uint8), np.zeros(0))
+        return Filters([], [], np.zeros(0))
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, TRAIN_DOCS / n))])
     draw = F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1_000_000)) / 1_000_000
     chosen = known.where(draw < share[F.col("lang")])
@@ -118,9 +124,10 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, lang_pred, score for each row's whole text.
 
-    Null texts and texts without a letter are `und` with score 0; a text with letters of which no n-gram
-    is known gets the first language with score 0. Repeated rows get the same answer; an empty table
-    gives no rows; other columns are not read.
+    Null texts and texts without a letter are `und` with score 0, and so are all texts where no language
+    was learned; a text with letters of which no n-gram is known gets the first language with score 0.
+    Repeated rows get the same answer; an empty table gives no rows; other columns are not read. A text
+    is judged whole; a task needs some 60 bytes for each byte of its longest text.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # its size is fixed by BITS
 
@@ -146,7 +153,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without the rows for which no language is found; same columns."""
+    """docs without the rows for which no language is found: null texts and texts without a letter. Same columns.
+
+    Where no language was learned (no labels, or all in the held-out fold), only the letters decide, so
+    missing labels cost no document. Ids may be null, repeated or of any type; an empty table stays empty.
+    """
     filters = train(docs.where(bucket_of(id_col, 5) != 0), id_col, text_col, lang_col)
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     at = docs.columns.index(text_col)
@@ -158,7 +169,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 texts = [x or "" for x in part.column(at).to_pylist()]
                 keep = []
                 for a, b in runs(texts):
-                    keep += [x != UNKNOWN for x in f.decide(texts[a:b])[0]]
+                    keep += [x != UNKNOWN for x in f.decide(texts[a:b])[0]] if f.languages else list(map(has_letter, texts[a:b]))
                 yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

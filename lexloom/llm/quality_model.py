@@ -109,21 +109,26 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, out_fold: int = 2) -> Model:
     """Learn from a bounded sample of labelled rows whose crc32 of the id modulo `folds` is not out_fold.
 
-    TRAIN_DOCS ids are drawn by a digest of the id, so the ids that are broadcast and the texts that reach
-    the driver stay within TRAIN_DOCS and TRAIN_CHARS; with a larger mean length fewer texts are drawn.
-    Without labels the score is 0.5 for all.
+    Ids are drawn by a digest, some more than TRAIN_DOCS in expectation. Of their texts, in the order of a
+    digest of id and text, so many are taken whole as fit into TRAIN_DOCS and TRAIN_CHARS; only their
+    lengths and then these texts reach the driver. An id that is labelled both ways teaches nothing; rows
+    repeated in full count once. Without labels the score is 0.5 for all.
     """
     usable = labels.where((bucket_of(id_col, folds) != out_fold) & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
-    usable = usable.groupBy(id_col).agg(F.max(label_col).cast("int").alias("_label"))
+    usable = usable.groupBy(id_col).agg(F.max(label_col).cast("int").alias("_label"), F.min(label_col).cast("int").alias("_other")).where("_label = _other")
     n = usable.count()
     if n == 0:
         return Model(np.zeros(1 << BITS), 0.0)
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("quality")), F.lit(1_000_000)) / 1_000_000
-    mean = docs.agg(F.avg(F.length(text_col))).first()[0] or 1.0
-    wanted = min(TRAIN_DOCS, TRAIN_CHARS / mean)
-    chosen = usable.where(draw < min(1.0, wanted / n))
+    chosen = usable.where(draw < min(1.0, 1.25 * TRAIN_DOCS / n)).select(F.col(id_col).alias("id"), "_label")
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    got = texts.join(F.broadcast(chosen.withColumnRenamed(id_col, "id")), "id").select("id", "text", "_label")
+    drawn = texts.join(F.broadcast(chosen), "id").withColumn("u", F.xxhash64("id", "text"))
+    first = drawn.groupBy("u").agg(F.max(F.length("text")).alias("n")).orderBy("u").limit(TRAIN_DOCS).collect()
+    sizes = np.cumsum([r["n"] for r in first], dtype=np.int64)
+    fits = int(np.searchsorted(sizes, TRAIN_CHARS, side="right"))
+    if not fits:
+        return Model(np.zeros(1 << BITS), 0.0)
+    got = drawn.where(F.col("u") <= first[fits - 1]["u"]).dropDuplicates(["u"]).select("id", "text", "_label")
     rows = sorted((r["id"], r["text"], r["_label"]) for r in got.collect())
     return fit([r[1] for r in rows], np.array([r[2] for r in rows], np.int64))
 
@@ -132,7 +137,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """id_col and score (probability of label 1) of each row's whole text; null is scored as empty.
 
     Every row is scored by its text alone, so repeated rows agree; an empty table gives no rows; other
-    columns are not read.
+    columns are not read. A text is scored whole; a task needs some 150 bytes for each byte of its longest.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BITS
 

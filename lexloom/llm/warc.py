@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import struct
@@ -9,6 +10,7 @@ import uuid
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ LEVEL = 4
 #: Equal payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 1000
 BROADCAST_DIGESTS = 400_000
+#: Groups of more equal payloads than this are broadcast also where the others meet by a shuffle.
+HOT_ROWS = 10_000
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2024-01-01T00:00:00Z"
@@ -31,29 +35,41 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """id, url, payload, digest, record_type, refers_to for each row of pages.
 
     Of rows with equal payloads of at least REVISIT_BYTES bytes the one with the largest id is the
-    response, the others revisit it; rows that repeat its id are responses too. Shorter payloads are all
-    responses. Null payloads are empty. Payloads are compared by SHA-256 and length; groups are combined
-    from (digest, id) alone, so a hot payload costs one row for each task.
+    response, the others revisit it (refers_to, and refers_url, its url); rows that repeat its id are
+    responses too. Shorter payloads are all responses. Null payloads are empty. An empty table gives no
+    rows; other columns are ignored; ids are whole numbers or null.
+
+    Payloads are compared by SHA-256; groups are combined from (digest, id) alone, so a hot payload costs
+    one row for each task. Few groups are broadcast. Many meet their records by a shuffle, but for the
+    groups of more than HOT_ROWS records (one for HOT_ROWS rows at most), which are broadcast all the same,
+    and the short payloads, which have no group.
     """
     records = pages.select(
         F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload")
     ).withColumn("same", F.when(F.octet_length("payload") >= REVISIT_BYTES, F.sha2("payload", 256)))
-    groups = records.where(F.col("same").isNotNull()).groupBy("same").agg(F.max("id").alias("winner"), F.count(F.lit(1)).alias("n"))
-    groups = materialize(groups.where("n > 1 and winner is not null").select("same", "winner"))
-    side = F.broadcast(groups) if groups.count() <= BROADCAST_DIGESTS else groups
+    groups = records.where(F.col("same").isNotNull()).groupBy("same").agg(F.max("id").alias("winner"), F.max_by("url", "id").alias("winner_url"), F.count(F.lit(1)).alias("n"))
+    groups = materialize(groups.where("n > 1 and winner is not null"))
+    found = ["winner", "winner_url"]
+    if groups.count() <= BROADCAST_DIGESTS:
+        met = records.join(F.broadcast(groups.drop("n")), "same", "left")
+    else:
+        marked = records.join(F.broadcast(groups.where(F.col("n") > HOT_ROWS).drop("n")), "same", "left")
+        open_ = F.col("same").isNotNull() & F.col("winner").isNull()
+        met = marked.where(~open_).unionByName(marked.where(open_).drop(*found).join(groups.where(F.col("n") <= HOT_ROWS).drop("n"), "same", "left"))
     revisit = F.col("winner").isNotNull() & ~F.col("id").eqNullSafe(F.col("winner"))
-    return records.join(side, "same", "left").select(
+    return met.select(
         "id",
         "url",
         "payload",
         F.sha1("payload").alias("digest"),
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, F.col("winner")).alias("refers_to"),
+        F.when(revisit, F.col("winner_url")).alias("refers_url"),
     )
 
 
-def _urn(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def _urn(*parts) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ':'.join(map(str, parts)))}>"
 
 
 def _header_value(text: str) -> str:
@@ -61,18 +77,23 @@ def _header_value(text: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", text)
 
 
-def record_bytes(page_id, url, payload: bytes, digest: str, record_type: str, refers_to) -> bytes:
+def _target(url) -> str:
+    return _header_value(url) if url else "urn:x-no-url"
+
+
+def record_bytes(record_id: str, page_id, url, payload: bytes, digest: str, record_type: str, refers_to, refers_url) -> bytes:
+    """A record; a revisit names its response by target and date, as ids of pages may repeat."""
     block = _HTTP + (payload if record_type == "response" else b"")
     head = [
         "WARC/1.1",
         f"WARC-Type: {record_type}",
-        f"WARC-Record-ID: {_urn(page_id)}",
+        f"WARC-Record-ID: {record_id}",
         f"WARC-Date: {_DATE}",
-        f"WARC-Target-URI: {_header_value(url) if url else 'urn:x-no-url'}",
+        f"WARC-Target-URI: {_target(url)}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {len(payload)}",
         *([] if page_id is None else [f"X-Page-ID: {page_id}"]),
-        *([f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {_urn(refers_to)}", f"X-Refers-To-Page-ID: {refers_to}"] if record_type == "revisit" else []),
+        *([f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To-Target-URI: {_target(refers_url)}", f"WARC-Refers-To-Date: {_DATE}", f"X-Refers-To-Page-ID: {refers_to}"] if record_type == "revisit" else []),
         "Content-Type: application/http;msgtype=response",
         f"Content-Length: {len(block)}",
     ]
@@ -122,21 +143,25 @@ def write_archives(records: DataFrame) -> DataFrame:
 
     Each task packs its own rows, so nothing is shuffled and memory is bounded by one archive. They are
     a table until export_archives() writes them as files; Spark's writer commits them, so a lost task
-    leaves no half archive. Names derive from the first record's id and the digest of the content.
+    leaves no half archive. Record ids derive from the task, the record's place in it and the page's id, and
+    names from the digest of all records of an archive, so neither repeats. A record is held whole.
     """
 
     def run(batches):
-        held, size = [], 0
+        held, size, n, task = [], 0, 0, TaskContext.get().partitionId()
 
         def archive():
-            content = write_archive(held)
-            name = f"pages-{uuid.uuid5(uuid.NAMESPACE_URL, str(zstandard.__version__) + str(len(held)) + content[-64:].hex())}.warc.zst"
+            content, digest = write_archive(held), hashlib.sha256()
+            for x in held:
+                digest.update(x)
+            name = f"pages-{task:05d}-{digest.hexdigest()[:32]}.warc.zst"
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(held)], pa.int64()), pa.array([content], pa.binary())], ["name", "n_records", "content"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 for row in batch.slice(at, 128).to_pylist():
-                    held.append(record_bytes(row["id"], row["url"], row["payload"], row["digest"], row["record_type"], row["refers_to"]))
+                    held.append(record_bytes(_urn("page", task, n, row["id"]), row["id"], row["url"], row["payload"], row["digest"], row["record_type"], row["refers_to"], row["refers_url"]))
+                    n += 1
                     size += len(held[-1])
                     if size >= ARCHIVE_BYTES:
                         yield archive()
@@ -149,7 +174,8 @@ def write_archives(records: DataFrame) -> DataFrame:
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """One row for each record: page_id, url, record_type, refers_to, payload (null in a revisit record),
-    stated_digest and stated_bytes, which are those of the full payload."""
+    stated_digest and stated_bytes, which are those of the full payload. No archives give no rows; a record
+    that is cut short fails the task."""
 
     def run(batches):
         schema = pa.schema(
@@ -176,16 +202,18 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
 
 def export_archives(archives: DataFrame, folder: str) -> None:
-    """Write each archive as a file into a folder that all executors share; each appears whole or not at all."""
+    """Write each archive as a file into a folder (a path or a URI) that all executors share; each appears
+    whole or not at all, and no archive replaces another."""
 
     def run(rows):
-        import os
+        from pyarrow import fs
 
+        store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
         for row in rows:
-            part = os.path.join(folder, f".{row.name}.{uuid.uuid4().hex}")
-            with open(part, "wb") as f:
+            part = f"{base}/.{row.name}.{uuid.uuid4().hex}"
+            with store.open_output_stream(part) as f:
                 f.write(row.content)
-            os.replace(part, os.path.join(folder, row.name))
+            store.move(part, f"{base}/{row.name}")
 
     archives.select("name", "content").foreachPartition(run)
 
