@@ -146,9 +146,9 @@ def speech_span(blocks: Column, salutations: tuple[str, ...], stops: tuple[str,
     return F.array_join(F.when(end > 0, F.slice(rest, 1, F.greatest(end - 1, F.lit(0)))).otherwise(rest), "\n")
 
 
-def transcript(blocks: Column, least_words: int = 50) -> Column:
+def transcript(blocks: Column, least_words: int = 50, award: str | None = None) -> Column:
     """title and text without boilerplate; text is null below least_words words."""
-    body = drop_boilerplate(F.array_join(_texts(blocks, "p"), "\n"))
+    body = drop_boilerplate(F.array_join(_texts(blocks, "p"), "\n"), award=award)
     return F.struct(F.get(_texts(blocks, "h1", "h2"), 0).alias("title"), F.when(F.size(F.split(body, r"\s+")) >= least_words, body).alias("text"))
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,9 +23,17 @@ BOILERPLATE = (
 )
 GREETINGS = ("your majesties", "your royal highnesses", "ladies and gentlemen")
 
-# Letters beyond ASCII that fold to one ASCII letter.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēęěğīłńňōőřśšşţťūůűźżž"
-FOLDED = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeegilnnoorsssttuuuzzz"
+@cache
+def folds() -> tuple[str, str, dict[str, str]]:
+    """What compatibility decomposition leaves of each character beyond ASCII: those that give one letter or
+    digit, what they give, and those that give several."""
+    one, several = {}, {}
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x20000)):
+        plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+        plain = "".join(x for x in plain.lower() if x.isalnum())
+        if plain:
+            (one if len(plain) == 1 else several)[chr(code)] = plain
+    return "".join(one), "".join(one.values()), several
 
 
 def trim_all(c: Column) -> Column:
@@ -52,8 +63,10 @@ def _starts(prefixes: Sequence[str]) -> str:
     return "^(" + "|".join(p.replace(".", r"\.") for p in prefixes) + ")"
 
 
-def drop_boilerplate(c: Column, prefixes: Sequence[str] = BOILERPLATE) -> Column:
-    """Trimmed lines without blank ones and without those that begin with one of the prefixes."""
+def drop_boilerplate(c: Column, prefixes: Sequence[str] = BOILERPLATE, award: str | None = None) -> Column:
+    """Trimmed lines without blank ones and without those that begin with one of the prefixes, or with the
+    award's name and lecture or diploma."""
+    prefixes = (*prefixes, *(f"{award.lower()} {x}" for x in ("lecture", "diploma"))) if award else prefixes
     lines = F.transform(F.split(c, "\n"), trim_all)
     return F.array_join(F.filter(lines, lambda x: (x != "") & ~F.lower(x).rlike(_starts(prefixes))), "\n")
 
@@ -110,8 +123,12 @@ def last_name(c: Column) -> Column:
 
 
 def folded_key(c: Column) -> Column:
-    """Lower case, accents folded, letters and digits only."""
-    return F.regexp_replace(F.translate(F.lower(c), ACCENTED, FOLDED), "[^a-z0-9]", "")
+    """Lower case, accents folded as compatibility decomposition does, ASCII letters and digits only."""
+    accented, folded, several = folds()
+    wide = F.from_json(F.lit(json.dumps(several)), "map<string, string>")
+    spelled = lambda x: F.array_join(F.transform(F.split(x, ""), lambda ch: F.coalesce(F.try_element_at(wide, ch), ch)), "")
+    c = F.when(c.rlike("[" + "".join(several) + "]"), spelled(c)).otherwise(c)
+    return F.regexp_replace(F.lower(F.translate(c, accented, folded)), "[^a-z0-9]", "")
 
 
 def truncated(c: Column, n: int = 500, mark: str = "...") -> Column:

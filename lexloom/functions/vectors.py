@@ -65,11 +65,16 @@ def register_embedder(model: str, dim: int, factory: Callable[[], Callable[[list
 
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
     """Counts of tokens hashed into dim slots, normalised: deterministic and native."""
-    slots = F.transform(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))
+    slots = F.transform(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != ""), lambda w: F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("int") % dim)
     count = lambda own: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(own, lambda s: s == i)).cast("float"))
     return l2_normalize(let(slots, count))
 
 
+def embedding_counts(embedded: DataFrame, *by: str, col: str = "embedding") -> DataFrame:
+    """Rows and failures (rows without a vector) of embed_table()."""
+    return embedded.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(col).isNull()).alias("failed"))
+
+
 def embed_table(df: DataFrame, text_col: str, model: str | None = None, batch: int = 50, dim: int = 64) -> DataFrame:
     """df with an embedding column; rows whose text gives no usable vector keep a null there.
 

@@ -30,9 +30,11 @@ def _nonzero(c: str) -> Column:
 
 
 def audit_summary(df: DataFrame) -> DataFrame:
-    """One row: totals, success rate, times, cost, tokens, chunks. One scan, one aggregate."""
+    """One row: totals, success rate, times, cost, tokens, chunks, and where df has expanded_terms, how many
+    queries were expanded and their rate. One scan, one aggregate."""
     n, bad = F.count(F.lit(1)), F.count_if(F.coalesce("failed", F.lit(False)))
     r = lambda c: F.round(c, 4)
+    expanded = F.count_if(F.size("expanded_terms") > 0)
     return df.agg(
         n.alias("total"),
         (n - bad).alias("successful"),
@@ -45,6 +47,7 @@ def audit_summary(df: DataFrame) -> DataFrame:
         F.sum(F.coalesce("total_tokens", F.lit(0))).cast("long").alias("total_tokens"),
         r(F.coalesce(F.sum(F.coalesce("total_tokens", F.lit(0))) / F.nullif(n, F.lit(0)), F.lit(0.0))).alias("tokens_per_query"),
         r(F.avg(_nonzero("chunk_count"))).alias("avg_chunks"),
+        *([expanded.alias("expanded"), rate(expanded, n).alias("expansion_rate")] if "expanded_terms" in df.columns else []),
     )
 
 

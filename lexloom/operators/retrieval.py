@@ -2,46 +2,123 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.vectors import embed_table, vector_fault
+from lexloom.session import materialize
 
 from .filters import apply_filters
 
-#: Query vectors that are shared with the tasks at a time; more queries take more passes over the corpus.
-BLOCK = 4096
+#: So many queries at most are broadcast; more of them meet the corpus by a shuffle, in groups of this size.
+BROADCAST_QUERIES = 16_384
+#: Queries and rows of one matrix product, and candidates that a task holds before it cuts them to the best k.
+QUERIES_AT_ONCE, ROWS_AT_ONCE, CANDIDATES = 1024, 2048, 1 << 20
 DIGITS = 6
+#: Terms of so many characters or less are not retrieved by, unless they have weights.
+SHORT_TERM = 2
+
+
+class _Best:
+    """The k best rows of each query among all rows seen: by score, then by id."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, ks: np.ndarray):
+        self.ids, self.vectors, self.ks = ids, vectors, ks
+        self.least = np.full(len(ids), -np.inf)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n = self.kept = 0
+
+    def add(self, chunk_ids: np.ndarray, rows: np.ndarray) -> None:
+        for i in range(0, len(rows), ROWS_AT_ONCE):
+            for j in range(0, len(self.ids), QUERIES_AT_ONCE):
+                scores = np.round(rows[i : i + ROWS_AT_ONCE] @ self.vectors[j : j + QUERIES_AT_ONCE].T, DIGITS)
+                at, own = np.nonzero(scores >= self.least[j : j + QUERIES_AT_ONCE])
+                self.held.append((own + j, scores[at, own], chunk_ids[at + i]))
+                self.n += len(at)
+                if self.n > CANDIDATES + 2 * self.kept:
+                    self._cut()
+
+    def _cut(self) -> None:
+        own, score, chunk = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((chunk, -score, own))
+        own, score, chunk = own[order], score[order], chunk[order]
+        starts = np.searchsorted(own, np.arange(len(self.ids)))
+        place = np.arange(len(own)) - starts[own]
+        last = place == self.ks[own] - 1
+        self.least[own[last]] = score[last]
+        keep = place < self.ks[own]
+        self.held = [(own[keep], score[keep], chunk[keep])]
+        self.n = self.kept = int(keep.sum())
+
+    def rows(self, chunk_type: pa.DataType):
+        if self.held:
+            self._cut()
+            own, score, chunk = self.held[0]
+            for k in range(0, len(own), 1 << 16):
+                part = slice(k, k + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(self.ids[own[part]]), pa.array(chunk[part], chunk_type), pa.array(score[part])], ["query_id", "chunk_id", "score"])
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _near_few(corpus: DataFrame, asked: list, dim: int) -> DataFrame:
+    """Few queries: their vectors are broadcast and the corpus is not shuffled."""
+    vectors = np.array([r["vec"] for r in asked], np.float64).reshape(-1, dim)
+    shared = corpus.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in asked], np.int64), vectors, np.array([r["k"] for r in asked], np.int64)))
 
-
-def _block_top(corpus: DataFrame, block: list, dim: int) -> DataFrame:
-    """query_id, chunk_id, score: each batch's best rows for each query of the block, ties included."""
-    ids = [r["query_id"] for r in block]
-    shared = corpus.sparkSession.sparkContext.broadcast((np.array([r["vec"] for r in block], np.float64).reshape(-1, dim), [r["k"] for r in block]))
+    def run(batches):
+        best, kind = _Best(*shared.value), pa.int64()
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            best.add(_ids(batch.column(0)), _matrix(batch.column(1), dim))
+        yield from best.rows(kind)
+
+    return corpus.mapInArrow(run, f"query_id bigint, chunk_id {corpus.schema['chunk_id'].dataType.simpleString()}, score double")
+
+
+def _near_many(corpus: DataFrame, asked: DataFrame, n: int, dim: int) -> DataFrame:
+    """Many queries: each pair of a group of queries and a part of the corpus is a tile. Every query goes to the
+    tiles of its group and every row to those of its part, so a task holds one group and streams one part."""
+    spark = corpus.sparkSession
+    groups, parts = -(-n // BROADCAST_QUERIES), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = corpus.schema["chunk_id"].dataType
+    tile = lambda g, p: (g * parts + p).alias("tile")
+    q = asked.withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(groups))).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    c = corpus.withColumn("p", F.pmod(F.xxhash64("chunk_id", "vec"), F.lit(parts))).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    met = q.select(tile(F.col("g"), F.col("p")), F.lit(0).alias("row"), "query_id", "k", F.lit(None).cast(kind).alias("chunk_id"), "vec").unionByName(
+        c.select(tile(F.col("g"), F.col("p")), F.lit(1).alias("row"), F.lit(0).cast("long").alias("query_id"), F.lit(0).alias("k"), "chunk_id", "vec")
+    )
 
     def run(batches):
-        q, ks = shared.value
+        now, asks, best, chunk_type = None, [], None, pa.int64()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-            scores = np.round(rows @ q.T, DIGITS)
-            picked, owner = [], []
-            for j, k in enumerate(ks):
-                s = scores[:, j]
-                least = np.partition(s, len(s) - k)[len(s) - k] if k < len(s) else -np.inf
-                hit = np.flatnonzero(s >= least)
-                picked.append(hit)
-                owner.append(np.full(len(hit), j))
-            at, own = np.concatenate(picked), np.concatenate(owner)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[j] for j in own], pa.int64()), batch.column(0).take(pa.array(at)), pa.array(scores[at, own])], ["query_id", "chunk_id", "score"])
-
-    kind = corpus.schema["chunk_id"].dataType.simpleString()
-    return corpus.mapInArrow(run, f"query_id bigint, chunk_id {kind}, score double")
+            chunk_type = batch.schema.field(4).type
+            tiles, row = _ids(batch.column(0)), _ids(batch.column(1))
+            edges = np.flatnonzero(np.concatenate([[True], (tiles[1:] != tiles[:-1]) | (row[1:] != row[:-1])])).tolist() if len(tiles) else []
+            for a, b in zip(edges, [*edges[1:], len(tiles)], strict=True):
+                part = batch.slice(a, b - a)
+                if tiles[a] != now:
+                    if best is not None:
+                        yield from best.rows(chunk_type)
+                    now, asks, best = tiles[a], [], None
+                if row[a] == 0:
+                    asks.append((_ids(part.column(2)), _matrix(part.column(5), dim), _ids(part.column(3)).astype(np.int64)))
+                elif asks:
+                    best = best or _Best(*(np.concatenate(x) for x in zip(*asks, strict=True)))
+                    best.add(_ids(part.column(4)), _matrix(part.column(5), dim))
+        if best is not None:
+            yield from best.rows(chunk_type)
+
+    dealt = met.repartition(groups * parts, "tile").sortWithinPartitions("tile", "row")
+    return dealt.mapInArrow(run, f"query_id bigint, chunk_id {kind.simpleString()}, score double")
 
 
 def ranked(scored: DataFrame, by: list[str], *ties: Column | str) -> DataFrame:
@@ -54,22 +131,19 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int | None = None, filters:
     """query_id, chunk_id, score, rank of the k best rows of each query.
 
     queries: query_id (long), vec, and k where k is not given; corpus: chunk_id, vec and the columns of
-    filters. Rows are filtered before they are scored; vectors that are unusable are left out. The
-    corpus is never shuffled: each task keeps its best rows per query, and only these are ranked.
+    filters. Rows are filtered before they are scored; vectors that are unusable, and queries with a k below
+    1, are left out. Each task keeps its k best rows per query over all its batches, ties cut by id, and only
+    these are ranked. Up to BROADCAST_QUERIES queries are broadcast; more of them meet the corpus in tiles by
+    one shuffle and never pass the driver.
     """
-    asked = queries.where(vector_fault("vec", dim).isNull()).select("query_id", "vec", (F.lit(k) if k is not None else F.col("k")).cast("int").alias("k"))
+    asked = queries.where(vector_fault("vec", dim).isNull()).select("query_id", "vec", (F.lit(k) if k is not None else F.col("k")).cast("int").alias("k")).where("k > 0")
     rows = apply_filters(corpus, filters or {}).where(vector_fault("vec", dim).isNull()).select("chunk_id", "vec")
-    n_blocks = max(1, math.ceil(asked.count() / BLOCK))
-    parts = []
-    for b in range(n_blocks):
-        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).collect()
-        if block:
-            parts.append(_block_top(rows, block, dim))
-    if not parts:
-        parts = [rows.select(F.lit(0).cast("long").alias("query_id"), "chunk_id", F.lit(0.0).alias("score")).limit(0)]
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
+    few = asked.limit(BROADCAST_QUERIES + 1).collect()
+    if len(few) <= BROADCAST_QUERIES:
+        scored = _near_few(rows, few, dim)
+    else:
+        asked = materialize(asked)
+        scored = _near_many(rows, asked, asked.count(), dim)
     limit = asked.select(F.col("query_id").alias("_q"), F.col("k").alias("_k"))
     best = ranked(scored, ["query_id"], "chunk_id")
     if k is not None:
@@ -77,12 +151,13 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int | None = None, filters:
     return best.join(limit, F.col("query_id") == F.col("_q")).where(F.col("rank") < F.col("_k")).drop("_q", "_k")
 
 
-def with_fallback(scored: DataFrame, threshold: float, min_return: int = 3, max_return: int | None = None, by: str = "query_id") -> DataFrame:
+def with_fallback(scored: DataFrame, threshold: float | Column, min_return: int | Column = 3, max_return: int | Column | None = None, by: str = "query_id") -> DataFrame:
     """Rows at or above the threshold; of queries with fewer than min_return of them the best min_return
-    rows; never more than max_return. Adds rank and filtering_reason. One window, one filter."""
+    rows; never more than max_return. Limits may be columns, as each query's route has its own. Adds rank and
+    filtering_reason. One window, one filter."""
     order = Window.partitionBy(by).orderBy(F.desc("score"), "chunk_id")
     whole = Window.partitionBy(by)
-    least = min_return or 3
+    least = 3 if isinstance(min_return, int) and not min_return else min_return
     passed = F.count_if(F.col("score") >= threshold).over(whole)
     rows = scored.withColumn("rank", F.row_number().over(order) - 1).withColumn("_enough", passed >= least)
     keep = F.when(F.col("_enough"), F.col("score") >= threshold).otherwise(F.col("rank") < least)
@@ -113,11 +188,14 @@ def prefer(kind: str, last: str) -> Column:
 def retrieve_terms(terms: DataFrame, corpus: DataFrame, k: int, threshold: float, min_return: int, max_return: int | None, weighted: bool, kind: str, last: str, dim: int = 64) -> DataFrame:
     """Retrieval by several terms of each query, merged.
 
-    terms: query_id, term_id, term_rank, weight, vec. Each term fetches its k best rows; with weights a
+    terms: query_id, term_id, term_rank, weight, vec, and perhaps term, the words themselves: terms of two
+    characters or less fetch nothing without weights. Each term fetches its k best rows; with weights a
     score is boosted by exp(2 weight). Of a row found by several terms the best score stays, the earlier
     term on a tie. Rows go by score, then those of kind `last` come last, then by id; the threshold and its
     fallback apply to the merged (boosted) scores.
     """
+    if not weighted and "term" in terms.columns:
+        terms = terms.where(F.length("term") > SHORT_TERM)
     found = top_k(terms.select(F.col("term_id").alias("query_id"), "vec"), corpus, k, None, dim).drop("rank").withColumnRenamed("query_id", "_term")
     own = terms.select("query_id", "term_id", "term_rank", "weight")
     boost = F.exp(2 * F.col("weight")) if weighted else F.lit(1.0)

@@ -1,7 +1,9 @@
-"""Keyword and theme expansion by equality joins of tokens with an inverted index."""
+"""Keyword and theme expansion: each text's tokens against an inverted index."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,18 +20,51 @@ def lemmas(toks: Column, dictionary: dict[str, str]) -> Column:
     return F.transform(toks, lambda w: F.coalesce(F.try_element_at(d, w), w))
 
 
-def _hits(df: DataFrame, id_col: str, text_col: str, themes: DataFrame, dictionary: dict[str, str] | None) -> DataFrame:
-    """id, theme, keyword for each keyword of one word among a row's tokens or lemmas, and for each phrase in its text."""
+#: A dimension of more keywords than this is joined; a smaller one becomes literals of the plan.
+LITERAL_KEYWORDS = 5000
+
+
+def _literal(themes: DataFrame) -> dict[str, list[str]] | None:
+    """keyword -> themes, if there are at most LITERAL_KEYWORDS pairs."""
+    rows = themes.select("theme", "keyword").where("keyword is not null").limit(LITERAL_KEYWORDS + 1).collect()
+    if len(rows) > LITERAL_KEYWORDS:
+        return None
+    out: dict[str, list[str]] = {}
+    for r in rows:
+        out.setdefault(r["keyword"], []).append(r["theme"])
+    return out
+
+
+def _every_token(text_col: str, dictionary: dict[str, str] | None) -> Column:
     toks = tokens(F.col(text_col))
-    every = let(toks, lambda t: F.array_union(t, lemmas(t, dictionary))) if dictionary else toks
+    return let(toks, lambda t: F.array_union(t, lemmas(t, dictionary))) if dictionary else toks
+
+
+def _strings(values) -> Column:
+    return F.array(*map(F.lit, sorted(values))).cast("array<string>")
+
+
+def _looked_up(table: dict[str, list[str]], keys: Column) -> Column:
+    """All values of the keys, sorted, each once. The table is a constant of the plan."""
+    constant = F.from_json(F.lit(json.dumps(table)), "map<string, array<string>>")
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(keys, lambda k: F.try_element_at(constant, k)))))
+
+
+def _row_hits(text_col: str, keywords, dictionary: dict[str, str] | None) -> Column:
+    """Keywords in a row's text: single words among its tokens or lemmas, phrases anywhere in it."""
+    single, phrases = [k for k in keywords if " " not in k], [k for k in keywords if " " in k]
+    words = F.array_intersect(F.array_distinct(_every_token(text_col, dictionary)), _strings(single))
+    if not phrases:
+        return words
+    return F.concat(words, let(F.lower(F.coalesce(F.col(text_col), F.lit(""))), lambda t: F.filter(_strings(phrases), lambda p: F.contains(t, p))))
+
+
+def _joined_hits(df: DataFrame, id_col: str, text_col: str, themes: DataFrame, dictionary: dict[str, str] | None) -> DataFrame:
+    """id, theme, keyword by equality joins, for dimensions of any size: phrases meet the text by their first token."""
     single = themes.where(~F.contains("keyword", F.lit(" ")))
-    by_token = df.select(id_col, F.explode(F.array_distinct(every)).alias("keyword")).join(small(single), "keyword")
+    by_token = df.select(id_col, F.explode(F.array_distinct(_every_token(text_col, dictionary))).alias("keyword")).join(small(single), "keyword")
     phrases = themes.where(F.contains("keyword", F.lit(" "))).withColumn("_head", F.get(tokens(F.col("keyword")), 0))
-    heads = [r["_head"] for r in phrases.select("_head").distinct().collect()]  # a dimension's, hence few
-    if not heads:
-        return by_token.select(id_col, "theme", "keyword").distinct()
-    opened = F.array_intersect(toks, F.array(*map(F.lit, heads)))
-    text = df.select(id_col, F.lower(text_col).alias("_t"), opened.alias("_heads")).where(F.size("_heads") > 0).select(id_col, "_t", F.explode("_heads").alias("_head"))
+    text = df.select(id_col, F.lower(text_col).alias("_t"), F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("_head"))
     by_phrase = text.join(small(phrases), "_head").where(F.contains("_t", F.col("keyword")))
     return by_token.select(id_col, "theme", "keyword").unionByName(by_phrase.select(id_col, "theme", "keyword")).distinct()
 
@@ -37,16 +72,27 @@ def _hits(df: DataFrame, id_col: str, text_col: str, themes: DataFrame, dictiona
 def extract_themes(df: DataFrame, id_col: str, text_col: str, themes: DataFrame, dictionary: dict[str, str] | None = None) -> DataFrame:
     """id and the sorted themes of which a keyword is in the text; rows without any don't appear.
 
-    themes (theme, keyword) is a dimension: it is broadcast, tokens meet it by equality.
+    themes (theme, keyword) is a dimension. Up to LITERAL_KEYWORDS pairs are constants, and each row finds its
+    themes by itself, without a shuffle; a larger dimension is joined, and ids must then be unique.
     """
-    found = _hits(df, id_col, text_col, themes, dictionary)
-    return found.groupBy(id_col).agg(F.sort_array(F.collect_set("theme")).alias("themes"))
+    table = _literal(themes)
+    if table is None:
+        return _joined_hits(df, id_col, text_col, themes, dictionary).groupBy(id_col).agg(F.sort_array(F.collect_set("theme")).alias("themes"))
+    return df.select(id_col, _looked_up(table, _row_hits(text_col, table, dictionary)).alias("themes")).where(F.size("themes") > 0)
 
 
 def expand_keywords(df: DataFrame, id_col: str, text_col: str, themes: DataFrame, dictionary: dict[str, str] | None = None) -> DataFrame:
-    """id and all keywords, sorted, of the themes found in the text."""
-    found = _hits(df, id_col, text_col, themes, dictionary).select(id_col, "theme").distinct()
-    return found.join(small(themes), "theme").groupBy(id_col).agg(F.sort_array(F.collect_set("keyword")).alias("keywords"))
+    """id and all keywords, sorted, of the themes found in the text; see extract_themes()."""
+    table = _literal(themes)
+    if table is None:
+        found = _joined_hits(df, id_col, text_col, themes, dictionary).select(id_col, "theme").distinct()
+        return found.join(small(themes), "theme").groupBy(id_col).agg(F.sort_array(F.collect_set("keyword")).alias("keywords"))
+    of_theme: dict[str, list[str]] = {}
+    for keyword, names in table.items():
+        for name in names:
+            of_theme.setdefault(name, []).append(keyword)
+    wide = {k: sorted({w for name in names for w in of_theme[name]}) for k, names in table.items()}
+    return df.select(id_col, _looked_up(wide, _row_hits(text_col, table, dictionary)).alias("keywords")).where(F.size("keywords") > 0)
 
 
 def expansion_debug(df: DataFrame, id_col: str, text_col: str, themes: DataFrame, stop: tuple[str, ...] = ()) -> DataFrame:

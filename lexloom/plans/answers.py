@@ -16,36 +16,43 @@ from lexloom.sources.readers import read_dimension
 
 from .facts import _questions as facts_questions
 from .facts import _spaced
+from . import facts as facts_plans
+from . import questions as question_plans
 from .questions import WEIGHTS
+from .vectors import EMBEDDED_SQL
 
 
 def answer_batch(questions: DataFrame, facts: DataFrame, corpus: DataFrame, templates: DataFrame, weights: dict, award: str = "prize", dim: int = 64) -> DataFrame:
     """question_id, answer_type, rule, intent, template, answer for every question (question_id, question).
 
     answer_type: invalid (with the reason as answer), facts (answered by a rule), prompt (the filled
-    template, context included, ready for a language model). Questions that a rule answers never reach
-    the retrieval. corpus: chunk_id, text, vec, author, year, kind, category; the text is joined to the
-    chosen rows only after the top k. Facts, rule answers and routes are written once, as several branches
-    read them.
+    template, context included, ready for a language model), with chunks, the ids of the chunks in the
+    context by rank. Questions that a rule answers never reach the retrieval. corpus: chunk_id, text, vec
+    (hashed_embedding of the text), author, year, kind, category; the text is joined to the chosen rows only
+    after the top k. Each route has its own k, threshold, least and most rows. Facts, rule answers, routes and
+    chosen rows are written once, as several branches read them.
     """
+    none = lambda n, kind="string": F.lit(None).cast(kind).alias(n)
     checked = questions.withColumn("_fault", query_fault(F.col("question")))
-    bad = checked.where("_fault is not null").select("question_id", F.lit("invalid").alias("answer_type"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("intent"), F.lit(None).cast("string").alias("template"), F.col("_fault").alias("answer"))
+    bad = checked.where("_fault is not null").select("question_id", F.lit("invalid").alias("answer_type"), none("rule"), none("intent"), none("template"), F.col("_fault").alias("answer"), none("chunks", "array<bigint>"))
     good = checked.where("_fault is null").select("question_id", "question")
     facts = materialize(facts)  # each rule reads it
     known = materialize(X.answer_facts(good, facts, award))
-    by_rule = known.select("question_id", F.lit("facts").alias("answer_type"), "rule", F.lit("factual").alias("intent"), F.lit(None).cast("string").alias("template"), "answer")
+    by_rule = known.select("question_id", F.lit("facts").alias("answer_type"), "rule", F.lit("factual").alias("intent"), none("template"), "answer", none("chunks", "array<bigint>"))
     rest = good.join(known.select("question_id"), "question_id", "left_anti")
-    routed = I.route(I.classify(rest, "question", weights)).withColumn("template", I.template_name(F.col("intent"), F.lit(None).cast("string"), F.col("question")))
+    routed = I.route(I.classify(I.subtype(rest, "question"), "question", weights)).withColumn("template", I.template_name(F.col("intent"), F.col("subtype"), F.col("question")))
     routed = materialize(routed)
     asked = routed.select(F.col("question_id").alias("query_id"), hashed_embedding(F.col("question"), dim).alias("vec"), F.col("top_k").alias("k"))
     found = R.top_k(asked, corpus, None, None, dim)
     limits = routed.select(F.col("question_id").alias("query_id"), "score_threshold", "min_return", "max_return")
-    passed = found.join(limits, "query_id").withColumn("score", F.col("score") - F.col("score_threshold"))
-    chosen = R.with_fallback(passed, 0.0).where(F.col("rank") < F.col("max_return"))
+    chosen = materialize(R.with_fallback(found.join(limits, "query_id"), F.col("score_threshold"), F.col("min_return"), F.col("max_return")).select("query_id", "chunk_id", "rank"))
+    by_rank = F.array_sort(F.collect_list(F.struct("rank", F.col("chunk_id").cast("long").alias("chunk_id"))))
+    used = chosen.groupBy(F.col("query_id").alias("question_id")).agg(F.transform(by_rank, lambda x: x["chunk_id"]).alias("chunks"))
     lines = chosen.join(corpus.select("chunk_id", "text", "author", "year", "kind", "category"), "chunk_id").withColumnRenamed("query_id", "question_id")
     contexts = P.assemble_context(lines, "question_id", "inline")
     prompts = P.build_prompts(routed.select("question_id", "question", "template"), contexts, templates)
-    by_prompt = prompts.drop("template").join(routed.select("question_id", "intent", "template"), "question_id").select("question_id", F.lit("prompt").alias("answer_type"), F.lit(None).cast("string").alias("rule"), "intent", "template", F.col("prompt").alias("answer"))
+    by_prompt = prompts.drop("template").join(routed.select("question_id", "intent", "template"), "question_id").join(used, "question_id", "left")
+    by_prompt = by_prompt.select("question_id", F.lit("prompt").alias("answer_type"), none("rule"), "intent", "template", F.col("prompt").alias("answer"), "chunks")
     return bad.unionByName(by_rule).unionByName(by_prompt)
 
 
@@ -59,16 +66,18 @@ def trace(answers: DataFrame, contexts: DataFrame | None = None, model: str = "n
 
 
 def _answers(spark, sf):
-    corpus = table(spark, sf, "embeddings").join(table(spark, sf, "documents"), F.col("vec_id") == F.col("doc_id")).select(
-        F.col("vec_id").alias("chunk_id"), "text", F.col("embedding").alias("vec"), F.col("source").alias("author"), (F.lit(1900) + F.col("label")).alias("year"), F.when(F.col("label") == 0, "ceremony").otherwise("lecture").alias("kind"), F.col("lang").alias("category")
+    corpus = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("chunk_id"), "text", hashed_embedding(F.col("text")).alias("vec"), F.col("source").alias("author"), (F.lit(1901) + F.col("doc_id") % 100).alias("year"),
+        F.when(F.col("doc_id") % 5 == 0, "ceremony").otherwise("lecture").alias("kind"), F.col("lang").alias("category"),
     )
     talk = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn") + 10_000_000).alias("question_id"), F.col("text").alias("question"))
     asked = facts_questions(spark, sf).unionByName(talk)
-    return answer_batch(asked, _spaced(spark, sf), corpus, read_dimension(spark, "templates"), WEIGHTS)
+    return answer_batch(asked, _spaced(spark, sf), materialize(corpus), read_dimension(spark, "templates"), WEIGHTS)
 
 
 def answers(spark, sf):
-    return _answers(spark, sf).select("question_id", "answer_type", "rule", "intent", "template", F.length("answer").alias("answer_chars"))
+    a = _answers(spark, sf)
+    return a.select("question_id", "answer_type", "rule", "intent", "template", F.md5("answer").alias("answer_md5"), F.array_join("chunks", ",").alias("chunks"))
 
 
 def answer_types(spark, sf):
@@ -84,8 +93,38 @@ def context_assembly(spark, sf):
     return P.assemble_context(lines, "query_id", "footnote")
 
 
+def _answers_sql() -> str:
+    """a: question_id, answer_type, rule, intent, template, answer, chunks."""
+    facts = facts_plans._ANSWERS
+    route, _, _ = question_plans.SQL["route_config"].removeprefix(question_plans._Q).rpartition(" select question_id, intent, case intent when")
+    template = question_plans.SQL["route_config"].rpartition(" as low_confidence, ")[2].partition(" as template from")[0]
+    blank = r"regexp_replace(question, '^\s+|\s+$', '', 'g')"
+    return f"""with fa as ({facts} select question_id, rule, answer from a),
+form as ({facts} select ord as question_id, 'Please say something nice about ' || n || '.' as question from g where form = 12),
+asked as (select question_id, question from form union all select conv_id * 1000 + turn + 10000000, text from conversations),
+judged as (select *, case when question is null or question = '' then 'empty' when {blank} = '' then 'blank' when length({blank}) < 2 then 'short'
+  when regexp_matches({blank}, '^[^\p{{L}}\p{{N}}_\s]+$') then 'specials' when regexp_matches({blank}, '^[0-9]+$') then 'digits' when length(question) > 1000 then 'long' end as fault from asked),
+q as (select question_id, question from judged where fault is null){route.replace("lower((case question_id % 7 " + question_plans.LEAD_CASES + " end) || question)", "lower(question)")},
+routed as (select question_id, c.question, intent, {template} as template, case intent when 'factual' then 5 when 'thematic' then 15 else 10 end as top, case intent when 'factual' then 0.25 else 0.2 end::double as least_score,
+  case intent when 'thematic' then 5 else 3 end as least, case intent when 'thematic' then 12 else 10 end as most from c join k using (question_id)),
+docs as (select doc_id, text, source, lang, {EMBEDDED_SQL} as v from documents),
+rv as (select question_id, text, top, least_score, least, most, {EMBEDDED_SQL} as v from (select *, question as text from routed)),
+scored as (select question_id, doc_id, least_score, least, most, round(list_dot_product(rv.v::double[], docs.v::double[]), 6) as score from rv, docs where rv.v is not null and docs.v is not null
+  qualify row_number() over (partition by question_id order by score desc, doc_id) <= any_value(top) over (partition by question_id)),
+placed as (select *, row_number() over (partition by question_id order by score desc, doc_id) - 1 as rank, count(*) filter (score >= least_score) over (partition by question_id) >= least as enough from scored),
+chosen as (select question_id, doc_id, rank from placed where rank < most and case when enough then score >= least_score else rank < least end),
+told as (select question_id, string_agg(case when doc_id % 5 = 0 then '[🏅 Ceremony' else '[🎓 Lecture' end || ' — ' || coalesce(nullif(source, ''), 'Unknown') || ', ' || (1901 + doc_id % 100) || '] ' || trim(coalesce(text, '')) || ' (' || coalesce(nullif(source, ''), 'Unknown') || ', ' || (1901 + doc_id % 100) || ')', chr(10) || chr(10) order by rank) as context,
+  string_agg(doc_id::varchar, ',' order by rank) as chunks from chosen join documents using (doc_id) group by 1),
+a as (select question_id, 'invalid' as answer_type, null as rule, null as intent, null as template, fault as answer, null as chunks from judged where fault is not null
+  union all select question_id, 'facts', rule, 'factual', null, answer, null from fa where rule <> 'none'
+  union all select question_id, 'prompt', null, intent, template, 'Question: ' || question || chr(10) || chr(10) || 'Context:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Answer from the context and cite it.', chunks from routed left join told using (question_id))"""
+
+
 QUERIES = {"answer_batch": answers, "answer_types": answer_types, "context_assembly": context_assembly}
+_ANSWERS_SQL = _answers_sql()
 SQL = {
+    "answer_batch": _ANSWERS_SQL + " select question_id, answer_type, rule, intent, template, md5(answer) as answer_md5, chunks from a",
+    "answer_types": _ANSWERS_SQL + " select answer_type, count(*) as n, count(*) filter (answer_type = 'facts') as n_final, count(*) filter (answer_type = 'invalid') as n_errors from a group by 1",
     "context_assembly": """with q as (select vec_id as query_id, embedding::double[] as v from embeddings where vec_id % 50 = 0),
 s as (select q.query_id, e.vec_id as chunk_id, e.label, round(list_dot_product(q.v, e.embedding::double[]), 6) as score from q, embeddings e),
 r as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rn from s qualify rn <= 5),

@@ -8,7 +8,7 @@ from lexloom.operators import audit as A
 from lexloom.operators.filters import since
 from lexloom.session import table
 from lexloom.sources.readers import jsonl_counts
-from lexloom.sources.sinks import audit_export, focused_export
+from lexloom.sources.sinks import ANALYSIS_COLUMNS, AUDIT_COLUMNS, FOCUSED_COLUMNS, analysis_rows, audit_export, audit_rows, focused_export, focused_rows
 
 
 def _k():
@@ -24,7 +24,8 @@ def events(spark, sf):
 
 
 def audit_summary(spark, sf):
-    return A.audit_summary(events(spark, sf))
+    expanded = F.when(F.col("total_tokens") % 5 == 0, F.array("intent")).when(F.col("total_tokens") % 5 == 1, F.array().cast("array<string>"))
+    return A.audit_summary(events(spark, sf).withColumn("expanded_terms", expanded))
 
 
 def audit_intents(spark, sf):
@@ -58,6 +59,27 @@ def audit_focused(spark, sf):
     return out.select("doc_id", "lang", F.md5("text").alias("text_md5"), F.length("text").alias("length"), "long")
 
 
+def _records(spark, sf):
+    """Audit records as they are logged, from events."""
+    return events(spark, sf).select(
+        F.concat(F.lit("q"), "event_id").alias("query_id"), F.col("ts").cast("string").alias("timestamp"), F.concat(F.lit("about "), "intent").alias("user_query"), "intent",
+        F.when(F.col("user_id") % 3 > 0, F.repeat(F.lit("answer "), (F.col("user_id") % 100).cast("int"))).alias("final_answer"), F.when(F.col("user_id") % 4 > 0, F.col("failed")).alias("error_occurred"),
+        F.array("intent", F.lit("x")).alias("retrieval_method"), "chunk_count", "total_tokens", F.col("cost_usd").alias("estimated_cost_usd"), F.lit(0).alias("answer_length"), F.lit("batch").alias("environment"),
+    )
+
+
+def audit_report(spark, sf):
+    return audit_rows(_records(spark, sf))
+
+
+def audit_short(spark, sf):
+    return focused_rows(_records(spark, sf))
+
+
+def audit_analysis(spark, sf):
+    return analysis_rows(_records(spark, sf))
+
+
 def audit_lookback(spark, sf):
     recent = since(table(spark, sf, "events"), "ts", hours=24, now="2024-01-30 00:00:00")
     return recent.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("avg_value"), F.max("ts").cast("string").alias("last_ts"))
@@ -114,17 +136,34 @@ def jsonl_validate(spark, sf):
     return jsonl_counts(e.select(line.alias("value")), ["k"])
 
 
-QUERIES = {f.__name__: f for f in (audit_summary, audit_intents, audit_errors, audit_error_rows, audit_llm_stats, audit_cost, audit_export_rows, audit_focused, audit_lookback, dashboard, log_pairing, querylog_stats, querylog_union, word_freq, recent_queries, prompt_stats, expansion_stats, expansion_summary, jsonl_validate)}
+QUERIES = {f.__name__: f for f in (audit_summary, audit_intents, audit_errors, audit_error_rows, audit_llm_stats, audit_cost, audit_export_rows, audit_focused, audit_report, audit_short, audit_analysis, audit_lookback, dashboard, log_pairing, querylog_stats, querylog_union, word_freq, recent_queries, prompt_stats, expansion_stats, expansion_summary, jsonl_validate)}
 
 _E = """
 with e as (select event_id, ts, user_id, event_type as intent, event_type = 'error' as failed, value as total_time_ms, (props->>'$.k')::int as total_tokens,
                   round(((props->>'$.k')::int + user_id)::double / 1000 * 0.0015::double, 6) as cost_usd, (props->>'$.k')::int % 7 as chunk_count, length(props) as answer_length
            from events)"""
+_R = (
+    _E
+    + """, a as (select 'q' || event_id as query_id, ts::varchar as timestamp, 'about ' || intent as user_query, intent, case when user_id % 3 > 0 then repeat('answer ', (user_id % 100)::int) end as final_answer,
+  case when user_id % 4 > 0 then failed end as error_occurred, chunk_count, total_tokens, cost_usd as estimated_cost_usd, 0 as answer_length, 'batch' as environment from e)"""
+)
+
+
+def _columns(names: tuple[str, ...], **shown: str) -> str:
+    there = ("query_id", "timestamp", "user_query", "intent", "final_answer", "error_occurred", "chunk_count", "total_tokens", "estimated_cost_usd", "answer_length", "environment")
+    return ", ".join(f"{shown[n]} as {n}" if n in shown else n if n in there else f"null::varchar as {n}" for n in names)
+
+
+_FLAG = "case when coalesce(error_occurred, false) then 'Yes' else 'No' end"
 SQL = {
+    "audit_report": _R + " select " + _columns(AUDIT_COLUMNS, error_occurred=_FLAG, retrieval_method="intent || ', x'", answer_length="case when length(final_answer) > 0 then length(final_answer) else answer_length end::int") + " from a",
+    "audit_short": _R + " select " + _columns(FOCUSED_COLUMNS, error_occurred=_FLAG, final_answer="case when length(final_answer) > 500 then final_answer[1:500] || '...' else final_answer end") + " from a",
+    "audit_analysis": _R + " select " + _columns(ANALYSIS_COLUMNS, error_occurred="coalesce(error_occurred, false)") + " from a",
     "audit_summary": _E
     + """ select count(*) as total, count(*) filter (not failed) as successful, count(*) filter (failed) as failed_n, round(100.0::double * count(*) filter (not failed) / count(*), 2) as success_rate,
  round(avg(nullif(total_time_ms, 0)), 4) as avg_time_ms, min(nullif(total_time_ms, 0)) as min_time_ms, max(nullif(total_time_ms, 0)) as max_time_ms, round(sum(cost_usd), 4) as total_cost,
- sum(total_tokens)::bigint as total_tokens, round(sum(total_tokens)::double / count(*), 4) as tokens_per_query, round(avg(nullif(chunk_count, 0)), 4) as avg_chunks from e""",
+ sum(total_tokens)::bigint as total_tokens, round(sum(total_tokens)::double / count(*), 4) as tokens_per_query, round(avg(nullif(chunk_count, 0)), 4) as avg_chunks,
+count(*) filter (total_tokens % 5 = 0) as expanded, round(100.0::double * count(*) filter (total_tokens % 5 = 0) / count(*), 2) as expansion_rate from e""",
     "audit_intents": _E + " select intent, count(*) as n, round(count(*)::double / sum(count(*)) over (), 6) as share from e group by 1",
     "audit_errors": _E + " select user_id % 10 as user_group, count(*) as n, count(*) filter (failed) as errors, round(100.0::double * count(*) filter (failed) / count(*), 2) as error_rate, (max(ts) filter (failed))::varchar as last_error from e group by 1",
     "audit_error_rows": _E + " select event_id, user_id, total_time_ms from e where failed",

@@ -41,17 +41,23 @@ def intent_winner(spark, sf):
     return c.select("question_id", "intent", "confidence", "gap", "too_vague", F.array_join("matched_terms", "|").alias("matched_terms"))
 
 
+LEADS = ("Compare and contrast the trend: ", "List examples of ", "Why, and in what context: ", "How do winners think about ", "Overall narrative: ", "", "Search: ")
+
+
+def _subtyped(spark, sf):
+    """Cues are prefixed to most questions, as the invented prose holds few."""
+    lead = F.element_at(F.array(*map(F.lit, LEADS)), (F.col("question_id") % len(LEADS) + 1).cast("int"))
+    return I.subtype(_questions(spark, sf).withColumn("led", F.concat(lead, "question")), "led")
+
+
 def subtype(spark, sf):
-    """Cues are prefixed to the questions, as the invented prose holds none."""
-    q = _questions(spark, sf)
-    lead = F.element_at(F.array(*map(F.lit, ("Compare and contrast the trend: ", "List examples of ", "Why, and in what context: ", "How do winners think about ", "Overall narrative: ", "", "Search: "))), (F.col("question_id") % 7 + 1).cast("int"))
-    s = I.subtype(q.withColumn("question", F.concat(lead, F.lit("#"))), "question")
+    s = _subtyped(spark, sf)
     return s.select("question_id", F.coalesce("subtype", F.lit("none")).alias("subtype"), F.round(F.coalesce("subtype_confidence", F.lit(0.0)), 6).alias("confidence"), F.coalesce(F.array_join("subtype_cues", "|"), F.lit("")).alias("cues"))
 
 
 def route_config(spark, sf):
-    r = I.route(I.classify(_questions(spark, sf), "question", WEIGHTS))
-    return r.select("question_id", "intent", "top_k", "score_threshold", "low_confidence", I.template_name(F.col("intent"), F.lit(None).cast("string"), F.col("question")).alias("template"))
+    r = I.route(I.classify(_subtyped(spark, sf), "question", WEIGHTS))
+    return r.select("question_id", "intent", "top_k", "score_threshold", "low_confidence", I.template_name(F.col("intent"), F.col("subtype"), F.col("question")).alias("template"))
 
 
 def question_top_k(spark, sf):
@@ -91,14 +97,31 @@ w as (select *, case when k = 0 then 'factual' when k > 1 and gap <= 0.3::double
       (case when factual > 0 then 0.9 else 0 end + case when thematic > 0 then 0.6 else 0 end + case when generative > 0 then 0.8 else 0 end)::double as possible from g),
 c as (select *, round(case when k = 0 then 0.1::double else least(1, greatest(0.1::double, s1 / possible * (1 - penalty))) end, 6) as confidence from w)"""
 )
-_LEADS = """case question_id % 7 when 0 then ('analytical', 1.0, 'compare|contrast|trend') when 1 then ('enumerative', 1.0, 'list|examples') when 2 then ('exploratory', 1.0, 'context|why')
- when 3 then ('synthesis', 0.3, 'synthesis_frame_match') when 4 then ('synthesis', 0.8, 'narrative|overall') when 5 then ('none', 0.0, '') else ('enumerative', 0.3, 'search') end"""
+LEAD_CASES = " ".join(f"when {i} then '{x}'" for i, x in enumerate(LEADS))
+
+
+def _subtype_sql() -> str:
+    """question_id, best subtype, its score and cues, from q."""
+    has = lambda w: f"contains(low, '{w}')"
+    strong = " or ".join(map(has, I.STRONG))
+    frame = f"regexp_matches(low, '({'|'.join(I.SUBJECTS)}) ({'|'.join(I.VERBS)})')"
+    rows = []
+    for i, (name, cues) in enumerate(I.SUBTYPE_CUES.items()):
+        found = "list_filter([" + ", ".join(f"case when {has(c)} then '{c}' end" for c in cues) + "], lambda x: x is not null)"
+        extra, more = (f"case when {frame} then 0.3 else 0 end", f"case when {frame} then ['synthesis_frame_match'] else [] end") if name == "synthesis" else ("0", "[]")
+        rows.append(f"select question_id, {i} as ord, '{name}' as name, {found} as cues, {extra} as frame, {more} as framed, case when {strong} then 0.3 else 0 end as strong from l")
+    return f"""l as (select question_id, lower((case question_id % {len(LEADS)} {LEAD_CASES} end) || question) as low from q), p as ({" union all ".join(rows)}),
+b as (select question_id, ord, name, list_concat(cues, framed) as cues, (len(cues) * 0.3 + case when len(cues) > 1 then 0.2 else 0 end + strong + frame)::double as score from p),
+k as (select question_id, case when score > 0 then name else 'none' end as subtype, round(least(1, score), 6)::double as confidence, case when score > 0 then array_to_string(cues, '|') else '' end as cues
+      from b qualify row_number() over (partition by question_id order by round(score, 6) desc, ord) = 1)"""
+
+
 SQL = {
     "question_validate": r"select case question_id % 7 when 0 then 'blank' when 1 then 'specials' when 2 then 'digits' when 3 then 'short' else case when length(question) > 500 then 'long' else 'ok' end end as fault, count(*) as n from (select conv_id * 1000 + turn as question_id, text as question from conversations) group by 1",
     "question_vague": _Q + f" select question_id, {_VAGUE} as vague from q",
     "intent_scores": _Q + " select question_id, " + ", ".join(f"{_score(k)} as {i}" for i, k in WEIGHTS.items()) + " from q",
     "intent_winner": _WIN + f" select question_id, intent, confidence, gap, k = 0 and {_VAGUE} as too_vague, case when k = 0 then '' when intent = 'factual' then factual_terms when intent = 'thematic' then thematic_terms else generative_terms end as matched_terms from c",
-    "subtype": _Q + f", x as (select question_id, {_LEADS} as v from q) select question_id, v[1] as subtype, v[2]::double as confidence, v[3] as cues from x",
-    "route_config": _WIN + " select question_id, intent, case intent when 'factual' then 5 when 'thematic' then 15 else 10 end as top_k, case intent when 'factual' then 0.25 else 0.2 end::double as score_threshold, confidence < 0.5::double as low_confidence, case intent when 'factual' then 'qa_factual' when 'thematic' then 'thematic_synthesis_clean' else case when contains(lower(question), 'email') or contains(lower(question), 'accept') then 'generative_email' when contains(lower(question), 'speech') or contains(lower(question), 'inspirational') then 'generative_speech' when contains(lower(question), 'reflection') or contains(lower(question), 'personal') then 'generative_reflection' else 'generative_email' end end as template from c",
+    "subtype": _Q + f", {_subtype_sql()} select * from k",
+    "route_config": _WIN + f", {_subtype_sql()}" + " select question_id, intent, case intent when 'factual' then 5 when 'thematic' then 15 else 10 end as top_k, case intent when 'factual' then 0.25 else 0.2 end::double as score_threshold, c.confidence < 0.5::double as low_confidence, case intent when 'factual' then 'qa_factual' when 'thematic' then case subtype when 'enumerative' then 'thematic_enumerative' when 'analytical' then 'thematic_comparative' when 'exploratory' then 'thematic_contextual' else 'thematic_synthesis_clean' end else case when contains(lower(question), 'email') or contains(lower(question), 'accept') then 'generative_email' when contains(lower(question), 'speech') or contains(lower(question), 'inspirational') then 'generative_speech' when contains(lower(question), 'reflection') or contains(lower(question), 'personal') then 'generative_reflection' else 'generative_email' end end as template from c join k using (question_id)",
     "question_top_k": _Q + " select question_id, case when regexp_matches(lower(question), 'that|und') then 15 when regexp_matches(lower(question), 'la|die') then 10 else 5 end as k from q",
 }

@@ -33,7 +33,7 @@ def _md5(expr):
 
 text_clean = _md5(lambda c: T.clean_text(F.concat(F.lit("“ note [x y] – "), c)))
 text_whitespace = _md5(lambda c: T.normalize_whitespace(F.replace(c, F.lit("."), F.lit(" .\n\n "))))
-text_boilerplate = _md5(lambda c: T.drop_boilerplate(c, (*T.BOILERPLATE, "the", "an")))
+text_boilerplate = _md5(lambda c: T.drop_boilerplate(F.concat(F.lit("Prize lecture of\n"), c), (*T.BOILERPLATE, "the", "an"), "prize"))
 text_ceremony = _md5(lambda c: T.cut_ceremony(c, "license", ("the", "die", "la")))
 text_lecture = _md5(lambda c: T.clean_lecture(F.concat(F.lit("Prizes\n"), c), "prizes", ("the", "die")))
 text_motivation = _md5(lambda c: T.clean_motivation(F.concat(F.lit('"work,A '), c)))
@@ -196,6 +196,18 @@ h as (select distinct doc_id, theme from u join th on u.w = th.keyword where not
       union select doc_id, theme from documents, th where contains(keyword, ' ') and contains(lower(text), keyword))"""
 
 
+#: Paragraphs p (doc_id, k, w) and their chunk f (doc_id, k, chunk c, words n of the chunk so far).
+_GREEDY = """with recursive p as (
+  select doc_id, row_number() over (partition by doc_id order by l, i) as k, list_slice(w, i * {most} + 1, i * {most} + {most}) as w
+  from (select doc_id, l, w, unnest(range((len(w) - 1) // {most} + 1)) as i from (
+    select doc_id, l, list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '') as w
+    from (select doc_id, unnest({lines}) as line, generate_subscripts({lines}, 1) as l from documents)) where len(w) > 0)),
+f as (
+  select doc_id, k, 0 as c, len(w) as n from p where k = 1
+  union all
+  select p.doc_id, p.k, case when f.n + len(p.w) <= {most} then f.c else f.c + 1 end,
+         case when f.n + len(p.w) <= {most} then f.n + len(p.w) when least({overlap}, f.n) + len(p.w) <= {most} then least({overlap}, f.n) + len(p.w) else len(p.w) end
+  from f join p on p.doc_id = f.doc_id and p.k = f.k + 1)"""
 _GREEDY_WORDS = f"select doc_id, md5(array_to_string({_WORDS}, ' ')) as words_md5 from documents where len({_WORDS}) > 0"
 SQL = {
     "text_clean": _sql_md5(_CLEAN),
@@ -205,7 +217,7 @@ SQL = {
     "text_lecture": _sql_md5(_JOIN.format(f"list_filter({_LINES}, lambda x: not regexp_matches(lower({_trim('x')}), '^(the|die)'))")),
     "text_motivation": _sql_md5(_trim(_chain("'\"work,A ' || text", ('["“”]', "''"), (",([A-Z])", r"', \1'")))),
     "para_dedup": "select doc_id, md5(coalesce(string_agg(x, chr(10) order by i), '')) as text_md5 from documents left join (select doc_id, x, min(i) as i from (select doc_id, unnest(list_transform(" + _LINES + ", lambda x: " + _trim("x") + ")) as x, generate_subscripts(" + _LINES + ", 1) as i from documents) where x <> '' group by 1, 2) using (doc_id) group by doc_id",
-    "text_key": _sql_md5(f"regexp_replace(translate(lower(text), '{T.ACCENTED}', '{T.FOLDED}'), '[^a-z0-9]', '', 'g')"),
+    "text_key": _sql_md5("regexp_replace(lower(strip_accents(text)), '[^a-z0-9]', '', 'g')"),
     "text_content": _sql_md5(f"coalesce(array_to_string(list_filter({_TOK}, lambda w: length(w) >= 3 and not list_contains({_STOPS}, w)), ' '), '')"),
     "text_lemmas": _sql_md5(f"coalesce(array_to_string(list_transform({_TOK}, lambda w: {_LEMMA_CASE}), ' '), '')"),
     "focus_text": _sql_md5(f"coalesce(nullif(array_to_string(list_filter({_TOK}, lambda w: w in ('und', 'that')), ' '), ''), nullif(array_to_string(list_filter({_TOK}, lambda w: length(w) >= 3 and not list_contains({_STOPS}, w)), ' '), ''), text)"),
@@ -215,18 +227,17 @@ SQL = {
     "text_dates": "select o_orderkey, case when o_orderkey % 3 < 2 then o_orderdate::date::varchar end as parsed from orders",
     "text_places": "select p_partkey, 'now ' || p_type as country, string_split(p_name, ' ')[-1] as last_name from part",
     "chunk_fixed": f"select doc_id || '_' || source || '_' || i as chunk_id, md5(array_to_string(list_slice(w, i * 100 + 1, i * 100 + 100), ' ')) as chunk_md5 from (select doc_id, source, w, unnest(range((len(w) - 1) // 100 + 1)) as i from (select doc_id, source, {_WORDS} as w from documents) where len(w) > 0)",
-    "chunk_greedy": f"""with recursive p as (
-  select doc_id, row_number() over (partition by doc_id order by l, i) as k, list_slice(w, i * 120 + 1, i * 120 + 120) as w
-  from (select doc_id, l, w, unnest(range((len(w) - 1) // 120 + 1)) as i from (
-    select doc_id, l, list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '') as w
-    from (select doc_id, unnest({_LINES}) as line, generate_subscripts({_LINES}, 1) as l from documents)) where len(w) > 0)),
-f as (
-  select doc_id, k, 0 as c, len(w) as n from p where k = 1
-  union all
-  select p.doc_id, p.k, case when f.n + len(p.w) <= 120 then f.c else f.c + 1 end, case when f.n + len(p.w) <= 120 then f.n + len(p.w) else len(p.w) end
-  from f join p on p.doc_id = f.doc_id and p.k = f.k + 1)
+    "chunk_greedy": _GREEDY.format(most=120, overlap=0, lines=_LINES) + """
 select doc_id, c::int as chunk_index, sum(len(w))::int as n_words, md5(string_agg(array_to_string(w, ' '), ' ' order by k)) as chunk_md5
 from f join p using (doc_id, k) group by 1, 2""",
+    "chunk_overlapping": _GREEDY.format(most=120, overlap=20, lines=_LINES) + " select doc_id, max(c) + 1 as chunks, max(n)::int as longest from f group by 1",
+    "corpus_build": _GREEDY.format(most=200, overlap=0, lines=_LINES) + """,
+n as (select doc_id, max(c) + 1 as chunks from f group by 1),
+l as (select doc_id % 100 as y, doc_id from documents qualify row_number() over (partition by doc_id % 100 order by length(text) desc nulls last, doc_id) = 1),
+a as (select c_custkey, 'motivation' as source_type, 1 as chunks from customer union all select c_custkey, 'life', 1 from customer
+      union all select c_custkey, 'lecture', chunks from customer join n on doc_id = c_custkey
+      union all select c_custkey, 'ceremony', chunks from customer join l on y = c_custkey % 100 join n using (doc_id))
+select source_type, sum(chunks)::bigint as chunks, sum(chunks)::bigint as ids, count(*) as entities from a group by 1""",
     "chunk_greedy_tokens": _GREEDY_WORDS,
     "chunk_sizes": f"select count(*) as chunks, min(w)::int as min_words, max(w)::int as max_words, round(avg(w), 4) as avg_words, min(c)::int as min_chars, max(c)::int as max_chars, round(avg(c), 4) as avg_chars, count(*) filter (w > 256) as over_256, count(*) filter (w > 384) as over_384, count(*) filter (w > 512) as over_512 from (select len({_WORDS}) as w, length(text) as c from documents)",
     "chunk_audit": f"select case when doc_id % 9 > 0 then source else 'unknown' end as type, count(*) as chunks, count(*) filter (len({_WORDS}) > 512) as too_long, count(*) filter (len({_WORDS}) < 10) as too_short from documents group by 1",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexloom.functions.vectors import l2_normalize, norm, uuid5, vector_fault
+from lexloom.functions.vectors import embed_table, embedding_counts, l2_normalize, norm, uuid5, vector_fault
 from lexloom.operators import retrieval as R
 from lexloom.session import register_sql, table
 
@@ -26,6 +26,7 @@ def _terms(spark, sf):
         F.col("query_id").alias("term_id"),
         F.col("query_id").alias("term_rank"),
         ((F.col("query_id") % 7).cast("double") / 10).alias("weight"),
+        F.concat(F.lit("t"), (F.col("query_id") / 50).cast("int").cast("string")).alias("term"),
         "vec",
     )
 
@@ -86,8 +87,9 @@ def vector_norms(spark, sf):
 
 
 def vector_normalized(spark, sf):
-    v = table(spark, sf, "embeddings").select("vec_id", l2_normalize("embedding").alias("v"))
-    return v.select("vec_id", F.round(norm("v"), 4).alias("unit_norm"), F.size("v").alias("dim"))
+    longer = F.transform("embedding", lambda x, i: (x * (i + 1)).cast("float"))
+    v = table(spark, sf, "embeddings").select("vec_id", l2_normalize(longer).alias("v"))
+    return v.select("vec_id", F.round(norm("v"), 4).alias("unit_norm"), F.size("v").alias("dim"), F.round(F.get("v", 0).cast("double"), 5).alias("first"), F.round(F.get("v", 63).cast("double"), 5).alias("last"))
 
 
 def vector_quality(spark, sf):
@@ -111,11 +113,30 @@ def expansion_intersection(spark, sf):
     return R.ranked_intersection(expanded, scored, 10)
 
 
+def text_vectors(spark, sf):
+    """Every document embedded: its strongest slot and that slot's weight."""
+    e = embed_table(table(spark, sf, "documents").select("doc_id", "text"), "text").where(F.col("embedding").isNotNull())
+    most = F.array_max("embedding")
+    return e.select("doc_id", F.array_position("embedding", most).cast("int").alias("slot"), F.round(most.cast("double"), 5).alias("weight"))
+
+
+def text_vector_counts(spark, sf):
+    """Rows and failures of the embedding, by language; texts without a word fail."""
+    docs = table(spark, sf, "documents").select("lang", F.when(F.col("doc_id") % 9 > 0, F.col("text")).otherwise("?!").alias("text"))
+    return embedding_counts(embed_table(docs, "text"), "lang")
+
+
 def sql_functions(spark, sf):
     register_sql(spark)
     table(spark, sf, "embeddings").createOrReplaceTempView("lex_embeddings")
-    return spark.sql("SELECT vec_id, round(lex_dot(embedding, embedding), 4) AS self, round(lex_norm(embedding), 4) AS norm, lex_words(concat('a  b ', vec_id)) AS n_words, lex_squeeze(concat(' a  ', vec_id)) AS squeezed FROM lex_embeddings")
+    table(spark, sf, "documents").createOrReplaceTempView("lex_documents")
+    return spark.sql("SELECT doc_id, round(lex_dot(embedding, reverse(embedding)), 4) AS crossed, round(lex_norm(slice(embedding, 1, 9)), 4) AS norm, lex_words(text) AS n_words, md5(lex_squeeze(text)) AS squeezed_md5 FROM lex_documents LEFT JOIN lex_embeddings ON doc_id = vec_id")
+
 
+#: Hashed embedding of a column text: list of 64 floats, null without a word.
+EMBEDDED_SQL = r"""(with w as (select list_transform(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda w: w <> ''), lambda w: ('0x' || md5(w)[1:6])::int % 64) as slots),
+ c as (select list_transform(range(64), lambda i: len(list_filter(slots, lambda s: s = i))::float) as v from w), n as (select v, sqrt(list_sum(list_transform(v, lambda x: x::double * x::double))) as s from c)
+ select case when s > 0 then list_transform(v, lambda x: (x::double / s)::float) end from n)"""
 
 _SCORES = """
 with q as (select vec_id as query_id, embedding::double[] as v from embeddings where vec_id % 50 = 0),
@@ -145,7 +166,7 @@ select query_id, chunk_id, term_id, boost_factor, score,
 from n where case when enough then score >= {threshold}::double else rn < {least} end and rn < {most}"""
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, vector_topk_fallback, vector_topk_metadata, vector_adaptive_k, term_weighted_retrieval, term_union_retrieval, retrieval_report, ranked_expansion, expansion_map, expansion_intersection, sql_functions, score_stats, reason_counts, vector_norms, vector_normalized, vector_quality, vector_publish_ids)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, vector_topk_fallback, vector_topk_metadata, vector_adaptive_k, term_weighted_retrieval, term_union_retrieval, retrieval_report, ranked_expansion, expansion_map, expansion_intersection, text_vectors, text_vector_counts, sql_functions, score_stats, reason_counts, vector_norms, vector_normalized, vector_quality, vector_publish_ids)}
 
 _NORM = "sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double)))"
 SQL = {
@@ -155,16 +176,21 @@ SQL = {
     "vector_topk_metadata": _SCORES + " select query_id, chunk_id, label, score, row_number() over (partition by query_id order by score desc, case when label = 0 then 1 else 0 end, chunk_id) - 1 as rank from r where rank < 10",
     "vector_adaptive_k": _SCORES + " select query_id, chunk_id, score, rank from r where rank < case query_id % 3 when 0 then 15 when 1 then 10 else 5 end",
     "term_weighted_retrieval": _terms_sql("exp(2 * ((query_id % 7)::double / 10))", 15, 0.5, 5, 12),
-    "term_union_retrieval": _terms_sql("1.0::double", 10, 0.35, 3, 10),
+    "term_union_retrieval": _terms_sql("1.0::double", 10, 0.35, 3, 10).replace("where vec_id % 50 = 0", "where vec_id % 50 = 0 and length('t' || (vec_id // 50)) > 2", 1),
     "retrieval_report": _SCORES + " select query_id % 100 as question, count(*) as n_found, count(distinct chunk_id) as n_unique, max(score) as best_score from r where rank < 5 group by 1",
     "ranked_expansion": _SCORES + " select q.query_id, n.chunk_id as term_id, coalesce(n.score, 1.0::double) as similarity from q left join (select * from r where rank < 20 and score >= 0.3::double) n on n.query_id = q.query_id",
     "expansion_map": _SCORES + " select query_id, string_agg(chunk_id::varchar || '=' || printf('%.4f', round(score, 4)), '|' order by chunk_id::varchar) as terms from r where rank < 20 and score >= 0.3::double group by 1",
     "expansion_intersection": _SCORES + ", x as (select * from r where rank < 20 and score >= 0.3::double and label < 5) select query_id, chunk_id as term_id, score as similarity, row_number() over (partition by query_id order by score desc, chunk_id) - 1 as rank from x qualify row_number() over (partition by query_id order by score desc, chunk_id) <= 10",
-    "sql_functions": "select vec_id, 1.0::double as self, 1.0::double as norm, 3 as n_words, 'a ' || vec_id as squeezed from embeddings",
+    "sql_functions": r"""select doc_id, round(list_dot_product(embedding::double[], list_reverse(embedding::double[])), 4) as crossed, round(sqrt(list_sum(list_transform(embedding[1:9], lambda x: x::double * x::double))), 4) as norm,
+ len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> ''))::int as n_words, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) as squeezed_md5 from documents left join embeddings on doc_id = vec_id""",
+    "text_vectors": f"with e as (select doc_id, {EMBEDDED_SQL} as v from documents) select doc_id, list_position(v, list_max(v))::int as slot, round(list_max(v)::double, 5) as weight from e where v is not null",
+    "text_vector_counts": "select lang, count(*) as n, count(*) filter (not regexp_matches(coalesce(text, ''), '[\\p{L}\\p{N}_]')) as failed from (select lang, case when doc_id % 9 > 0 then text else '?!' end as text from documents) group by 1",
     "score_stats": _SCORES + " select query_id, count(*) as n, round(avg(score), 6) as mean_score, round(stddev_pop(score), 6) as std_score, min(score) as min_score, max(score) as max_score, round(median(score), 6) as median_score from r where rank < 15 group by 1",
     "reason_counts": _FALLBACK + " select filtering_reason, count(*) as n, count(distinct query_id) as n_queries from f group by 1",
     "vector_norms": f"select label, count(*) as vectors, round(avg(n), 6) as mean_norm, round(stddev_pop(n), 6) as std_norm, round(min(n), 6) as min_norm, round(max(n), 6) as max_norm, count(*) filter (n <= 1e-8) as zero_vectors from (select label, {_NORM} as n from embeddings) group by 1",
-    "vector_normalized": "select vec_id, round(1.0::double, 4) as unit_norm, len(embedding)::int as dim from embeddings",
+    "vector_normalized": """with l as (select vec_id, list_transform(embedding, lambda x, i: (x * i)::float) as v from embeddings), n as (select vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x::double * x::double))) as s from l),
+u as (select vec_id, list_transform(v, lambda x: (x::double / s)::float) as v from n)
+select vec_id, round(sqrt(list_sum(list_transform(v, lambda x: x::double * x::double))), 4) as unit_norm, len(v)::int as dim, round(v[1]::double, 5) as first, round(v[64]::double, 5) as last from u""",
     "vector_quality": f"select case when embedding is null then 'null' when len(embedding) <> {DIM} then 'dim' when len(list_filter(embedding, lambda x: x is null or isnan(x))) > 0 then 'nan' when len(list_filter(embedding, lambda x: isinf(x))) > 0 then 'inf' when len(list_filter(embedding, lambda x: abs(x) > 1e-8)) = 0 then 'zero' else 'ok' end as fault, count(*) as n from embeddings group by 1",
     "vector_publish_ids": """select vec_id, label,
  substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', strpos('0123456789abcdef', substr(h, 17, 1)), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) as point_id

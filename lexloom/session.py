@@ -26,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession, kind: str = "tables") -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one only where that
-    is unset, as in local tests."""
+    is unset and both are one process, as in local tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-lexloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{kind}-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from lexloom.functions.text import file_key, trim_all
 from lexloom.functions.vectors import vector_fault
 
+# Fields of the award files; {award}_lecture_file has the award's name in it.
 _LAUREATE = ("full_name", "gender", "country", "date_of_birth", "date_of_death", "place_of_birth", "prize_motivation", "life_blurb", "work_blurb", "language")
 AWARDS = T.StructType(
     [
@@ -20,7 +21,7 @@ AWARDS = T.StructType(
                 T.StructType(
                     [T.StructField(n, T.StringType()) for n in _LAUREATE]
                     + [T.StructField(n, T.BooleanType()) for n in ("declined", "specific_work_cited", "lecture_delivered")]
-                    + [T.StructField(n, T.StringType()) for n in ("cited_work", "lecture_file", "lecture_absence_reason", "ceremony_file", "acceptance_file", "last_updated")]
+                    + [T.StructField(n, T.StringType()) for n in ("cited_work", "lecture_file", "lecture_title", "lecture_absence_reason", "ceremony_file", "acceptance_file", "last_updated")]
                 )
             ),
         ),
@@ -59,9 +60,18 @@ TEMPLATES = (
 DEFAULT_TEMPLATE = "Question: {query}\n\nContext:\n{context}\n\nAnswer from the context and cite it."
 
 
-def read_awards(spark: SparkSession, path: str) -> DataFrame:
-    """Nested records, one JSON array or object in a file."""
-    return spark.read.schema(AWARDS).json(path, multiLine=True)
+def read_awards(spark: SparkSession, path: str, prefix: str = "award") -> DataFrame:
+    """Nested records, one JSON array or object in a file. The files call lecture_file and lecture_title
+    {prefix}_lecture_file and {prefix}_lecture_title; files in which no record has the first are an error."""
+    renamed = {n: f"{prefix}_{n}" for n in ("lecture_file", "lecture_title")}
+    year, category, people = AWARDS.fields
+    stored = T.StructType([T.StructField(renamed.get(f.name, f.name), f.dataType) for f in people.dataType.elementType])
+    found = spark.read.json(path, multiLine=True).schema
+    inside = found["laureates"].dataType.elementType.names if "laureates" in found.names else []
+    if renamed["lecture_file"] not in inside:
+        raise ValueError(f"no record has the field {renamed['lecture_file']}: is {prefix!r} the right prefix?")
+    rows = spark.read.schema(T.StructType([year, category, T.StructField(people.name, T.ArrayType(stored))])).json(path, multiLine=True)
+    return rows.withColumn(people.name, F.col(people.name).cast(people.dataType))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

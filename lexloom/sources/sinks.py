@@ -9,6 +9,30 @@ from lexloom.functions.text import truncated
 from lexloom.functions.vectors import uuid5
 
 
+# Columns of the audit report, of its short form, and of the analysis.
+AUDIT_COLUMNS = (
+    "query_id", "timestamp", "user_query", "intent", "confidence", "thematic_subtype", "subtype_confidence", "retrieval_method", "top_k",
+    "score_threshold", "chunk_count", "prompt_tokens", "completion_tokens", "total_tokens", "estimated_cost_usd", "total_processing_time_ms",
+    "retrieval_time_ms", "llm_time_ms", "llm_model", "llm_temperature", "answer_type", "answer_length", "error_occurred", "error_message",
+    "environment", "source",
+)
+FOCUSED_COLUMNS = ("user_query", "intent", "prompt_template", "final_prompt", "final_answer", "error_occurred", "error_message", "timestamp", "query_id")
+ANALYSIS_COLUMNS = (
+    "query_id", "timestamp", "user_query", "intent", "confidence", "chunk_count", "prompt_length", "total_tokens", "estimated_cost_usd",
+    "total_processing_time_ms", "error_occurred", "error_type", "answer_length",
+)
+
+
+def with_columns(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Exactly these columns; those that df lacks are null."""
+    return df.select(*[F.col(n) if n in df.columns else F.lit(None).cast("string").alias(n) for n in names])
+
+
+def without_keys(c: Column, keys: list[str]) -> Column:
+    """A map without some of its keys."""
+    return F.map_filter(c, lambda k, _: ~k.isin(*keys))
+
+
 def write_chunks(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
@@ -51,16 +75,37 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def audit_rows(df: DataFrame) -> DataFrame:
+    """The columns of the audit report from audit records; answer_length is that of final_answer where there is one."""
+    known = "answer_length" in df.columns
+    whole = audit_export(df.withColumnRenamed("answer_length", "_stated") if known else df)
+    if known and "final_answer" in df.columns:
+        whole = whole.withColumn("answer_length", F.when(F.length("final_answer") > 0, F.col("answer_length")).otherwise(F.col("_stated")))
+    elif known:
+        whole = whole.withColumnRenamed("_stated", "answer_length")
+    return with_columns(whole, AUDIT_COLUMNS)
+
+
+def focused_rows(df: DataFrame, longest: int = 500) -> DataFrame:
+    """The columns of the short report: long texts cut, the error as Yes or No."""
+    return focused_export(with_columns(df, FOCUSED_COLUMNS), list(FOCUSED_COLUMNS), ["final_prompt", "final_answer"], ["error_occurred"], longest)
+
+
+def analysis_rows(df: DataFrame) -> DataFrame:
+    """The columns of the analysis; a missing error flag counts as no error."""
+    return with_columns(df, ANALYSIS_COLUMNS).withColumn("error_occurred", F.coalesce(F.col("error_occurred").cast("boolean"), F.lit(False)))
+
+
 def export_audit_csv(df: DataFrame, path: str) -> None:
-    write_csv(audit_export(df), path)
+    write_csv(audit_rows(df), path)
 
 
-def export_focused_csv(df: DataFrame, path: str, cols: list[str], text_cols: list[str], flag_cols: list[str] = ()) -> None:
-    write_csv(focused_export(df, cols, text_cols, flag_cols), path)
+def export_focused_csv(df: DataFrame, path: str) -> None:
+    write_csv(focused_rows(df), path)
 
 
-def export_analysis_csv(df: DataFrame, path: str, cols: list[str], flag: str = "error_occurred") -> None:
-    write_csv(df.select(*[F.coalesce(c, F.lit(False)).alias(c) if c == flag else F.col(c) for c in cols]), path)
+def export_analysis_csv(df: DataFrame, path: str) -> None:
+    write_csv(analysis_rows(df), path)
 
 
 def write_report(df: DataFrame, path: str) -> None:
