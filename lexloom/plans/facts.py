@@ -105,9 +105,13 @@ def facts_count_country(spark, sf):
     return counted.select("country", F.concat(F.col("n").cast("string"), F.lit(" laureates are from "), F.initcap("country"), F.lit(".")).alias("answer"))
 
 
+LANDS = ("France", " sweden ", "USA", "United Kingdom", "Soviet Union", "Chile", "Japan", "Atlantis")
+
+
 def facts_country_flag(spark, sf):
-    dim = table(spark, sf, "nation").select(F.col("n_name").alias("country"), F.concat(F.lit("A"), F.char(65 + F.col("n_nationkey"))).alias("iso2")).where("n_nationkey < 20")
-    return X.with_flag(table(spark, sf, "nation").select("n_nationkey", "n_name"), "n_name", dim)
+    """Customers live in countries of the world by their nation's number; the last of these is no country."""
+    named = F.element_at(F.array(*map(F.lit, LANDS)), (F.col("c_nationkey") % len(LANDS) + 1).cast("int"))
+    return X.with_flag(table(spark, sf, "customer").select("c_custkey", named.alias("country")), "country", X.country_dimension(spark)).groupBy("country", "flag").agg(F.count(F.lit(1)).alias("n"))
 
 
 def facts_texts(spark, sf):
@@ -221,6 +225,7 @@ a as (select ord as question_id,
   from g)"""
 )
 
+_LAND = "[" + ", ".join(f"'{x}'" for x in LANDS) + "][c_nationkey % 8 + 1]"
 SQL = {
     "facts_flatten": "select o_orderkey, o_orderstatus, (row_number() over (partition by o_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) - 1)::int as ord, l_linenumber, l_partkey, l_suppkey, l_quantity from orders join lineitem on o_orderkey = l_orderkey",
     "facts_count_since": _FACTS + " select count(*) as n from f where category = 'MACHINERY' and year_awarded >= 1996",
@@ -235,7 +240,7 @@ select c_mktsegment, max(o_orderkey) filter (a = 1) as first_o_orderkey, max(c_n
     "facts_filters": "select doc_id, lang, source from documents where lang = 'en' and source in ('src1', 'src2')",
     "facts_by_id": "select event_id, event_type, value from events where event_id = 77",
     "facts_count_country": _FACTS + " select country, count(*) || ' laureates are from ' || upper(country[1]) || country[2:] || '.' as answer from f group by 1",
-    "facts_country_flag": "select n_nationkey, n_name, case when n_nationkey < 20 then chr(127462) || chr((127462 + n_nationkey)::int) end as flag from nation",
+    "facts_country_flag": "select " + _LAND + " as country, case c_nationkey % 8 when 0 then '🇫🇷' when 1 then '🇸🇪' when 2 then '🇺🇸' when 3 then '🇬🇧' when 4 then '🇷🇺' when 5 then '🇨🇱' when 6 then '🇯🇵' end as flag, count(*) as n from customer group by 1, 2",
     "facts_texts": _FACTS
     + """, t as (select year(o_orderdate)::int as year, lower(c_name) as last_name, o_orderkey as text_id from orders join customer on o_custkey = c_custkey),
 s as (select year(o_orderdate)::int as year, o_orderkey as text_id from orders qualify row_number() over (partition by year(o_orderdate) order by o_totalprice desc, o_orderkey desc) = 1)

@@ -19,12 +19,12 @@ def _events(spark, sf):
 
 
 def stream_hourly(spark, sf):
-    out = S.run_available(S.per_window(_events(spark, sf), "1 hour"), "complete")
+    out = S.run_available(S.per_window(_events(spark, sf), "1 hour"))
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "total_value")
 
 
 def stream_rolling(spark, sf):
-    out = S.run_available(S.per_window(_events(spark, sf), "24 hours", "6 hours", by=("event_type",)), "complete")
+    out = S.run_available(S.per_window(_events(spark, sf), "24 hours", "6 hours", by=("event_type",)))
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "total_value")
 
 
@@ -63,8 +63,8 @@ def stream_daily(spark, sf):
 
 QUERIES = {f.__name__: f for f in (stream_hourly, stream_rolling, stream_tail, stream_pairing, stream_dedup, stream_intent, stream_upsert, stream_daily)}
 SQL = {
-    "stream_hourly": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n, round(sum(value), 4) as total_value from events group by 1",
-    "stream_rolling": "with w as (select time_bucket(interval 6 hours, ts) - o * interval 6 hours as s, event_type, value from events, (select unnest([0, 1, 2, 3]) as o)) select strftime(s, '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n, round(sum(value), 4) as total_value from w group by 1, 2",
+    "stream_hourly": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n, round(sum(value), 4) as total_value from events where date_trunc('hour', ts) + interval 1 hour <= (select max(ts) - interval 2 hours from events) group by 1",
+    "stream_rolling": "with w as (select time_bucket(interval 6 hours, ts) - o * interval 6 hours as s, event_type, value from events, (select unnest([0, 1, 2, 3]) as o)) select strftime(s, '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n, round(sum(value), 4) as total_value from w where s + interval 24 hours <= (select max(ts) - interval 2 hours from events) group by 1, 2",
     "stream_tail": "select event_type, count(*) as n from events where event_type in ('error', 'signup') group by 1",
     "stream_pairing": """with k as (select *, case event_type when 'click' then 'start' when 'purchase' then 'done' when 'error' then 'fail' end as kind from events where event_type in ('click', 'purchase', 'error')),
 p as (select *, lag(kind) over w as before, lag(event_id) over w as start_id from k window w as (partition by user_id order by ts, event_id))

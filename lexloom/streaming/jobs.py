@@ -8,16 +8,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lexloom.operators.intent import classify
 from lexloom.operators.merge import upsert
 from lexloom.session import shared_folder
 
 
-def run_available(stream: DataFrame, mode: str = "append", partition_by: str | None = None, fmt: str = "parquet") -> DataFrame:
-    """Process all that is there into files and give them back as a table. Complete mode goes through foreachBatch."""
+def run_available(stream: DataFrame, mode: str = "append", partition_by: str | None = None, fmt: str = "parquet", folder: str | None = None) -> DataFrame:
+    """Process all that is there into files and give them back as a table. Complete mode goes through foreachBatch.
+
+    With a folder (shared by driver and executors) the job resumes: a later run goes on where the last one
+    ended, state included, and the table holds what all runs wrote. Without one each run starts anew.
+    """
     spark = stream.sparkSession
-    folder = shared_folder(spark, "streams")
+    folder = folder or shared_folder(spark, "streams")
     out = f"{folder}/out"
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint")
     if mode == "append":
@@ -29,9 +34,9 @@ def run_available(stream: DataFrame, mode: str = "append", partition_by: str | N
     return spark.read.schema(stream.schema).format(fmt if mode == "append" else "parquet").load(out)
 
 
-def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None]) -> None:
-    """foreachBatch over all that is there."""
-    folder = shared_folder(stream.sparkSession, "streams")
+def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], folder: str | None = None) -> None:
+    """foreachBatch over all that is there; with a folder a later run goes on with the batches that are new."""
+    folder = folder or shared_folder(stream.sparkSession, "streams")
     stream.writeStream.foreachBatch(step).trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").start().awaitTermination()
 
 
@@ -47,24 +52,22 @@ def pair_live(events: DataFrame, idle: str = "1 day", late: str = "2 hours") ->
         if state.hasTimedOut:
             state.remove()
             return
-        pending = state.get[0] if state.exists else None
-        out = []
         rows = pd.concat(list(frames)).sort_values(["ts", "id"])
-        for kind, row_id in zip(rows["kind"], rows["id"], strict=True):
-            if kind == "start":
-                pending = row_id
-            else:
-                if pending is not None:
-                    out.append((key[0], pending, row_id, "completed" if kind == "done" else "failed"))
-                pending = None
-        if pending is not None:
-            state.update((int(pending),))
+        starts = rows["kind"] == "start"
+        # the line before each line: a pending start stands before the first
+        before = rows["id"].where(starts).astype("Int64").shift(1)
+        if state.exists:
+            before.iloc[0] = state.get[0]
+        ends = ~starts & before.notna()
+        if starts.iloc[-1]:
+            state.update((int(rows["id"].iloc[-1]),))
             end = int(rows["ts"].iloc[-1].timestamp() * 1000) + int(pd.Timedelta(idle).total_seconds() * 1000)
             state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
-        if out:
-            yield pd.DataFrame(out, columns=["key", "start_id", "end_id", "status"])
+        if ends.any():
+            status = rows["kind"][ends].map({"done": "completed", "fail": "failed"})
+            yield pd.DataFrame({"key": key[0], "start_id": before[ends].astype("int64"), "end_id": rows["id"][ends], "status": status})
 
     kept = events.where(F.col("kind").isin("start", "done", "fail")).withWatermark("ts", late)
     return kept.groupBy("key").applyInPandasWithState(step, "key long, start_id long, end_id long, status string", "pending long", "append", GroupStateTimeout.EventTimeTimeout)
@@ -76,7 +79,11 @@ def tail(lines: DataFrame, keywords: list[str], col: str = "value") -> DataFrame
 
 
 def per_window(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "2 hours", by: tuple[str, ...] = ()) -> DataFrame:
-    """Rows and total value of each (sliding) window: start, n, total_value. Rows later than `late` are dropped."""
+    """Rows and total value of each (sliding) window: start, n, total_value.
+
+    In append mode a window is given once, when the watermark (`late` behind the newest row) has passed its
+    end; then its state goes, and rows that come later are dropped.
+    """
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
     counted = events.withWatermark("ts", late).groupBy(w, *by).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total_value"))
     return counted.select(F.col("window.start").alias("start"), *by, "n", "total_value")
@@ -92,28 +99,29 @@ def score_questions(questions: DataFrame, weights: dict) -> DataFrame:
     return classify(questions, "question", weights)
 
 
-def upsert_stream(changes: DataFrame, start: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Merge each batch of changes into a new version of the table; gives the last version.
+def upsert_stream(changes: DataFrame, start: DataFrame, keys: list[str], order: str, folder: str | None = None) -> DataFrame:
+    """Merge a stream of changes into a table; gives the table with all changes so far.
 
-    Within a batch the last change of a key by `order` counts. The version before stays beside the new
-    one, so a batch that is tried again starts from the same table.
+    Within a batch the last change of a key by `order` counts, and a later batch over an earlier one; a null
+    changes nothing. Each batch writes only its own changes, under its number, so a batch that is tried
+    again replaces itself, and no batch rewrites the table: reading merges them. With a folder a later run
+    resumes, and `start` must be the same table.
     """
     spark = start.sparkSession
-    folder = shared_folder(spark, "streams")
-    start.write.parquet(f"{folder}/v-1")
-    done = {-1: f"{folder}/v-1"}
+    folder = folder or shared_folder(spark, "streams")
+    cols = [c for c in changes.columns if c not in keys and c != order]
 
     def step(df: DataFrame, batch: int) -> None:
-        before = spark.read.parquet(done[max(b for b in done if b < batch)])
-        cols = [c for c in df.columns if c not in keys and c != order]
         last = df.groupBy(*keys).agg(*[F.max_by(c, F.col(order)).alias(c) for c in cols])
-        upsert(before, last, keys).write.mode("overwrite").parquet(f"{folder}/v{batch}")
-        done[batch] = f"{folder}/v{batch}"
+        last.write.mode("overwrite").parquet(f"{folder}/changes/batch={batch}")
 
-    run_batches(changes, step)
-    return spark.read.parquet(done[max(done)])
+    run_batches(changes, step, folder)
+    fields = [changes.schema[c] for c in [*keys, *cols]]
+    logged = spark.read.schema(StructType([*fields, StructField("batch", LongType())])).parquet(f"{folder}/changes")
+    last = logged.groupBy(*keys).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("batch"))).alias(c) for c in cols])
+    return upsert(start, last, keys)
 
 
-def daily_sink(events: DataFrame, ts_col: str = "ts") -> DataFrame:
+def daily_sink(events: DataFrame, ts_col: str = "ts", folder: str | None = None) -> DataFrame:
     """Append rows under their day and give the table back."""
-    return run_available(events.withColumn("dt", F.to_date(ts_col)), "append", "dt", "json")
+    return run_available(events.withColumn("dt", F.to_date(ts_col)), "append", "dt", "json", folder)

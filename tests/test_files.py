@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexloom.operators.audit import pair_events, parse_service_log
@@ -18,8 +19,11 @@ def test_jsonl_and_awards(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"k": 1}\nnot json\n{"k": 2}\n')
     schema = spark.range(0).selectExpr("int(id) as k").schema
     assert sorted(r["k"] for r in R.read_records(spark, str(tmp_path / "a.jsonl"), schema).collect()) == [1, 2]
-    (tmp_path / "b.json").write_text(json.dumps([{"year_awarded": 2000, "category": "c", "laureates": [{"full_name": "A B"}]}]))
-    assert R.read_awards(spark, str(tmp_path / "b.json")).select(F.explode("laureates.full_name")).first()[0] == "A B"
+    (tmp_path / "b.json").write_text(json.dumps([{"year_awarded": 2000, "category": "c", "laureates": [{"full_name": "A B", "grand_lecture_file": "f.txt", "grand_lecture_title": "On rivers", "declined": False}]}]))
+    person = R.read_awards(spark, str(tmp_path / "b.json"), "grand").select(F.explode("laureates").alias("p")).first()["p"]
+    assert (person["full_name"], person["lecture_file"], person["lecture_title"], person["declined"], person["country"]) == ("A B", "f.txt", "On rivers", False, None)
+    with pytest.raises(ValueError, match="prefix"):
+        R.read_awards(spark, str(tmp_path / "b.json"), "other")
     counts = R.validate_jsonl(spark, str(tmp_path / "a.jsonl"), ["k"]).first()
     assert (counts["total"], counts["malformed"], counts["valid"]) == (3, 1, 2)
 
@@ -33,12 +37,18 @@ def test_dimensions(spark, tmp_path):
 
 
 def test_sinks(spark, tmp_path):
-    df = spark.createDataFrame([(1, "x" * 600, True, ["a", "b"]), (2, None, None, [])], "id int, final_answer string, failed boolean, terms array<string>")
+    df = spark.createDataFrame([("1", "x" * 600, True, ["a", "b"], 7), ("2", None, None, [], 7)], "query_id string, final_answer string, error_occurred boolean, retrieval_method array<string>, answer_length int")
     S.export_audit_csv(df, str(tmp_path / "a"))
-    got = {r["id"]: r for r in spark.read.csv(str(tmp_path / "a"), header=True).collect()}
-    assert (got["1"]["failed"], got["1"]["terms"], got["1"]["answer_length"], got["2"]["failed"]) == ("Yes", "a, b", "600", "No")
-    S.export_focused_csv(df, str(tmp_path / "f"), ["id", "final_answer"], ["final_answer"])
-    assert max(len(r["final_answer"] or "") for r in spark.read.csv(str(tmp_path / "f"), header=True).collect()) == 503
+    read = lambda name: spark.read.csv(str(tmp_path / name), header=True)
+    got = {r["query_id"]: r for r in read("a").collect()}
+    assert len(read("a").columns) == 26 and read("a").columns == list(S.AUDIT_COLUMNS)
+    assert (got["1"]["error_occurred"], got["1"]["retrieval_method"], got["1"]["answer_length"]) == ("Yes", "a, b", "600")
+    assert (got["2"]["error_occurred"], got["2"]["answer_length"], got["2"]["user_query"]) == ("No", "7", None)
+    S.export_focused_csv(df, str(tmp_path / "f"))
+    assert read("f").columns == list(S.FOCUSED_COLUMNS) and max(len(r["final_answer"] or "") for r in read("f").collect()) == 503
+    S.export_analysis_csv(df, str(tmp_path / "n"))
+    assert read("n").columns == list(S.ANALYSIS_COLUMNS) and {r["error_occurred"] for r in read("n").collect()} == {"true", "false"}
+    assert df.select(S.without_keys(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2)), ["a"])).first()[0] == {"b": 2}
     S.write_report(df, str(tmp_path / "r"))
     assert len([json.loads(r[0]) for r in spark.read.text(str(tmp_path / "r")).collect()]) == 2
     v = spark.createDataFrame([("c1", [1.0]), ("c1", [1.0])], "chunk_id string, embedding array<float>")

@@ -1,8 +1,11 @@
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lexloom.operators import retrieval as R
 
@@ -39,6 +42,55 @@ def test_top_k_skips_bad_vectors_and_handles_empty(spark):
     assert R.top_k(asked.limit(0), corpus, 3, None, 2).count() == 0
 
 
+def _ring(n, salt):
+    a = np.random.default_rng(salt).uniform(0, 2 * np.pi, n)
+    return np.round(np.stack([np.cos(a), np.sin(a)], 1), 3)
+
+
+def _brute(q, c, k):
+    out = set()
+    for i, scores in enumerate(np.round(q.astype(np.float32).astype(float) @ c.astype(np.float32).astype(float).T, 6)):
+        out |= {(i, int(j), float(scores[j]), r) for r, j in enumerate(np.lexsort((np.arange(len(c)), -scores))[:k])}
+    return out
+
+
+def test_many_queries_meet_the_corpus_in_tiles(spark, monkeypatch):
+    q, c = _ring(20_000, 1), _ring(40, 2)
+    frame = lambda x, name: spark.createDataFrame(pd.DataFrame({name: range(len(x)), "vec": x.tolist()}), f"{name} long, vec array<float>")
+    got = R.top_k(frame(q, "query_id"), frame(c, "chunk_id"), 3, None, 2)
+    assert set(map(tuple, got.toPandas().round(6).itertuples(index=False))) == _brute(q, c, 3)
+    monkeypatch.setattr(R, "BROADCAST_QUERIES", 7)
+    few = frame(q[:30], "query_id").repartition(3)
+    assert set(map(tuple, R.top_k(few, frame(c, "chunk_id").repartition(5), 4, None, 2).collect())) == _brute(q[:30], c, 4)
+    named = frame(c, "chunk_id").withColumn("chunk_id", F.format_string("c%03d", "chunk_id"))
+    assert {(r["query_id"], int(r["chunk_id"][1:]), r["score"], r["rank"]) for r in R.top_k(few, named, 4, None, 2).collect()} == _brute(q[:30], c, 4)
+
+
+def test_ties_are_cut_in_the_task(spark, monkeypatch):
+    monkeypatch.setattr(R, "CANDIDATES", 10_000)
+    same = spark.range(100_000).select((99_999 - F.col("id")).alias("chunk_id"), F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>").alias("vec")).repartition(3)
+    asked = spark.createDataFrame([(i, [1.0, 0.0], 5 + i) for i in range(3)] + [(9, [1.0, 0.0], 0)], "query_id long, vec array<float>, k int")
+    got = R.top_k(asked, same, None, None, 2)
+    assert sorted((r["query_id"], r["chunk_id"]) for r in got.collect()) == [(i, c) for i in range(3) for c in range(5 + i)]
+    found = R._near_few(same, asked.where("k > 0").collect(), 2)
+    assert found.count() <= 3 * 18 * same.rdd.getNumPartitions()
+
+
+def test_fallback_with_limits_of_each_query(spark):
+    rows = [(q, c, 0.9 - c / 10) for q in (1, 2) for c in range(9)]
+    limits = spark.createDataFrame([(1, 0.85, 5, 12), (2, 0.25, 3, 4)], "query_id long, t double, least int, most int")
+    got = R.with_fallback(_scored(spark, rows).join(limits, "query_id"), F.col("t"), F.col("least"), F.col("most")).collect()
+    assert sorted((r["query_id"], r["chunk_id"]) for r in got) == [(1, c) for c in range(5)] + [(2, c) for c in range(4)]
+    assert {(r["query_id"], r["filtering_reason"]) for r in got} == {(1, "min_return_fallback"), (2, "threshold")}
+
+
+def test_short_terms_do_not_retrieve_without_weights(spark):
+    corpus = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [0.0, 1.0], "a")], "chunk_id long, vec array<float>, kind string")
+    terms = spark.createDataFrame([(7, 10, 0, 0.1, "of", [1.0, 0.0]), (7, 11, 1, 0.1, "sea", [0.0, 1.0])], "query_id long, term_id long, term_rank int, weight double, term string, vec array<float>")
+    for weighted, n in ((False, {11}), (True, {10, 11})):
+        assert {r["term_id"] for r in R.retrieve_terms(terms, corpus, 1, 0.2, 1, None, weighted, "kind", "b", dim=2).collect()} == n
+
+
 @pytest.mark.parametrize("bad", [{"k": 0}, {"threshold": -1.0}, {"max_return": 1}, {"min_return": 9}])
 def test_parameters(spark, bad):
     df = spark.createDataFrame([(5, [1.0])], "query_id long, vec array<float>")

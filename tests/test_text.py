@@ -1,8 +1,10 @@
+import unicodedata
 import uuid
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lexloom.functions import html as W
@@ -31,9 +33,20 @@ def test_lines(spark):
 
 
 def test_dates_names_places(spark):
-    assert [str(x) for x in _one(spark, T.parse_date, "1931-02-18", "Born: 23 September 1901", "1931-02-30", "")] == ["1931-02-18", "1901-09-23", "None", "None"]
-    assert _one(spark, T.last_name, "Selma Lagerlöf", "") == ["lagerlöf", None]
-    assert _one(spark, T.folded_key, "Žižkov O'Neil") == ["zizkovoneil"]
+    assert [str(x) for x in _one(spark, T.parse_date, "1902-05-11", "Born: 23 September 1901", "1931-02-30", "")] == ["1902-05-11", "1901-09-23", "None", "None"]
+    assert _one(spark, T.last_name, "Inês Duarté", "") == ["duarté", None]
+
+
+def test_folded_keys_are_those_of_decomposition(spark):
+    names = ["Žižkov O'Neil", "Nguyễn Thị Mộng", "ǒﬁ Straße", "ＦＵＬＬ ½ ㎏", "Łódź Ørsted Þ", "e\u0301", ""]
+    want = ["".join(x for x in unicodedata.normalize("NFKD", n).encode("ascii", "ignore").decode().lower() if x.isalnum()) for n in names]
+    assert _one(spark, T.folded_key, *names) == want
+
+
+def test_award_lines(spark):
+    text = "Grand lecture\nBody\nGRAND Diploma"
+    assert _one(spark, T.drop_boilerplate, text) == [text]
+    assert _one(spark, lambda c: T.drop_boilerplate(c, award="Grand"), text) == ["Body"]
     assert _one(spark, T.country_from_place, "Žižkov, Austria-Hungary") == ["Austria-Hungary"]
     assert _one(spark, T.gender_from_pronouns, "He wrote", "her work", "theirs") == ["Male", "Female", None]
 
@@ -99,6 +112,54 @@ def test_pages(spark):
     assert (got[0]["life"], got[0]["none"], got[0]["d"]["delivered"], got[1]["d"]["reason"]) == ("a\nb", "", True, "no_text")
 
 
+SPEECH = """<html><head><title>x</title><script>var p = "<p>no</p>";</script></head><body><div class="nav"><p>Menu</p></div>
+<h1>Evening</h1><h2>Site</h2><h2>On rivers</h2><div class="article-body"><p>By the staff</p><p>Ladies and gentlemen, I speak of rivers.</p>
+<p class="smallprint citation">cite me</p><p>They run &amp; run.</p><p>Share this</p><p>To cite this section</p><p>footer</p></div></body></html>"""
+
+
+def _blocks(spark, *pages):
+    return W.parse_pages(spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string"))
+
+
+def test_main_text_prefers_the_article(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    pages = [f"<p>out</p><div class='article-body'><p>{long}</p></div>", f"<p>menu</p><main><p>{long}</p></main>", f"<p>{long}</p><p>more</p>", "<div class='content'><p>short</p></div>"]
+    got = {r["i"]: r["m"] for r in _blocks(spark, *pages).select("i", W.main_text(F.col("blocks")).alias("m")).collect()}
+    assert got == {0: long, 1: long, 2: f"{long}\nmore", 3: None}
+
+
+def test_article_speech_and_transcript(spark):
+    b = F.col("blocks")
+    got = _blocks(spark, SPEECH, "<h1>Only</h1><p>one</p>", None).select(
+        "i", W.article(b).alias("a"), W.speech_span(b, ("ladies", "your majest")).alias("span"), W.transcript(b, 5).alias("t"), W.transcript(b, 50)["text"].alias("gated")
+    )
+    speech, plain, empty = got.orderBy("i").collect()
+    assert (speech["a"]["title"], speech["a"]["body"].split("\n")[0]) == ("On rivers", "By the staff")
+    assert "cite me" not in speech["a"]["body"] and "Menu" not in speech["a"]["body"]
+    assert speech["span"] == "Ladies and gentlemen, I speak of rivers.\ncite me\nThey run & run.\nShare this"
+    assert speech["t"]["title"] == "Evening" and "Share this" not in speech["t"]["text"] and "They run & run." in speech["t"]["text"] and speech["gated"] is None
+    assert (plain["a"]["title"], plain["a"]["body"], plain["span"], plain["t"]["text"]) == ("Only", "", "one", None)
+    assert (empty["a"]["title"], empty["span"], empty["t"]["title"]) == (None, "", None)
+
+
+def test_absence_and_links(spark):
+    pages = ["<h1>Page not found</h1>", "<p>She did not deliver a lecture.</p>", "<p> </p>", "<p>Speech</p><a href='/a.PDF'>the talk</a><a href='http://x/b.pdf'>other</a><a href='/c.html'>the talk</a>"]
+    got = _blocks(spark, *pages).select("i", W.absence(F.col("blocks")).alias("d"), W.pick_links(F.col("links"), "http://h", ".pdf", "", "talk").alias("l")).orderBy("i").collect()
+    assert [(r["d"]["delivered"], r["d"]["reason"]) for r in got] == [(False, "missing_page"), (False, "not_delivered"), (False, "no_text"), (True, None)]
+    assert got[3]["l"] == ["http://h/a.PDF"]
+
+
+def test_large_theme_dimensions_are_joined(spark, monkeypatch):
+    from lexloom.operators import themes as H
+
+    docs = spark.createDataFrame([(1, "light of the sea"), (2, "dark"), (3, None), (4, "Sea, sea")], "i int, t string")
+    themes = spark.createDataFrame([("water", "sea"), ("water", "of the"), ("day", "light"), ("day", "sun")], "theme string, keyword string")
+    here = [sorted(map(repr, f(docs, "i", "t", themes, {"sea": "sun"}).collect())) for f in (H.extract_themes, H.expand_keywords)]
+    assert here[0] == sorted(map(repr, [Row(i=1, themes=["day", "water"]), Row(i=4, themes=["day", "water"])]))
+    monkeypatch.setattr(H, "LITERAL_KEYWORDS", 1)
+    assert here == [sorted(map(repr, f(docs, "i", "t", themes, {"sea": "sun"}).collect())) for f in (H.extract_themes, H.expand_keywords)]
+
+
 def test_query_log(spark):
     lines = spark.createDataFrame([("2024-01-01 10:00:00\tweb\tq1\textra",), ("bad\tweb\tq",), ("2024-01-01 10:00:00\tweb",)], "value string")
     assert [(r["source"], r["query"]) for r in parse_query_log(lines).collect()] == [("web", "q1")]
