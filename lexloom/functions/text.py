@@ -127,7 +127,7 @@ def folded_key(c: Column) -> Column:
     accented, folded, several = folds()
     wide = F.from_json(F.lit(json.dumps(several)), "map<string, string>")
     spelled = lambda x: F.array_join(F.transform(F.split(x, ""), lambda ch: F.coalesce(F.try_element_at(wide, ch), ch)), "")
-    c = F.when(c.rlike("[" + "".join(several) + "]"), spelled(c)).otherwise(c)
+    c = F.when(F.length(F.translate(c, "".join(several), "")) < F.length(c), spelled(c)).otherwise(c)
     return F.regexp_replace(F.lower(F.translate(c, accented, folded)), "[^a-z0-9]", "")
 
 

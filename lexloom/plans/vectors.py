@@ -26,7 +26,7 @@ def _terms(spark, sf):
         F.col("query_id").alias("term_id"),
         F.col("query_id").alias("term_rank"),
         ((F.col("query_id") % 7).cast("double") / 10).alias("weight"),
-        F.concat(F.lit("t"), (F.col("query_id") / 50).cast("int").cast("string")).alias("term"),
+        F.concat(F.lit("t"), F.col("query_id").cast("string")).alias("term"),
         "vec",
     )
 
@@ -176,7 +176,7 @@ SQL = {
     "vector_topk_metadata": _SCORES + " select query_id, chunk_id, label, score, row_number() over (partition by query_id order by score desc, case when label = 0 then 1 else 0 end, chunk_id) - 1 as rank from r where rank < 10",
     "vector_adaptive_k": _SCORES + " select query_id, chunk_id, score, rank from r where rank < case query_id % 3 when 0 then 15 when 1 then 10 else 5 end",
     "term_weighted_retrieval": _terms_sql("exp(2 * ((query_id % 7)::double / 10))", 15, 0.5, 5, 12),
-    "term_union_retrieval": _terms_sql("1.0::double", 10, 0.35, 3, 10).replace("where vec_id % 50 = 0", "where vec_id % 50 = 0 and length('t' || (vec_id // 50)) > 2", 1),
+    "term_union_retrieval": _terms_sql("1.0::double", 10, 0.35, 3, 10).replace("where vec_id % 50 = 0", "where vec_id % 50 = 0 and length('t' || vec_id) > 2", 1),
     "retrieval_report": _SCORES + " select query_id % 100 as question, count(*) as n_found, count(distinct chunk_id) as n_unique, max(score) as best_score from r where rank < 5 group by 1",
     "ranked_expansion": _SCORES + " select q.query_id, n.chunk_id as term_id, coalesce(n.score, 1.0::double) as similarity from q left join (select * from r where rank < 20 and score >= 0.3::double) n on n.query_id = q.query_id",
     "expansion_map": _SCORES + " select query_id, string_agg(chunk_id::varchar || '=' || printf('%.4f', round(score, 4)), '|' order by chunk_id::varchar) as terms from r where rank < 20 and score >= 0.3::double group by 1",
