@@ -8,6 +8,23 @@ from pyspark.sql import functions as F
 from .common import NOT_WS, materialize, numbered, table, unused
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with the sums (name: column) over all rows before each row in the order.
+
+    Spark ranges the rows over the tasks; each task adds up its own, and the totals of the tasks before, one row a
+    task, are added. So no task sees all rows.
+    """
+    part = unused(df, "_part")
+    dealt = materialize(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(part).agg(*[F.sum(c).alias(f"{part}{n}") for n, c in sums.items()])
+    ahead = before.orderBy(part)
+    totals = totals.select(part, *[F.coalesce(F.sum(f"{part}{n}").over(ahead), F.lit(0)).alias(f"{part}{n}") for n in sums])
+    within = before.partitionBy(part).orderBy(*order)
+    met = dealt.join(F.broadcast(totals), part)
+    return met.select(*df.columns, *[(F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(f"{part}{n}")).alias(n) for n, c in sums.items()])
+
+
 def water_fill(sources: DataFrame, share_num: int = 3, share_den: int = 2, max_epochs: int = 2) -> DataFrame:
     """Targets of sources (source, source_size, weight): adds target.
 
@@ -17,23 +34,14 @@ def water_fill(sources: DataFrame, share_num: int = 3, share_den: int = 2, max_e
     is left, and the level that is feasible is the largest of these. All sums are whole numbers; one
     division gives the level. A table with one row for each source; empty in, empty out.
     """
-    order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    levels = (
-        sources.withColumn("cap", F.lit(max_epochs) * F.col("source_size"))
-        .withColumn("cap_before", F.coalesce(F.sum("cap").over(before), F.lit(0)))
-        .withColumn("weight_before", F.coalesce(F.sum("weight").over(before), F.lit(0)))
-        .withColumn(
-            "level",
-            (F.lit(share_num) * F.sum("source_size").over(whole) - F.lit(share_den) * F.col("cap_before")).cast("double")
-            / (F.lit(share_den) * (F.sum("weight").over(whole) - F.col("weight_before"))).cast("double"),
-        )
-        .withColumn("level", F.max("level").over(whole))
-    )
-    return levels.select(
-        "source", "source_size", "weight", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target")
-    )
+    n = sources.agg(F.sum("source_size"), F.sum("weight")).first()
+    if n[1] is None:
+        return sources.withColumn("target", F.lit(0.0))
+    capped = sources.withColumn("cap", F.lit(max_epochs) * F.col("source_size")).withColumn("full_at", F.col("cap") / F.col("weight"))
+    placed = running(capped, [F.col("full_at"), F.col("source").asc_nulls_last()], {"cap_before": F.col("cap"), "weight_before": F.col("weight")})
+    level = (F.lit(share_num) * F.lit(n[0]) - F.lit(share_den) * F.col("cap_before")).cast("double") / (F.lit(share_den) * (F.lit(n[1]) - F.col("weight_before"))).cast("double")
+    feasible = placed.agg(F.max(level)).first()[0]
+    return placed.select("source", "source_size", "weight", F.least(F.col("cap").cast("double"), F.lit(feasible) * F.col("weight")).alias("target"))
 
 
 def plan_mix(
@@ -81,9 +89,9 @@ def _planned(
     sized = sized.withColumn("salt", first * finer + F.floor(second * finer / 256).cast("int"))
     cells = sized.groupBy("source", "salt").agg(F.sum("size").alias("cell_size"))
     totals = cells.groupBy("source").agg(F.sum("cell_size").alias("source_size"))
-    order = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weighted = totals.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (order % len(weights) + 1).cast("int")))
-    targets = water_fill(weighted)
+    placed = running(totals, [F.col("source").asc_nulls_last()], {"place": F.lit(1)})
+    weighted = placed.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))).drop("place")
+    targets = water_fill(materialize(weighted))
     offset = Window.partitionBy("source").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("cell_before", F.coalesce(F.sum("cell_size").over(offset), F.lit(0))).select(
         F.col("source").alias("c_source"), F.col("salt").alias("c_salt"), "cell_before"
