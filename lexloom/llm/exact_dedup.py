@@ -77,7 +77,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_salt: int = 1000, repeats: bool = True) -> DataFrame:
-    """docs without copies; same columns. Ids may be null or repeated.
+    """docs without copies; same columns. Ids may be null, repeated or of any type; null texts are copies of
+    empty ones, texts of any length are compared whole, and an empty table stays empty.
 
     Without `repeats` exactly the rows that exact_dedup keeps stay, one of each group. With it, rows that
     repeat the id and length of the kept row stay as well.

@@ -60,7 +60,7 @@ def plan_mix(
     the order of a seeded digest of the id: a row is taken once more while the middle of its words lies
     within that rest. So a source misses its target by half a document at most, reruns agree, and no
     row is taken more than the cap allows. Rows without words are repeated zero times. Repeated rows
-    are rows of their own. An empty table gives no rows.
+    are rows of their own. Ids may be of any type. An empty table gives no rows.
 
     The order within a source is never sorted as a whole: one byte of the digest, and with more rows part
     of a second, deal a source out over 256 to 65536 cells of about rows_per_cell rows at most. Their sums
@@ -121,7 +121,8 @@ def mix(
 ) -> DataFrame:
     """The rows of docs, each as often as plan_mix says; same columns. Ids may be null or repeated.
 
-    Each row has a number of its own, by which it meets its plan.
+    Each row has a number of its own, by which it meets its plan. Rows without words, null texts among
+    them, are not in the mix; an empty table stays empty; texts of any length are carried whole.
     """
     row, times = unused(docs, "_mix_row"), unused(docs, "_mix_times")
     docs = numbered(docs, row)

@@ -254,7 +254,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     without words share the fingerprint zero. Rows whose fingerprints differ in at most `radius` bits are
     linked; component_id is the smallest id reachable (null only where no linked row has an id). Equal
     fingerprints are compared once, so repeated rows and large groups of copies cost nothing; an empty
-    table gives no rows; other columns are ignored.
+    table gives no rows; other columns are ignored. Ids may be of any type. A text is hashed whole; a task
+    needs some 20 bytes for each byte of its longest text.
     """
     marked = materialize(fingerprints(docs, id_col, text_col, size))
     nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("least_id")))
@@ -272,7 +273,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row of docs for each component of near-duplicates; same columns.
 
     The row with the smallest id stays (a null id comes last), and one of those that share this id. Ids may
-    be null or repeated: each row has a number of its own, which takes part in the order and in the filter.
+    be null, repeated or of any type: each row has a number of its own, which takes part in the order and in
+    the filter. Null texts and texts without words are near copies of each other; an empty table stays empty.
     """
     row = unused(docs, "_row")
     docs = numbered(docs, row)

@@ -116,3 +116,13 @@ def test_pipeline_by_brute_force(spark, tmp_path, reference_encoder):  # noqa: F
     _table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
     assert Counter(map(tuple, got)) == _pipeline_by_hand(rows, reference_encoder)
+
+
+def test_pipeline_on_awkward_and_empty_tables(spark, awkward, tmp_path, reference_encoder):  # noqa: F811
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    awkward.write.parquet(f"{tmp_path}/a/documents.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/a").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in awkward.collect()]
+    assert Counter(map(tuple, got)) == _pipeline_by_hand(rows, reference_encoder)
+    awkward.select(*names).limit(0).write.parquet(f"{tmp_path}/e/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/e").count() == 0
