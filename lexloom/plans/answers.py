@@ -99,7 +99,7 @@ def _answers_sql() -> str:
     route, _, _ = question_plans.SQL["route_config"].removeprefix(question_plans._Q).rpartition(" select question_id, intent, case intent when")
     template = question_plans.SQL["route_config"].rpartition(" as low_confidence, ")[2].partition(" as template from")[0]
     blank = r"regexp_replace(question, '^\s+|\s+$', '', 'g')"
-    return f"""with fa as ({facts} select question_id, rule, answer from a),
+    return rf"""with fa as ({facts} select question_id, rule, answer from a),
 form as ({facts} select ord as question_id, 'Please say something nice about ' || n || '.' as question from g where form = 12),
 asked as (select question_id, question from form union all select conv_id * 1000 + turn + 10000000, text from conversations),
 judged as (select *, case when question is null or question = '' then 'empty' when {blank} = '' then 'blank' when length({blank}) < 2 then 'short'
