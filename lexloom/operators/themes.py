@@ -50,10 +50,16 @@ def _looked_up(table: dict[str, list[str]], keys: Column) -> Column:
     return F.sort_array(F.array_distinct(F.flatten(F.transform(keys, lambda k: F.try_element_at(constant, k)))))
 
 
-def _row_hits(text_col: str, keywords, dictionary: dict[str, str] | None) -> Column:
-    """Keywords in a row's text: single words among its tokens or lemmas, phrases anywhere in it."""
+def _with_lemmas(table: dict[str, list[str]], dictionary: dict[str, str] | None) -> dict[str, list[str]]:
+    """The table with each word that the dictionary leads to a keyword, so that no text needs its lemmas."""
+    led = {w: sorted({*table.get(w, ()), *table[lemma]}) for w, lemma in (dictionary or {}).items() if lemma in table}
+    return table | led
+
+
+def _row_hits(text_col: str, keywords) -> Column:
+    """Keywords in a row's text: single words among its tokens, phrases anywhere in it."""
     single, phrases = [k for k in keywords if " " not in k], [k for k in keywords if " " in k]
-    words = F.array_intersect(F.array_distinct(_every_token(text_col, dictionary)), _strings(single))
+    words = F.array_intersect(tokens(F.col(text_col)), _strings(single))
     if not phrases:
         return words
     return F.concat(words, let(F.lower(F.coalesce(F.col(text_col), F.lit(""))), lambda t: F.filter(_strings(phrases), lambda p: F.contains(t, p))))
@@ -78,7 +84,8 @@ def extract_themes(df: DataFrame, id_col: str, text_col: str, themes: DataFrame,
     table = _literal(themes)
     if table is None:
         return _joined_hits(df, id_col, text_col, themes, dictionary).groupBy(id_col).agg(F.sort_array(F.collect_set("theme")).alias("themes"))
-    return df.select(id_col, _looked_up(table, _row_hits(text_col, table, dictionary)).alias("themes")).where(F.size("themes") > 0)
+    table = _with_lemmas(table, dictionary)
+    return df.select(id_col, _looked_up(table, _row_hits(text_col, table)).alias("themes")).where(F.size("themes") > 0)
 
 
 def expand_keywords(df: DataFrame, id_col: str, text_col: str, themes: DataFrame, dictionary: dict[str, str] | None = None) -> DataFrame:
@@ -91,8 +98,8 @@ def expand_keywords(df: DataFrame, id_col: str, text_col: str, themes: DataFrame
     for keyword, names in table.items():
         for name in names:
             of_theme.setdefault(name, []).append(keyword)
-    wide = {k: sorted({w for name in names for w in of_theme[name]}) for k, names in table.items()}
-    return df.select(id_col, _looked_up(wide, _row_hits(text_col, table, dictionary)).alias("keywords")).where(F.size("keywords") > 0)
+    wide = _with_lemmas({k: sorted({w for name in names for w in of_theme[name]}) for k, names in table.items()}, dictionary)
+    return df.select(id_col, _looked_up(wide, _row_hits(text_col, wide)).alias("keywords")).where(F.size("keywords") > 0)
 
 
 def expansion_debug(df: DataFrame, id_col: str, text_col: str, themes: DataFrame, stop: tuple[str, ...] = ()) -> DataFrame:
