@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_unique, materialize
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
     return links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+def _star(links: DataFrame, large: bool, total: int, hot_rows: int) -> DataFrame:
     """Hang the larger (or the smaller and own) neighbours of each node on its least neighbour."""
     around = _both_ways(links) if large else links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = around.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a"), F.least("a", "m").alias("m"))
-    met = around.join(least, "a")
+    least = around.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    met = join_unique(around, least, "a", "n", total, hot_rows)
     if large:
         out = met.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -24,17 +24,18 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, hot_rows: int = 0) -> DataFrame:
     """node, root for every node of links (a, b: long), root being the least node reachable.
 
     Large and small stars alternate until nothing changes; links stay within the number of links given,
     and each round is written to the shared folder, so a lost executor costs one round at most. Links of
-    a node to itself and repeated links don't matter; an empty table gives no rows.
+    a node to itself and repeated links don't matter; an empty table gives no rows. Nodes with more than
+    hot_rows links (see join_unique) hear of their least neighbour by a broadcast, so hubs load no task.
     """
     now = materialize(links.select("a", "b").where(F.col("a") != F.col("b")).distinct())
-    sums = None
+    total, sums = 2 * now.count(), None
     while True:
-        now = materialize(_star(_star(now, True), False))
+        now = materialize(_star(_star(now, True, total, hot_rows), False, total, hot_rows))
         was, sums = sums, now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if was == sums:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(

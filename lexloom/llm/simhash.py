@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, numbered, table, unused
+from .common import join_unique, materialize, numbered, table, unused
 from .components import components
 
 SEED = 42
@@ -247,7 +247,7 @@ def similar_links(distinct: DataFrame, radius: int = 4, n_blocks: int = 0) -> Da
     return ordered.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = 4, hot_rows: int = 0) -> DataFrame:
     """id_col, fingerprint (16 hex digits), component_id for each row of docs.
 
     Texts are lower-cased (A-Z), cut into words and word shingles; null counts as empty, and texts
@@ -255,16 +255,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked; component_id is the smallest id reachable (null only where no linked row has an id). Equal
     fingerprints are compared once, so repeated rows and large groups of copies cost nothing; an empty
     table gives no rows; other columns are ignored. Ids may be of any type. A text is hashed whole; a task
-    needs some 20 bytes for each byte of its longest text.
+    needs some 20 bytes for each byte of its longest text. Fingerprints, components and hubs with more than
+    hot_rows rows (see join_unique) are met by a broadcast, so no task takes all copies of a text.
     """
     marked = materialize(fingerprints(docs, id_col, text_col, size))
-    nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("least_id")))
+    nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies")))
     links = materialize(similar_links(nodes.select("fp"), radius))
-    roots = materialize(components(links))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(
+    roots = materialize(components(links, hot_rows))
+    sizes = nodes.agg(F.count(F.lit(1)).alias("fps"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least_id", "copies", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("fps"))
+    named = join_unique(rooted, least, "root", "fps", sizes["fps"], hot_rows).select("fp", "component_id", "copies")
+    met = join_unique(marked, named, "fp", "copies", sizes["rows"], hot_rows)
+    return met.select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
