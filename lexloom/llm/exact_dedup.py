@@ -18,18 +18,21 @@ def _normalised(docs: DataFrame, id_col: str, text_col: str, carried: Column) ->
         F.col(id_col).alias("id"),
         F.length(text).cast("long").alias("n_cp"),
         F.regexp_replace(text, WS + "+", "").alias("norm"),
-    ).select("doc", "id", "n_cp", "norm", F.sha2(F.col("norm"), 256).alias("digest"))
+    ).select("doc", "id", "n_cp", "norm", F.coalesce(F.sha2(F.col("norm"), 256), F.lit("")).alias("digest"))
 
 
-def _judged(docs: DataFrame, id_col: str, text_col: str, rows_per_salt: int, carried: Column) -> DataFrame:
+def _judged(docs: DataFrame, id_col: str, text_col: str, rows_per_salt: int, carried: Column, slim: bool = False) -> DataFrame:
     """doc (what is carried of the row), keep_id, group_size, kept, equal, digest for each row of docs.
 
     equal marks the row that is kept and those with its id and length. Rows that share a digest are
     written once with a number of their own, so a verdict belongs to its row and not to all rows with its id.
+    A digest is never null (the coalesce says so to the optimizer, which would else test and compute it twice).
+    If little is carried of a row (slim), digests are written once and texts are read again only for comparing.
     """
     base = _normalised(docs, id_col, text_col, carried)
+    digests = materialize(base.select("doc", "id", "digest")) if slim else base
     salts = (F.lit(1) + F.floor(F.col("n") / rows_per_salt)).cast("int").alias("salts")
-    repeated = materialize(base.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", salts))
+    repeated = materialize(digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", salts))
     small = repeated.count() <= BROADCAST_DIGESTS
     marked = F.broadcast(repeated) if small else repeated
 
@@ -52,7 +55,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, rows_per_salt: int, car
         (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("n_cp") == -F.col("best.neg_cp"))).alias("equal"),
         "digest",
     )
-    single = base.join(marked, "digest", "left_anti").select(
+    single = digests.join(marked, "digest", "left_anti").select(
         "doc", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lit(True).alias("equal"), "digest"
     )
     return single.unionByName(found)
@@ -72,7 +75,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     its rows. The members meet their winner by digest, salt and whole content, so a hot group of copies
     is spread over its salts in every shuffle, and small groups are not written more than once.
     """
-    judged = _judged(docs, id_col, text_col, rows_per_salt, F.struct(F.col(id_col).alias("id")))
+    judged = _judged(docs, id_col, text_col, rows_per_salt, F.struct(F.col(id_col).alias("id")), slim=True)
     return judged.select(F.col("doc.id").alias(id_col), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
