@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 WS = r"[\x20\x09-\x0D]"
 NOT_WS = r"[^\x20\x09-\x0D]"
 
+#: Paths of scratch tables to be deleted at the end of the innermost scratch_freed block.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -65,12 +69,37 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_dir(spark)
+    if (passing := _passing.get()) is not None:
+        passing.append(path)
     schema = df.schema
     with _shuffles_freed(spark):
         df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+@contextmanager
+def scratch_freed(spark: SparkSession):
+    """Scratch tables written inside are deleted at the end. Gives a function that materializes a result to
+    stay; frames made inside must go through it to be read afterwards, as their scratch tables are gone."""
+    outer, paths = _passing.get(), []
+
+    def stored(df: DataFrame) -> DataFrame:
+        inner = _passing.set(outer)
+        try:
+            return materialize(df)
+        finally:
+            _passing.reset(inner)
+
+    token = _passing.set(paths)
+    try:
+        yield stored
+    finally:
+        _passing.reset(token)
+        for p in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """docs, written once with a number of its own for each row in the column name."""
     return materialize(docs.withColumn(name, F.monotonically_increasing_id()))
