@@ -1,7 +1,8 @@
 """From raw documents to encoded training text, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet into the shared
-folder and the next stage reads that as its docs. All stages but the last keep the columns of documents.
+folder and the next stage reads that as its docs, while the stage's own scratch tables are deleted. All stages
+but the last keep the columns of documents.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexloom.llm import bpe, exact_dedup, langid, mixing, simhash
-from lexloom.llm.common import materialize, table
+from lexloom.llm.common import scratch_freed, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +53,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with scratch_freed(spark) as stored:
+            docs = stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
