@@ -3,9 +3,11 @@
 import hashlib
 import re
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
 from lexloom.llm import exact_dedup, mixing, simhash
+from lexloom.llm.common import scratch_dir
 from lexloom.llm.components import components
 from test_operators import _fingerprint, reference_encoder  # noqa: F401
 
@@ -142,4 +144,7 @@ def test_pipeline_on_awkward_and_empty_tables(spark, awkward, tmp_path, referenc
     rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in awkward.collect()]
     assert Counter(map(tuple, got)) == _pipeline_by_hand(rows, reference_encoder)
     awkward.select(*names).limit(0).write.parquet(f"{tmp_path}/e/documents.parquet")
+    kept = Path(scratch_dir(spark)).parent
+    before = set(kept.iterdir())
     assert corpus_pipeline.run(spark, f"{tmp_path}/e").count() == 0
+    assert len(set(kept.iterdir()) - before) == len(corpus_pipeline.STAGES) - 1  # what stages wrote for themselves is gone
