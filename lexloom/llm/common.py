@@ -103,22 +103,3 @@ def scratch_freed(spark: SparkSession):
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """docs, written once with a number of its own for each row in the column name."""
     return materialize(docs.withColumn(name, F.monotonically_increasing_id()))
-
-
-#: A key of more rows than this is joined apart from the others.
-HOT_ROWS = 100_000
-
-
-def join_unique(rows: DataFrame, unique: DataFrame, key: str, n: str, total: int, hot_rows: int = 0) -> DataFrame:
-    """rows joined to unique by key, which unique holds once with the number of its rows in column n.
-
-    Keys with more than hot_rows (HOT_ROWS) rows don't go through the shuffle: they are broadcast, and their
-    rows stay where they are. total is the number of rows, or more; a key must also hold 1/100,000 of it to
-    count as hot, so never more than 100,000 keys are broadcast, whatever the data.
-    """
-    cold = unique.drop(n)
-    hot = materialize(unique.where(F.col(n) > max(hot_rows or HOT_ROWS, total // 100_000)).drop(n))
-    if hot.isEmpty():
-        return rows.join(cold, key)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))

@@ -8,7 +8,6 @@ from pathlib import Path
 import corpus_pipeline
 from lexloom.llm import exact_dedup, mixing, simhash
 from lexloom.llm.common import scratch_dir
-from lexloom.llm.components import components
 from test_operators import _fingerprint, reference_encoder  # noqa: F401
 
 #: Null ids and repeated ids, once as a copy of another row and once with a text of their own.
@@ -58,22 +57,6 @@ def test_near_copies_of_shared_ids(spark):
     assert simhash.keep_one_of_each(alone).count() == 1
 
 
-def test_hot_keys_are_met_apart(spark):
-    """Copies, hubs and large components beyond hot_rows give the same result as in the plain join."""
-    near = " ".join(f"w{k}" for k in range(400))
-    rows = [(k, near + (f" tail{k}" if k % 3 else ""), "en", "a") for k in range(60)] + [(100 + k, None, "en", "a") for k in range(40)]
-    rows += [(200 + k, f"number {k} " * 9 + f"of {k * k} others", "en", "b") for k in range(20)] + [(None, near, "en", "a")]
-    df = _table(spark, rows)
-    want = sorted(map(repr, simhash.near_duplicates(df).collect()))
-    assert sorted(map(repr, simhash.near_duplicates(df, hot_rows=3).collect())) == want and len(want) == len(rows)
-    assert simhash.near_duplicates(df.limit(0), hot_rows=3).count() == 0
-    star = [(0, k) for k in range(1, 30)] + [(50, k) for k in range(20, 60)] + [(70 + k, 71 + k) for k in range(9)]
-    links = spark.createDataFrame(star, "a long, b long")
-    for hot in (0, 4):
-        got = {r["node"]: r["root"] for r in components(links, hot).collect()}
-        assert got == {k: 0 for k in range(60)} | {k: 70 for k in range(70, 80)}
-
-
 def _mixed_by_hand(rows):
     """Rows as often as the mix takes them, by clamping rounds and one walk over each source."""
     sized = [(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), i, t, s) for i, t, _, s in rows]
