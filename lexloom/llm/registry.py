@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, langid, mixing, quality_model, quality_rules, simhash, suffix_dedup, warc
+from . import bpe, chat, exact_dedup, langid, mixing, quality_model, quality_rules, resampling, simhash, suffix_dedup, vector_codes, vector_dedup, warc
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_simhash": simhash.op9_simhash,
     "op10_quality_classifier": quality_model.op10_quality_classifier,
+    "op11_target_resampling": resampling.op11_target_resampling,
+    "op12_vector_dedup": vector_dedup.op12_vector_dedup,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
 SQL = {
@@ -23,4 +26,7 @@ SQL = {
     "op5_warc": warc.OP5_SQL,
     "op6_chat_format": chat.OP6_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
+    "op11_target_resampling": resampling.OP11_SQL,
+    "op12_vector_dedup": vector_dedup.OP12_SQL,
+    "op13_vector_codes": vector_codes.OP13_SQL,
 }
