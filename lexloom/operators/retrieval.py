@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.vectors import embed_table, vector_fault
-from lexloom.session import materialize
+from lexloom.session import materialize, small
 
 from .filters import apply_filters
 
-#: So many queries at most are broadcast; more of them meet the corpus by a shuffle, in groups of this size.
-BROADCAST_QUERIES = 16_384
+#: So many queries at most are broadcast, and so many bytes of their vectors; more of them meet the corpus by a
+#: shuffle, in groups of this size.
+BROADCAST_QUERIES, BROADCAST_BYTES = 16_384, 1 << 26
+#: Pairs of a query and a row that a tile holds at most, and tiles for each shuffle partition below that.
+PAIRS_OF_TILE, TILES_PER_TASK = 1 << 32, 2
 #: Queries and rows of one matrix product, and candidates that a task holds before it cuts them to the best k.
 QUERIES_AT_ONCE, ROWS_AT_ONCE, CANDIDATES = 1024, 2048, 1 << 20
 DIGITS = 6
@@ -30,12 +34,15 @@ class _Best:
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.n = self.kept = 0
 
-    def add(self, chunk_ids: np.ndarray, rows: np.ndarray) -> None:
+    def add(self, chunk_ids: np.ndarray, rows: np.ndarray, which: np.ndarray | None = None) -> None:
+        """Score rows with the queries at the places `which`, with all if it is None."""
+        which = np.arange(len(self.ids)) if which is None else which
         for i in range(0, len(rows), ROWS_AT_ONCE):
-            for j in range(0, len(self.ids), QUERIES_AT_ONCE):
-                scores = np.round(rows[i : i + ROWS_AT_ONCE] @ self.vectors[j : j + QUERIES_AT_ONCE].T, DIGITS)
-                at, own = np.nonzero(scores >= self.least[j : j + QUERIES_AT_ONCE])
-                self.held.append((own + j, scores[at, own], chunk_ids[at + i]))
+            for j in range(0, len(which), QUERIES_AT_ONCE):
+                asked = which[j : j + QUERIES_AT_ONCE]
+                scores = np.round(rows[i : i + ROWS_AT_ONCE] @ self.vectors[asked].T, DIGITS)
+                at, own = np.nonzero(scores >= self.least[asked])
+                self.held.append((asked[own], scores[at, own], chunk_ids[at + i]))
                 self.n += len(at)
                 if self.n > CANDIDATES + 2 * self.kept:
                     self._cut()
@@ -69,55 +76,94 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
-def _near_few(corpus: DataFrame, asked: list, dim: int) -> DataFrame:
-    """Few queries: their vectors are broadcast and the corpus is not shuffled."""
-    vectors = np.array([r["vec"] for r in asked], np.float64).reshape(-1, dim)
-    shared = corpus.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in asked], np.int64), vectors, np.array([r["k"] for r in asked], np.int64)))
+def _near_few(corpus: DataFrame, asked: pa.Table, dim: int, scoped: bool) -> DataFrame:
+    """Few queries: their vectors are broadcast and the corpus is not shuffled. Of a batch only the rows with a
+    value that some query asks for are scored, value by value, each with the queries that ask for it."""
+    values = asked.column("value").to_pylist()
+    names = sorted({v for v in values if v is not None})
+    code = {v: i for i, v in enumerate(names)}
+    codes = np.array([-1 if v is None else code[v] for v in values], np.int64)
+    queries = [np.flatnonzero(codes == c) for c in range(-1, len(names))] if len(names) < 64 else np.split(np.argsort(codes, kind="stable"), np.searchsorted(np.sort(codes), np.arange(len(names))))
+    held = (_ids(asked.column("query_id")), _matrix(asked.column("vec").combine_chunks(), dim), _ids(asked.column("k")).astype(np.int64))
+    shared = corpus.sparkSession.sparkContext.broadcast((held, queries, names))
 
     def run(batches):
-        best, kind = _Best(*shared.value), pa.int64()
+        (ids, vectors, ks), queries, names = shared.value
+        best, kind, known = _Best(ids, vectors, ks), pa.int64(), pa.array(names, pa.string())
         for batch in batches:
             kind = batch.schema.field(0).type
-            best.add(_ids(batch.column(0)), _matrix(batch.column(1), dim))
+            chunk_ids = _ids(batch.column(0))
+            if len(queries[0]):
+                best.add(chunk_ids, _matrix(batch.column(1), dim), queries[0])
+            if names:
+                own = _ids(pc.fill_null(pc.index_in(batch.column(2), value_set=known), -1))
+                order = np.argsort(own, kind="stable")
+                order = order[own[order] >= 0]
+                rows = _matrix(batch.column(1).take(pa.array(order)), dim)
+                edges = np.flatnonzero(np.diff(own[order], prepend=-1, append=-1))
+                for a, b in zip(edges, edges[1:], strict=False):
+                    best.add(chunk_ids[order[a:b]], rows[a:b], queries[own[order[a]] + 1])
         yield from best.rows(kind)
 
-    return corpus.mapInArrow(run, f"query_id bigint, chunk_id {corpus.schema['chunk_id'].dataType.simpleString()}, score double")
+    columns = ["chunk_id", "vec", "value"] if scoped else ["chunk_id", "vec"]
+    return corpus.select(*columns).mapInArrow(run, f"query_id bigint, chunk_id {corpus.schema['chunk_id'].dataType.simpleString()}, score double")
 
 
-def _near_many(corpus: DataFrame, asked: DataFrame, n: int, dim: int) -> DataFrame:
-    """Many queries: each pair of a group of queries and a part of the corpus is a tile. Every query goes to the
-    tiles of its group and every row to those of its part, so a task holds one group and streams one part."""
-    spark = corpus.sparkSession
-    groups, parts = -(-n // BROADCAST_QUERIES), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kind = corpus.schema["chunk_id"].dataType
-    tile = lambda g, p: (g * parts + p).alias("tile")
-    q = asked.withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(groups))).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    c = corpus.withColumn("p", F.pmod(F.xxhash64("chunk_id", "vec"), F.lit(parts))).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    met = q.select(tile(F.col("g"), F.col("p")), F.lit(0).alias("row"), "query_id", "k", F.lit(None).cast(kind).alias("chunk_id"), "vec").unionByName(
-        c.select(tile(F.col("g"), F.col("p")), F.lit(1).alias("row"), F.lit(0).cast("long").alias("query_id"), F.lit(0).alias("k"), "chunk_id", "vec")
+def _tile_plan(rows: DataFrame, asked: DataFrame, most: int) -> DataFrame:
+    """For each value that is asked for: code, groups of queries and parts of rows.
+
+    Every query goes to the parts, every row to the groups of its value, so asks * parts + held * groups rows are
+    shuffled; with a given number of tiles that is least when groups / parts = asks / held. A value has tiles by its
+    pairs, so that one with a third of all rows is split like any other.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = rows.groupBy("value").agg(F.count(F.lit(1)).cast("double").alias("held"))
+    asks = asked.groupBy(F.col("value").alias("_value")).agg(F.count(F.lit(1)).cast("double").alias("asks"))
+    plan = materialize(asks.join(held, F.col("value").eqNullSafe(F.col("_value"))).select("value", "asks", "held", F.monotonically_increasing_id().alias("code")))
+    pairs = plan.agg(F.sum(F.col("asks") * F.col("held"))).first()[0] or 1.0
+    size = max(1.0, min(float(PAIRS_OF_TILE), pairs / (TILES_PER_TASK * tasks)))
+    tiles = F.ceil(F.col("asks") * F.col("held") / size).cast("double")
+    groups = F.greatest(F.ceil(F.col("asks") / most).cast("double"), F.round(F.sqrt(tiles * F.col("asks") / F.col("held"))), F.lit(1.0))
+    plan = plan.withColumn("groups", F.least(groups, "asks").cast("int"))
+    return plan.withColumn("parts", F.least(F.ceil(tiles / F.col("groups")).cast("double"), F.col("held")).cast("int"))
+
+
+def _near_many(rows: DataFrame, asked: DataFrame, most: int, dim: int) -> DataFrame:
+    """Many queries: each pair of a group of queries and a part of the rows of one value is a tile. A task holds
+    one group and streams one part, and the queries never pass the driver."""
+    kind = rows.schema["chunk_id"].dataType
+    plan = _tile_plan(rows, asked, most)
+    small_plan = small(plan.withColumnRenamed("value", "_value"))
+    q = asked.join(small_plan, F.col("value").eqNullSafe(F.col("_value"))).withColumn("g", F.pmod(F.xxhash64("query_id"), F.col("groups")).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    c = rows.join(small_plan, F.col("value").eqNullSafe(F.col("_value"))).withColumn("p", F.pmod(F.xxhash64("chunk_id", "vec"), F.col("parts")).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    tile = ["code", "g", "p"]
+    met = q.select(*tile, F.lit(0).alias("row"), "query_id", "k", F.lit(None).cast(kind).alias("chunk_id"), "vec").unionByName(
+        c.select(*tile, F.lit(1).alias("row"), F.lit(0).cast("long").alias("query_id"), F.lit(0).alias("k"), "chunk_id", "vec")
     )
 
     def run(batches):
         now, asks, best, chunk_type = None, [], None, pa.int64()
         for batch in batches:
-            chunk_type = batch.schema.field(4).type
-            tiles, row = _ids(batch.column(0)), _ids(batch.column(1))
-            edges = np.flatnonzero(np.concatenate([[True], (tiles[1:] != tiles[:-1]) | (row[1:] != row[:-1])])).tolist() if len(tiles) else []
-            for a, b in zip(edges, [*edges[1:], len(tiles)], strict=True):
-                part = batch.slice(a, b - a)
-                if tiles[a] != now:
+            chunk_type = batch.schema.field(6).type
+            if not batch.num_rows:
+                continue
+            keys = np.stack([_ids(batch.column(i)).astype(np.int64) for i in range(4)])
+            edges = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)])).tolist()
+            for a, b in zip(edges, [*edges[1:], batch.num_rows], strict=True):
+                part, here = batch.slice(a, b - a), tuple(keys[:3, a])
+                if here != now:
                     if best is not None:
                         yield from best.rows(chunk_type)
-                    now, asks, best = tiles[a], [], None
-                if row[a] == 0:
-                    asks.append((_ids(part.column(2)), _matrix(part.column(5), dim), _ids(part.column(3)).astype(np.int64)))
+                    now, asks, best = here, [], None
+                if keys[3, a] == 0:
+                    asks.append((_ids(part.column(4)), _matrix(part.column(7), dim), _ids(part.column(5)).astype(np.int64)))
                 elif asks:
                     best = best or _Best(*(np.concatenate(x) for x in zip(*asks, strict=True)))
-                    best.add(_ids(part.column(4)), _matrix(part.column(5), dim))
+                    best.add(_ids(part.column(6)), _matrix(part.column(7), dim))
         if best is not None:
             yield from best.rows(chunk_type)
 
-    dealt = met.repartition(groups * parts, "tile").sortWithinPartitions("tile", "row")
+    dealt = met.repartition(*tile).sortWithinPartitions(*tile, "row")
     return dealt.mapInArrow(run, f"query_id bigint, chunk_id {kind.simpleString()}, score double")
 
 
@@ -127,28 +173,40 @@ def ranked(scored: DataFrame, by: list[str], *ties: Column | str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order) - 1)
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int | None = None, filters: dict | None = None, dim: int = 64) -> DataFrame:
+def top_k(queries: DataFrame, corpus: DataFrame, k: int | None = None, filters: dict | None = None, dim: int = 64, scope: str | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank of the k best rows of each query.
 
-    queries: query_id (long), vec, and k where k is not given; corpus: chunk_id, vec and the columns of
-    filters. Rows are filtered before they are scored; vectors that are unusable, and queries with a k below
-    1, are left out. Each task keeps its k best rows per query over all its batches, ties cut by id, and only
-    these are ranked. Up to BROADCAST_QUERIES queries are broadcast; more of them meet the corpus in tiles by
-    one shuffle and never pass the driver.
+    queries: query_id (long, unique), vec, and k where k is not given; corpus: chunk_id, vec and the columns of
+    filters and scope. Rows are filtered before they are scored; vectors that are unusable, and queries with a k
+    below 1, are left out. With a scope, queries hold an array of strings in the column of that name, and a query is
+    only scored with the corpus rows that have one of its values there; a null or empty array asks for all rows, and
+    nulls within it for none.
+
+    Each task keeps its k best rows per query over all its batches, ties cut by id, and only these are ranked. Up
+    to BROADCAST_QUERIES queries (BROADCAST_BYTES of vectors) are broadcast; more of them meet the corpus in tiles by
+    one shuffle and never pass the driver. Either way the rows of other values are never scored.
     """
-    asked = queries.where(vector_fault("vec", dim).isNull()).select("query_id", "vec", (F.lit(k) if k is not None else F.col("k")).cast("int").alias("k")).where("k > 0")
-    rows = apply_filters(corpus, filters or {}).where(vector_fault("vec", dim).isNull()).select("chunk_id", "vec")
-    few = asked.limit(BROADCAST_QUERIES + 1).collect()
-    if len(few) <= BROADCAST_QUERIES:
-        scored = _near_few(rows, few, dim)
+    limit = (F.lit(k) if k is not None else F.col("k")).cast("int").alias("k")
+    asked = queries.where(vector_fault("vec", dim).isNull()).select("query_id", "vec", limit, *([scope] if scope else [])).where("k > 0")
+    rows = apply_filters(corpus, filters or {}).where(vector_fault("vec", dim).isNull()).select("chunk_id", "vec", (F.col(scope).cast("string") if scope else F.lit(None).cast("string")).alias("value"))
+    limits = asked.select(F.col("query_id").alias("_q"), F.col("k").alias("_k"))
+    values = F.array_distinct(F.filter(F.col(scope).cast("array<string>"), lambda v: v.isNotNull())) if scope else None
+    every = F.array(F.lit(None).cast("string"))
+    asked = asked.select("query_id", "vec", "k", F.explode(F.when(F.size(scope) > 0, values).otherwise(every)).alias("value")) if scope else asked.withColumn("value", F.lit(None).cast("string"))
+    most = max(1, min(BROADCAST_QUERIES, BROADCAST_BYTES // (8 * dim)))
+    few = asked.limit(most + 1).toArrow()
+    if few.num_rows <= most:
+        scored = _near_few(rows, few, dim, scope is not None)
     else:
         asked = materialize(asked)
-        scored = _near_many(rows, asked, asked.count(), dim)
-    limit = asked.select(F.col("query_id").alias("_q"), F.col("k").alias("_k"))
+        whole, own = (asked.where(c) for c in ("value is null", "value is not null"))
+        scored = _near_many(rows.withColumn("value", F.lit(None).cast("string")), whole, most, dim)
+        if scope:
+            scored = scored.unionByName(_near_many(rows.where("value is not null"), own, most, dim))
     best = ranked(scored, ["query_id"], "chunk_id")
     if k is not None:
         return best.where(F.col("rank") < k)
-    return best.join(limit, F.col("query_id") == F.col("_q")).where(F.col("rank") < F.col("_k")).drop("_q", "_k")
+    return best.join(limits, F.col("query_id") == F.col("_q")).where(F.col("rank") < F.col("_k")).drop("_q", "_k")
 
 
 def with_fallback(scored: DataFrame, threshold: float | Column, min_return: int | Column = 3, max_return: int | Column | None = None, by: str = "query_id") -> DataFrame:
@@ -185,21 +243,31 @@ def prefer(kind: str, last: str) -> Column:
     return F.when(F.col(kind) == last, 1).otherwise(0)
 
 
-def retrieve_terms(terms: DataFrame, corpus: DataFrame, k: int, threshold: float, min_return: int, max_return: int | None, weighted: bool, kind: str, last: str, dim: int = 64) -> DataFrame:
+def retrieve_terms(
+    terms: DataFrame, corpus: DataFrame, k: int, threshold: float, min_return: int, max_return: int | None, weighted: bool, kind: str, last: str, dim: int = 64, scope: str | None = None
+) -> DataFrame:
     """Retrieval by several terms of each query, merged.
 
     terms: query_id, term_id, term_rank, weight, vec, and perhaps term, the words themselves: terms of two
-    characters or less fetch nothing without weights. Each term fetches its k best rows; with weights a
-    score is boosted by exp(2 weight). Of a row found by several terms the best score stays, the earlier
+    characters or less fetch nothing without weights. A term_id stands for one vector. Each term fetches its k best
+    rows (of the values in its scope, see top_k), once for all queries that ask for it with the same scope; with
+    weights a score is boosted by exp(2 weight). Of a row found by several terms the best score stays, the earlier
     term on a tie. Rows go by score, then those of kind `last` come last, then by id; the threshold and its
     fallback apply to the merged (boosted) scores.
     """
     if not weighted and "term" in terms.columns:
         terms = terms.where(F.length("term") > SHORT_TERM)
-    found = top_k(terms.select(F.col("term_id").alias("query_id"), "vec"), corpus, k, None, dim).drop("rank").withColumnRenamed("query_id", "_term")
-    own = terms.select("query_id", "term_id", "term_rank", "weight")
+    scoped = [F.array_sort(scope).alias("_scope")] if scope else []
+    own = materialize(terms.select("query_id", F.col("term_id").alias("_id"), "term_rank", "weight", "vec", *scoped))
+    keys = ["_id", *(["_scope"] if scope else [])]
+    lists = materialize(own.groupBy(*keys).agg(F.first("vec").alias("vec")).withColumn("_list", F.monotonically_increasing_id()))
+    asked = lists.select(F.col("_list").alias("query_id"), "vec", *([F.col("_scope").alias(scope)] if scope else []))
+    found = top_k(asked, corpus, k, None, dim, scope).drop("rank").withColumnRenamed("query_id", "_list")
+    same = F.col("o._id") == F.col("l._id")
+    same = same & F.col("o._scope").eqNullSafe(F.col("l._scope")) if scope else same
+    listed = own.drop("vec").alias("o").join(lists.drop("vec").alias("l"), same).select("query_id", F.col("o._id").alias("term_id"), "term_rank", "weight", "_list")
     boost = F.exp(2 * F.col("weight")) if weighted else F.lit(1.0)
-    scored = found.join(own, F.col("_term") == F.col("term_id")).withColumn("boost_factor", F.round(boost, DIGITS)).withColumn("score", F.round(F.col("score") * boost, DIGITS))
+    scored = found.join(listed, "_list").drop("_list").withColumn("boost_factor", F.round(boost, DIGITS)).withColumn("score", F.round(F.col("score") * boost, DIGITS))
     best = keep_best(scored, ["query_id", "chunk_id"], "term_rank")
     picked = with_fallback(best, threshold, min_return, max_return).drop("rank")
     kinds = corpus.select(F.col("chunk_id").alias("_c"), F.col(kind))

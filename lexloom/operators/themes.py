@@ -1,16 +1,16 @@
-"""Keyword and theme expansion: each text's tokens against an inverted index."""
+"""Keyword and theme expansion: all keywords in each text by one automaton."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import tokens, without_stop_words
-from lexloom.functions.vectors import embed_table, let
+from lexloom.functions.vectors import embed_table
 from lexloom.session import small
 
+from .matching import find_labels
+
 
 def lemmas(toks: Column, dictionary: dict[str, str]) -> Column:
     """Tokens with their lemma where the dictionary has one."""
@@ -20,86 +20,33 @@ def lemmas(toks: Column, dictionary: dict[str, str]) -> Column:
     return F.transform(toks, lambda w: F.coalesce(F.try_element_at(d, w), w))
 
 
-#: A dimension of more keywords than this is joined; a smaller one becomes literals of the plan.
-LITERAL_KEYWORDS = 5000
-
-
-def _literal(themes: DataFrame) -> dict[str, list[str]] | None:
-    """keyword -> themes, if there are at most LITERAL_KEYWORDS pairs."""
-    rows = themes.select("theme", "keyword").where("keyword is not null").limit(LITERAL_KEYWORDS + 1).collect()
-    if len(rows) > LITERAL_KEYWORDS:
-        return None
-    out: dict[str, list[str]] = {}
-    for r in rows:
-        out.setdefault(r["keyword"], []).append(r["theme"])
-    return out
-
-
-def _every_token(text_col: str, dictionary: dict[str, str] | None) -> Column:
-    toks = tokens(F.col(text_col))
-    return let(toks, lambda t: F.array_union(t, lemmas(t, dictionary))) if dictionary else toks
-
-
-def _strings(values) -> Column:
-    return F.array(*map(F.lit, sorted(values))).cast("array<string>")
-
-
-def _looked_up(table: dict[str, list[str]], keys: Column) -> Column:
-    """All values of the keys, sorted, each once. The table is a constant of the plan."""
-    constant = F.from_json(F.lit(json.dumps(table)), "map<string, array<string>>")
-    return F.sort_array(F.array_distinct(F.flatten(F.transform(keys, lambda k: F.try_element_at(constant, k)))))
-
-
-def _with_lemmas(table: dict[str, list[str]], dictionary: dict[str, str] | None) -> dict[str, list[str]]:
-    """The table with each word that the dictionary leads to a keyword, so that no text needs its lemmas."""
-    led = {w: sorted({*table.get(w, ()), *table[lemma]}) for w, lemma in (dictionary or {}).items() if lemma in table}
-    return table | led
-
-
-def _row_hits(text_col: str, keywords) -> Column:
-    """Keywords in a row's text: single words among its tokens, phrases anywhere in it."""
-    single, phrases = [k for k in keywords if " " not in k], [k for k in keywords if " " in k]
-    words = F.array_intersect(tokens(F.col(text_col)), _strings(single))
-    if not phrases:
-        return words
-    return F.concat(words, let(F.lower(F.coalesce(F.col(text_col), F.lit(""))), lambda t: F.filter(_strings(phrases), lambda p: F.contains(t, p))))
-
-
-def _joined_hits(df: DataFrame, id_col: str, text_col: str, themes: DataFrame, dictionary: dict[str, str] | None) -> DataFrame:
-    """id, theme, keyword by equality joins, for dimensions of any size: phrases meet the text by their first token."""
-    single = themes.where(~F.contains("keyword", F.lit(" ")))
-    by_token = df.select(id_col, F.explode(F.array_distinct(_every_token(text_col, dictionary))).alias("keyword")).join(small(single), "keyword")
-    phrases = themes.where(F.contains("keyword", F.lit(" "))).withColumn("_head", F.get(tokens(F.col("keyword")), 0))
-    text = df.select(id_col, F.lower(text_col).alias("_t"), F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("_head"))
-    by_phrase = text.join(small(phrases), "_head").where(F.contains("_t", F.col("keyword")))
-    return by_token.select(id_col, "theme", "keyword").unionByName(by_phrase.select(id_col, "theme", "keyword")).distinct()
+def _patterns(themes: DataFrame, dictionary: dict[str, str] | None) -> DataFrame:
+    """pattern, bounded, label: keywords of one word count as tokens of a text, phrases anywhere in it; so does each
+    word that the dictionary leads to a keyword. Labels are themes."""
+    own = themes.where("keyword is not null and theme is not null").select(F.col("keyword").alias("pattern"), (~F.contains("keyword", F.lit(" "))).alias("bounded"), F.col("theme").alias("label"))
+    if not dictionary:
+        return own
+    led = themes.sparkSession.createDataFrame(list(dictionary.items()), "word string, lemma string")
+    led = small(led).join(own.where("bounded"), F.col("lemma") == F.col("pattern")).select(F.col("word").alias("pattern"), "bounded", "label")
+    return own.unionByName(led)
 
 
 def extract_themes(df: DataFrame, id_col: str, text_col: str, themes: DataFrame, dictionary: dict[str, str] | None = None) -> DataFrame:
     """id and the sorted themes of which a keyword is in the text; rows without any don't appear.
 
-    themes (theme, keyword) is a dimension. Up to LITERAL_KEYWORDS pairs are constants, and each row finds its
-    themes by itself, without a shuffle; a larger dimension is joined, and ids must then be unique.
+    themes (theme, keyword) is a dimension of any size, see find_labels(); ids may repeat, each row is one by itself.
     """
-    table = _literal(themes)
-    if table is None:
-        return _joined_hits(df, id_col, text_col, themes, dictionary).groupBy(id_col).agg(F.sort_array(F.collect_set("theme")).alias("themes"))
-    table = _with_lemmas(table, dictionary)
-    return df.select(id_col, _looked_up(table, _row_hits(text_col, table)).alias("themes")).where(F.size("themes") > 0)
+    found = find_labels(df.select(id_col, F.lower(text_col).alias("_t")), "_t", _patterns(themes, dictionary), "themes")
+    return found.where(F.size("themes") > 0)
 
 
 def expand_keywords(df: DataFrame, id_col: str, text_col: str, themes: DataFrame, dictionary: dict[str, str] | None = None) -> DataFrame:
     """id and all keywords, sorted, of the themes found in the text; see extract_themes()."""
-    table = _literal(themes)
-    if table is None:
-        found = _joined_hits(df, id_col, text_col, themes, dictionary).select(id_col, "theme").distinct()
-        return found.join(small(themes), "theme").groupBy(id_col).agg(F.sort_array(F.collect_set("keyword")).alias("keywords"))
-    of_theme: dict[str, list[str]] = {}
-    for keyword, names in table.items():
-        for name in names:
-            of_theme.setdefault(name, []).append(keyword)
-    wide = _with_lemmas({k: sorted({w for name in names for w in of_theme[name]}) for k, names in table.items()}, dictionary)
-    return df.select(id_col, _looked_up(wide, _row_hits(text_col, wide)).alias("keywords")).where(F.size("keywords") > 0)
+    numbered = df.select(F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row")).alias("_key"), F.col(text_col).alias("_text"))
+    found = extract_themes(numbered, "_key", "_text", themes, dictionary).select("_key", F.explode("themes").alias("theme"))
+    members = themes.where("keyword is not null").groupBy("theme").agg(F.collect_set("keyword").alias("_ks"))
+    wide = found.join(small(members), "theme").groupBy("_key").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("_ks")))).alias("keywords"))
+    return wide.select(F.col("_key.id").alias(id_col), "keywords")
 
 
 def expansion_debug(df: DataFrame, id_col: str, text_col: str, themes: DataFrame, stop: tuple[str, ...] = ()) -> DataFrame:

@@ -132,11 +132,18 @@ def rule_match(spark, sf):
     return found.select("question_id", F.coalesce("rule", F.lit("none")).alias("rule"))
 
 
+SCOPE_NAMES = ("Customer#", "Tomas Okafor-Lind", "Eugene O'Neill", "Łucja Żak-Ørsted", "José Ñandú ")
+
+
 def entity_scope(spark, sf):
-    names = table(spark, sf, "customer").select(F.col("c_name").alias("full_name"))
-    asked = table(spark, sf, "customer").select(
-        F.col("c_custkey").alias("question_id"),
-        F.concat(F.lit("Compare "), "c_name", F.lit(" and Customer#"), F.lpad(((F.col("c_custkey") * 7) % 1500).cast("string"), 9, "0"), F.lit("?")).alias("question"),
+    """Names with hyphens, apostrophes and letters beyond ASCII; questions name one as a whole and one by its last name."""
+    key = F.col("c_custkey")
+    full = F.concat(F.element_at(F.array(*map(F.lit, SCOPE_NAMES)), (key % len(SCOPE_NAMES) + 1).cast("int")), key.cast("string"))
+    names = table(spark, sf, "customer").select(key, full.alias("full_name"))
+    other = names.select((F.col("c_custkey") - 3).alias("c_custkey"), F.element_at(F.split("full_name", " "), -1).alias("last"))
+    asked = names.join(other, "c_custkey", "left").select(
+        key.alias("question_id"),
+        F.when(key % 5 == 0, F.concat(F.lit("What did "), F.coalesce("last", F.lit("nobody")), F.lit(" write?"))).otherwise(F.concat(F.lit("Compare ("), F.upper("full_name"), F.lit(") and "), F.coalesce("last", F.lit("nobody")), F.lit("'s book."))).alias("question"),
     )
     return X.scoped_entities(asked, names).select("question_id", F.array_join("entities", "|").alias("entities"))
 
@@ -248,10 +255,15 @@ select f.year_awarded as year, lower(full_name) as last_name, full_name, text_id
 union all select f.year_awarded, lower(full_name), full_name, text_id, 'shared' from f join s on s.year = f.year_awarded""",
     "facts_answers": _ANSWERS + " select question_id, rule, answer from a where rule <> 'none'",
     "rule_match": _ANSWERS + " select question_id, rule from a",
-    "entity_scope": """with n as (select c_name as full_name from customer),
-q as (select c_custkey as question_id, [c_name, 'Customer#' || lpad(((c_custkey * 7) % 1500)::varchar, 9, '0')] as ns from customer),
-u as (select distinct question_id, unnest(ns) as full_name from q)
-select question_id, string_agg(full_name, '|' order by full_name) as entities from u semi join n using (full_name) group by 1""",
+    "entity_scope": r"""with n as (select c_custkey, [""" + ", ".join("'" + x.replace("'", "''") + "'" for x in SCOPE_NAMES) + r"""][c_custkey % 5 + 1] || c_custkey as full_name from customer),
+l as (select *, lower(full_name) as low, lower(string_split(full_name, ' ')[-1]) as last from n),
+q as (select c_custkey as question_id, lower(case when c_custkey % 5 = 0 then 'What did ' || coalesce(o.last_, 'nobody') || ' write?' else 'Compare (' || upper(full_name) || ') and ' || coalesce(o.last_, 'nobody') || '''s book.' end) as q
+      from n left join (select c_custkey - 3 as c_custkey, string_split(full_name, ' ')[-1] as last_ from n) o using (c_custkey)),
+w as (select question_id, q, ' ' || regexp_replace(q, '[^\p{L}\p{N}_]', ' ', 'g') || ' ' as words from q),
+m as (select question_id, full_name, contains(q, low) as whole, case when contains(q, low) then length(low) else length(last) end as size
+      from w, l where contains(q, last) and (contains(q, low) or contains(words, ' ' || regexp_replace(last, '[^\p{L}\p{N}_]', ' ', 'g') || ' '))
+      qualify row_number() over (partition by question_id order by whole desc, size desc, full_name) <= 3)
+select question_id, string_agg(full_name, '|' order by whole desc, size desc, full_name) as entities from m group by 1""",
     "facts_upsert": """with o as (select 2000 as year, lower(c_name) as name, c_nationkey, c_acctbal, c_mktsegment from customer where c_custkey % 10 <> 3),
 n as (select 2000 as year, lower(c_name) as name, case when c_custkey % 4 = 0 then c_nationkey + 1 end as c_nationkey, c_acctbal + 1 as c_acctbal from customer where c_custkey % 10 > 1)
 select coalesce(o.year, n.year)::int as year, coalesce(o.name, n.name) as name, coalesce(n.c_nationkey, o.c_nationkey) as c_nationkey, round(coalesce(n.c_acctbal, o.c_acctbal), 2) as c_acctbal, c_mktsegment,

@@ -72,7 +72,7 @@ def test_ties_are_cut_in_the_task(spark, monkeypatch):
     asked = spark.createDataFrame([(i, [1.0, 0.0], 5 + i) for i in range(3)] + [(9, [1.0, 0.0], 0)], "query_id long, vec array<float>, k int")
     got = R.top_k(asked, same, None, None, 2)
     assert sorted((r["query_id"], r["chunk_id"]) for r in got.collect()) == [(i, c) for i in range(3) for c in range(5 + i)]
-    found = R._near_few(same, asked.where("k > 0").collect(), 2)
+    found = R._near_few(same, asked.where("k > 0").withColumn("value", F.lit(None).cast("string")).toArrow(), 2, False)
     assert found.count() <= 3 * 18 * same.rdd.getNumPartitions()
 
 
@@ -109,3 +109,44 @@ def test_texts_are_embedded_like_the_corpus(spark):
     assert [(r["chunk_id"], r["score"]) for r in got] == [(2, pytest.approx(1.0))]
     themes = spark.createDataFrame([("a", "hope"), ("b", "hope"), ("b", "light")], "theme string, keyword string")
     assert sorted(r["keyword"] for r in term_vectors(themes).collect()) == ["hope", "light"]
+
+
+def _scoped_rows():
+    """A third of the rows under one value, a value that nobody has, rows without one, queries of one, two, no and all values."""
+    c = _ring(600, 3)
+    names = [None if i % 10 == 9 else "hot" if i % 3 == 0 else f"v{i % 7}" for i in range(len(c))]
+    scopes = [["hot"], ["v1", "v2"], None, [], ["nobody"], ["hot", None], [None], ["v3", "v3", "hot"]]
+    q = _ring(160, 4)
+    return c, names, q, [scopes[i % len(scopes)] for i in range(len(q))]
+
+
+@pytest.mark.parametrize("most", [16_384, 5])
+def test_scoped_queries_meet_only_their_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(R, "BROADCAST_QUERIES", most)
+    c, names, q, scopes = _scoped_rows()
+    corpus = spark.createDataFrame([(i, v.tolist(), n) for i, (v, n) in enumerate(zip(c, names, strict=True))], "chunk_id long, vec array<float>, author string").repartition(5)
+    asked = spark.createDataFrame([(i, v.tolist(), s) for i, (v, s) in enumerate(zip(q, scopes, strict=True))], "query_id long, vec array<float>, author array<string>").repartition(3)
+    got = {}
+    for r in R.top_k(asked, corpus, 4, None, 2, scope="author").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["chunk_id"], r["score"]))
+    scores = np.round(q.astype(np.float32).astype(float) @ c.astype(np.float32).astype(float).T, 6)
+    for i, s in enumerate(scopes):
+        own = [j for j in range(len(c)) if not s or names[j] in [v for v in s if v is not None]]
+        best = sorted(own, key=lambda j: (-scores[i, j], j))[:4]
+        assert sorted(got.get(i, [])) == [(k, j, scores[i, j]) for k, j in enumerate(best)], s
+
+
+def test_tiles_split_the_hot_value(spark):
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("v"), (F.col("id") % 50).cast("string"))).alias("value"))
+    asked = spark.range(3000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("v"), (F.col("id") % 50).cast("string"))).alias("value"))
+    plan = {r["value"]: r for r in R._tile_plan(rows, asked, 1000).collect()}
+    hot = plan["hot"]
+    assert hot["asks"] / hot["groups"] <= 1000 and hot["groups"] * hot["parts"] >= 4
+    assert all(r["asks"] * r["held"] / (r["groups"] * r["parts"]) <= 1.5e7 / 4 for r in plan.values())
+
+
+def test_terms_of_scoped_queries(spark):
+    corpus = spark.createDataFrame([(1, [1.0, 0.0], "a", "x"), (2, [0.9, 0.1], "a", "y"), (3, [0.0, 1.0], "a", "y")], "chunk_id long, vec array<float>, kind string, author string")
+    terms = spark.createDataFrame([(7, "t", 0, 0.5, [1.0, 0.0], ["y"]), (8, "t", 0, 0.5, [1.0, 0.0], None), (9, "u", 0, 0.5, [0.0, 1.0], ["x"])], "query_id long, term_id string, term_rank int, weight double, vec array<float>, author array<string>")
+    got = R.retrieve_terms(terms, corpus, 1, 0.2, 1, None, True, "kind", "b", dim=2, scope="author")
+    assert sorted((r["query_id"], r["chunk_id"], r["term_id"]) for r in got.collect()) == [(7, 2, "t"), (8, 1, "t"), (9, 1, "u")]

@@ -149,14 +149,15 @@ def test_absence_and_links(spark):
     assert got[3]["l"] == ["http://h/a.PDF"]
 
 
-def test_large_theme_dimensions_are_joined(spark, monkeypatch):
+def test_large_theme_dimensions_are_cut_into_shards(spark, monkeypatch):
+    from lexloom.operators import matching
     from lexloom.operators import themes as H
 
     docs = spark.createDataFrame([(1, "light of the sea"), (2, "dark"), (3, None), (4, "Sea, sea")], "i int, t string")
     themes = spark.createDataFrame([("water", "sea"), ("water", "of the"), ("day", "light"), ("day", "sun")], "theme string, keyword string")
     here = [sorted(map(repr, f(docs, "i", "t", themes, {"sea": "sun"}).collect())) for f in (H.extract_themes, H.expand_keywords)]
     assert here[0] == sorted(map(repr, [Row(i=1, themes=["day", "water"]), Row(i=4, themes=["day", "water"])]))
-    monkeypatch.setattr(H, "LITERAL_KEYWORDS", 1)
+    monkeypatch.setattr(matching, "SHARD_BYTES", 300)
     assert here == [sorted(map(repr, f(docs, "i", "t", themes, {"sea": "sun"}).collect())) for f in (H.extract_themes, H.expand_keywords)]
 
 
