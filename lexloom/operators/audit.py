@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.session import materialize
+
 from .filters import since
 
 PRICE_PER_1K = 0.0015
@@ -55,7 +57,8 @@ def distribution(df: DataFrame, col: str, missing: str = "unknown") -> DataFrame
     """Rows for each value and their share; null and empty count as missing."""
     value = F.coalesce(F.nullif(F.col(col), F.lit("")), F.lit(missing))
     counted = df.groupBy(value.alias(col)).agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+    total = F.broadcast(df.agg(F.count(F.lit(1)).alias("_total")).withColumn("_k", F.lit(1)))  # one row
+    return counted.withColumn("_k", F.lit(1)).join(total, "_k").select(col, "n", F.round(F.col("n") / F.col("_total"), 6).alias("share"))
 
 
 def error_stats(df: DataFrame, type_col: str) -> DataFrame:
@@ -126,17 +129,36 @@ def query_log_stats(df: DataFrame) -> DataFrame:
     )
 
 
+#: A log of more lines than this is cut into ranges of its order.
+LINES_OF_TASK = 1_000_000
+
+
 def pair_events(df: DataFrame, by: str, order: list[str], kind: str, payload: list[str]) -> DataFrame:
     """Ends (done, fail) right after a start of the same log, with the start's payload as start_*.
 
-    A start overwrites one that is pending, the next end closes it, other ends and kinds are ignored. One
-    shuffle by log source; a log with one source is one partition, as its order is one sequence.
+    A start overwrites one that is pending, the next end closes it, other ends and kinds are ignored. `order` must
+    tell a log's lines apart; logs with a null in `by` are one log. While no log has more than LINES_OF_TASK lines,
+    each is ordered by one task. Beyond that lines are dealt out by ranges of log and order, so that one log goes
+    over all tasks: each range pairs its own lines, and what is pending at its end is carried to the next range that
+    holds the log, from one row for each range and log.
     """
-    w = Window.partitionBy(by).orderBy(*order)
     kept = df.where(F.col(kind).isin("start", "done", "fail"))
-    tagged = kept.select("*", F.lag(kind).over(w).alias("_before"), *[F.lag(p).over(w).alias(f"start_{p}") for p in payload])
-    paired = tagged.where((F.col(kind) != "start") & (F.col("_before") == "start")).drop("_before")
-    return paired.withColumn("status", F.when(F.col(kind) == "done", "completed").otherwise("failed"))
+    longest = kept.groupBy(by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    end = (F.col(kind) != "start") & (F.col("_before") == "start")
+    status = F.when(F.col(kind) == "done", "completed").otherwise("failed")
+    if longest <= LINES_OF_TASK:
+        w = Window.partitionBy(by).orderBy(*order)
+        tagged = kept.select("*", F.lag(kind).over(w).alias("_before"), *[F.lag(p).over(w).alias(f"start_{p}") for p in payload])
+        return tagged.where(end).drop("_before").withColumn("status", status)
+    ranges = materialize(kept.repartitionByRange(F.col(by).asc_nulls_first(), *order).withColumn("_range", F.spark_partition_id()))
+    line = F.struct(F.col(kind).alias("_before"), *[F.col(p).alias(f"start_{p}") for p in payload])
+    inside = Window.partitionBy("_range", by).orderBy(*order)
+    tagged = ranges.withColumn("_last", F.lag(line).over(inside))
+    ends = ranges.groupBy(F.col(by).alias("_by"), F.col("_range").alias("_at")).agg(F.max_by(line, F.struct(*order)).alias("_open"))
+    carried = ends.select("_by", "_at", F.lag("_open").over(Window.partitionBy("_by").orderBy("_at")).alias("_carried")).where("_carried is not null")
+    first = tagged.where("_last is null").drop("_last").join(carried, (F.col("_range") == F.col("_at")) & F.col(by).eqNullSafe(F.col("_by")))
+    both = tagged.where("_last is not null").unionByName(first.withColumn("_last", F.col("_carried")).drop("_by", "_at", "_carried"))
+    return both.select(*df.columns, "_last.*").where(end).drop("_before").withColumn("status", status)
 
 
 def parse_service_log(lines: DataFrame, start: str, done: str, fail: str) -> DataFrame:

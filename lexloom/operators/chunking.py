@@ -2,43 +2,75 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from functools import reduce
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from lexloom.functions.text import last_name, words
 
 
-def packed(text: Column, max_tokens: int = 500, overlap: int = 0, para_pattern: str = r"\n\s*\n") -> Column:
-    """Array of chunks: paragraphs packed in order up to max_tokens words.
+#: Texts of a batch that are packed at a time.
+ROWS_AT_ONCE = 256
+
+
+def _ends(sizes: list[int], most: int, overlap: int) -> list[int]:
+    """Begin and end, in words of the text, of each chunk of pieces with these sizes (each within most).
+
+    Word counts are summed up once; where a chunk ends is then found by a binary search, so the work grows with the
+    number of chunks and not with its square.
+    """
+    ends, out, i, lead = list(accumulate(sizes)), [], 0, 0
+    while i < len(ends):
+        begin = ends[i] - sizes[i] - lead
+        i = bisect_right(ends, begin + most, lo=i)
+        out += (begin, ends[i - 1])
+        if i < len(ends):
+            lead = min(overlap, ends[i - 1] - begin)
+            lead = lead if lead + sizes[i] <= most else 0
+    return out
+
+
+def packed(df: DataFrame, text_col: str, out: str, max_tokens: int = 500, overlap: int = 0, para_pattern: str = r"\n\s*\n") -> DataFrame:
+    """df with an array of chunks in `out` instead of text_col: paragraphs packed in order up to max_tokens words.
 
     When the next paragraph doesn't fit, the chunk is closed and the new one begins with its last `overlap`
     words. A paragraph longer than max_tokens is cut into windows; its rest goes on as the current chunk.
     Without overlap the chunks hold the text's words once each, in order. Null and blank texts give none.
+
+    Words are split by Spark; a chunk is a run of them, joined in Arrow batches, so the work grows with the text.
+    Nothing is shuffled.
     """
     if max_tokens <= overlap:
         raise ValueError("the overlap must be below max_tokens")
-    paragraphs = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), para_pattern), words), lambda p: F.size(p) > 0)
-    # windows of long paragraphs become paragraphs of their own, so that one fold over short arrays is left
-    pieces = F.flatten(F.transform(paragraphs, lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / max_tokens).cast("int")), lambda i: F.slice(p, i * max_tokens + 1, max_tokens))))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("cur"))
 
-    def step(s: Column, p: Column) -> Column:
-        fits = (F.size(s["cur"]) + F.size(p) <= max_tokens) | (F.size(s["cur"]) == 0)
-        tail = F.slice(s["cur"], F.greatest(F.size(s["cur"]) - overlap + 1, F.lit(1)), F.lit(overlap)) if overlap else F.array().cast("array<string>")
-        room = F.when(F.size(tail) + F.size(p) <= max_tokens, tail).otherwise(F.array().cast("array<string>")) if overlap else tail
-        return F.when(fits, F.struct(s["done"].alias("done"), F.concat(s["cur"], p).alias("cur"))).otherwise(
-            F.struct(F.array_append(s["done"], F.array_join(s["cur"], " ")).alias("done"), F.concat(room, p).alias("cur"))
-        )
+    rest = [c for c in df.columns if c != text_col]
+    paragraphs = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), para_pattern), words)
+    sized = df.select(*rest, paragraphs.alias("_paragraphs")).select(*rest, F.flatten("_paragraphs").alias("_words"), F.filter(F.transform("_paragraphs", F.size), lambda n: n > 0).alias("_sizes"))
+
+    def cut(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                out_rows = []
+                for own, sizes in zip(part.column(len(rest)).to_pylist(), part.column(len(rest) + 1).to_pylist(), strict=True):
+                    pieces = [min(max_tokens, n - i) for n in sizes for i in range(0, n, max_tokens)]
+                    ends = _ends(pieces, max_tokens, overlap)
+                    out_rows.append([" ".join(own[a:b]) for a, b in zip(ends[::2], ends[1::2], strict=True)])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(out_rows, pa.list_(pa.string()))], [*rest, out])
 
-    return F.aggregate(pieces, start, step, lambda s: F.when(F.size(s["cur"]) > 0, F.array_append(s["done"], F.array_join(s["cur"], " "))).otherwise(s["done"]))
+    kept = [f for f in df.schema.fields if f.name != text_col]
+    return sized.mapInArrow(cut, StructType([*kept, StructField(out, ArrayType(StringType()))]))
 
 
 def chunk(df: DataFrame, text_col: str, max_tokens: int = 500, overlap: int = 0, para_pattern: str = r"\n\s*\n") -> DataFrame:
-    """A row for each chunk with the columns of df but the text: chunk_index, chunk. Nothing is shuffled."""
+    """A row for each chunk with the columns of df but the text: chunk_index, chunk; see packed()."""
     rest = [c for c in df.columns if c != text_col]
-    return df.select(*rest, F.posexplode(packed(F.col(text_col), max_tokens, overlap, para_pattern)).alias("chunk_index", "chunk"))
+    return packed(df, text_col, "_chunks", max_tokens, overlap, para_pattern).select(*rest, F.posexplode("_chunks").alias("chunk_index", "chunk"))
 
 
 def split_fixed(df: DataFrame, text_col: str, n: int) -> DataFrame:

@@ -70,14 +70,15 @@ def test_intents(spark, text, intent, sub):
 @settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.text(alphabet="ab \n", max_size=120), st.integers(2, 6), st.integers(0, 1))
 def test_packing_keeps_words(spark, text, most, overlap):
-    chunks = spark.createDataFrame([(text,)], "t string").select(C.packed(F.col("t"), most, overlap, "\n")).first()[0]
+    chunks = C.packed(spark.createDataFrame([(text,)], "t string"), "t", "c", most, overlap, "\n").first()[0]
     assert all(0 < len(c.split()) <= most for c in chunks)
     if not overlap:
         assert [w for c in chunks for w in c.split()] == text.split()
 
 
 def test_packing_example(spark):
-    assert _one(spark, lambda c: C.packed(c, 5, 0, r"\|"), "a b c | d e | f g h i | j", None) == [["a b c d e", "f g h i j"], []]
+    df = spark.createDataFrame([("a b c | d e | f g h i | j",), (None,)], "t string")
+    assert [r["c"] for r in C.packed(df, "t", "c", 5, 0, r"\|").collect()] == [["a b c d e", "f g h i j"], []]
 
 
 def test_uuid_and_vectors(spark):
