@@ -110,9 +110,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Learn from a bounded sample of labelled rows whose crc32 of the id modulo `folds` is not out_fold.
 
     Ids are drawn by a digest, some more than TRAIN_DOCS in expectation. Of their texts, in the order of a
-    digest of id and text, so many are taken whole as fit into TRAIN_DOCS and TRAIN_CHARS; only their
-    lengths and then these texts reach the driver. An id that is labelled both ways teaches nothing; rows
-    repeated in full count once. Without labels the score is 0.5 for all.
+    digest of id and text, up to TRAIN_DOCS are taken whole; one that would exceed TRAIN_CHARS is left out and the
+    next ones are tried. Only their lengths and then these texts reach the driver. An id that is labelled both ways
+    teaches nothing; rows repeated in full count once. Without labels the score is 0.5 for all; labels of which
+    every text is too long for TRAIN_CHARS are an error.
     """
     usable = labels.where((bucket_of(id_col, folds) != out_fold) & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     usable = usable.groupBy(id_col).agg(F.max(label_col).cast("int").alias("_label"), F.min(label_col).cast("int").alias("_other")).where("_label = _other")
@@ -124,11 +125,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     drawn = texts.join(F.broadcast(chosen), "id").withColumn("u", F.xxhash64("id", "text"))
     first = drawn.groupBy("u").agg(F.max(F.length("text")).alias("n")).orderBy("u").limit(TRAIN_DOCS).collect()
-    sizes = np.cumsum([r["n"] for r in first], dtype=np.int64)
-    fits = int(np.searchsorted(sizes, TRAIN_CHARS, side="right"))
-    if not fits:
+    if not first:
         return Model(np.zeros(1 << BITS), 0.0)
-    got = drawn.where(F.col("u") <= first[fits - 1]["u"]).dropDuplicates(["u"]).select("id", "text", "_label")
+    taken, size = [], 0
+    for r in first:
+        if size + r["n"] <= TRAIN_CHARS:
+            taken.append((r["u"],))
+            size += r["n"]
+    if not taken:
+        raise ValueError(f"every labelled text has more than {TRAIN_CHARS} characters")
+    taken = docs.sparkSession.createDataFrame(taken, "u bigint")  # TRAIN_DOCS rows at most
+    got = drawn.join(F.broadcast(taken), "u").dropDuplicates(["u"]).select("id", "text", "_label")
     rows = sorted((r["id"], r["text"], r["_label"]) for r in got.collect())
     return fit([r[1] for r in rows], np.array([r[2] for r in rows], np.int64))
 

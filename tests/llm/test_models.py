@@ -1,7 +1,10 @@
 """Language filters and the classifier against plain loops over exact sets and features."""
 
+import zlib
+
 import numpy as np
 import pytest
+
 from lexloom.llm import langid, quality_model
 from lexloom.llm.hashing import scatter, windows
 
@@ -117,3 +120,19 @@ def test_sample_stays_within_its_bounds(spark, monkeypatch):
     texts, given = seen[0]
     assert 0 < len(texts) == len(given) <= 40 and sum(map(len, texts)) <= 3000 and len(set(texts)) == len(texts)
     assert not any(t.startswith("text 4 ") or t.startswith("text 64 ") for t in texts)  # labelled both ways
+
+
+def test_a_long_labelled_text_does_not_end_the_sample(spark, monkeypatch):
+    """Wherever it stands in the order of the draw, the other texts are learned from; alone it is an error."""
+    seen = []
+    monkeypatch.setattr(quality_model, "fit", lambda texts, labels, seed=7: seen.append(sorted(texts)))
+    monkeypatch.setattr(quality_model, "TRAIN_CHARS", 1000)
+    kept = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2][:21]
+    small = {i: f"text {i}" for i in kept}
+    for long in kept[:8]:
+        docs = spark.createDataFrame([(i, "x" * 2000 if i == long else t) for i, t in small.items()], "doc_id long, text string")
+        quality_model.train(docs, spark.createDataFrame([(i, i % 2) for i in kept], "doc_id long, quality int"))
+        assert seen.pop() == sorted(t for i, t in small.items() if i != long)
+    alone = spark.createDataFrame([(kept[0], "x" * 2000)], "doc_id long, text string")
+    with pytest.raises(ValueError, match="1000 characters"):
+        quality_model.train(alone, spark.createDataFrame([(kept[0], 1)], "doc_id long, quality int"))
