@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from .common import WS, materialize, table
 
-#: Digests of 32 bytes up to this number are broadcast; beyond it the same join shuffles.
+#: Repeated digests up to this number are broadcast; beyond it only the hot ones are, and the others meet their rows by
+#: a shuffle.
 BROADCAST_DIGESTS = 400_000
+#: A digest is hot from this share of all rows on, so that there are at most so many hot ones.
+HOT_DIGESTS = 100_000
 
 
 def _normalised(docs: DataFrame, id_col: str, text_col: str, carried: Column) -> DataFrame:
@@ -21,6 +24,23 @@ def _normalised(docs: DataFrame, id_col: str, text_col: str, carried: Column) ->
     ).select("doc", "id", "n_cp", "norm", F.coalesce(F.sha2(F.col("norm"), 256), F.lit("")).alias("digest"))
 
 
+def _salted(rows: DataFrame, repeated: DataFrame, hot: DataFrame, rare: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Of rows (digest) those with a repeated digest, with its salts, and the others.
+
+    Hot digests are broadcast, so their rows are not moved to be told apart. Of the rest no digest has more rows than
+    one in HOT_DIGESTS of all; where they are too many to be broadcast, they meet their rows by digest, and the rows
+    of hot digests, which need no partner there, are dealt out by a number of their own.
+    """
+    if rare is None:
+        return rows.join(F.broadcast(repeated), "digest"), rows.join(F.broadcast(repeated), "digest", "left_anti")
+    told = rows.join(F.broadcast(hot.select("digest", F.col("salts").alias("_hot"))), "digest", "left")
+    told = told.withColumn("_key", F.when(F.col("_hot").isNull(), F.col("digest")).otherwise(F.concat(F.lit("hot "), F.monotonically_increasing_id().cast("string"))))
+    met = told.join(rare.select(F.col("digest").alias("_key"), F.col("salts").alias("_rare")), "_key", "left")
+    met = met.withColumn("salts", F.coalesce("_hot", "_rare")).drop("_key", "_hot", "_rare")
+    cold = rows.join(F.broadcast(hot), "digest", "left_anti").join(rare, "digest", "left_anti")
+    return met.where("salts is not null"), cold
+
+
 def _judged(docs: DataFrame, id_col: str, text_col: str, rows_per_salt: int, carried: Column, slim: bool = False) -> DataFrame:
     """doc (what is carried of the row), keep_id, group_size, kept, equal, digest for each row of docs.
 
@@ -32,11 +52,14 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, rows_per_salt: int, car
     base = _normalised(docs, id_col, text_col, carried)
     digests = materialize(base.select("doc", "id", "digest")) if slim else base
     salts = (F.lit(1) + F.floor(F.col("n") / rows_per_salt)).cast("int").alias("salts")
-    repeated = materialize(digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", salts))
-    small = repeated.count() <= BROADCAST_DIGESTS
-    marked = F.broadcast(repeated) if small else repeated
-
-    members = materialize(base.join(marked, "digest").withColumn("row", F.monotonically_increasing_id()))
+    counted = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    repeated = materialize(counted.where("n > 1").select("digest", "n", salts))
+    n = repeated.agg(F.count(F.lit(1)), F.sum("n")).first()
+    hot_from = max(rows_per_salt, -(-(n[1] or 0) // HOT_DIGESTS))
+    hot, rare = (repeated.where(F.col("n") >= hot_from), repeated.where(F.col("n") < hot_from)) if n[0] > BROADCAST_DIGESTS else (repeated, None)
+    repeated, hot, rare = (None if x is None else x.drop("n") for x in (repeated, hot, rare))
+
+    members = materialize(_salted(base, repeated, hot, rare)[0].withColumn("row", F.monotonically_increasing_id()))
     members = members.withColumn("salt", F.pmod(F.hash("row"), F.col("salts")))
     rank = F.struct((-F.col("n_cp")).alias("neg_cp"), F.col("id").isNull().alias("no_id"), "id", "row")
     winners = (
@@ -55,7 +78,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, rows_per_salt: int, car
         (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("n_cp") == -F.col("best.neg_cp"))).alias("equal"),
         "digest",
     )
-    single = digests.join(marked, "digest", "left_anti").select(
+    single = _salted(digests, repeated, hot, rare)[1].select(
         "doc", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lit(True).alias("equal"), "digest"
     )
     return single.unionByName(found)
@@ -72,7 +95,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Digests that occur once need no comparison. For the others, each task first combines its own
     equal contents (Spark's partial aggregation), then (digest, content, salt) groups are merged, and
     at last the salt winners of each (digest, content). A digest has one salt for every rows_per_salt of
-    its rows. The members meet their winner by digest, salt and whole content, so a hot group of copies
+    its rows; rows of hot digests get theirs without a shuffle by digest. The members meet their winner by digest, salt and whole content, so a hot group of copies
     is spread over its salts in every shuffle, and small groups are not written more than once.
     """
     judged = _judged(docs, id_col, text_col, rows_per_salt, F.struct(F.col(id_col).alias("id")), slim=True)

@@ -6,6 +6,7 @@ from collections import Counter
 from pathlib import Path
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from lexloom.llm import exact_dedup, mixing, simhash
 from lexloom.llm.common import scratch_dir
 from test_operators import _fingerprint, reference_encoder  # noqa: F401
@@ -131,3 +132,28 @@ def test_pipeline_on_awkward_and_empty_tables(spark, awkward, tmp_path, referenc
     before = set(kept.iterdir())
     assert corpus_pipeline.run(spark, f"{tmp_path}/e").count() == 0
     assert len(set(kept.iterdir()) - before) == len(corpus_pipeline.STAGES) - 1  # what stages wrote for themselves is gone
+
+
+def test_many_repeated_digests_meet_by_a_shuffle_without_the_hot_ones(spark, monkeypatch):
+    """One text in half of the rows: the same result whichever way digests meet, and no task that has it all."""
+    rows = [(i, "the hot text " + " " * (i % 3) if i % 2 else f"text {i // 6} {'x' * (i % 5)}") for i in range(6000)] + [(None, None), (7, ""), (None, "the hot text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    key = lambda d: sorted(map(repr, map(tuple, d.collect())))
+    want = key(exact_dedup.exact_dedup(df, rows_per_salt=100))
+    monkeypatch.setattr(exact_dedup, "BROADCAST_DIGESTS", 0)
+    for hot_digests in (1, 100, 100_000):
+        monkeypatch.setattr(exact_dedup, "HOT_DIGESTS", hot_digests)
+        assert key(exact_dedup.exact_dedup(df, rows_per_salt=100)) == want
+    assert len(_texts(exact_dedup.keep_first_copies(df, rows_per_salt=100, repeats=False))) == exact_dedup.exact_dedup(df).where("kept").count()
+    off = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = {c: spark.conf.get(c) for c in off}
+    try:
+        spark.conf.set(off[0], "false"), spark.conf.set(off[1], "-1")
+        base = exact_dedup._normalised(df, "doc_id", "text", F.lit(1))
+        counts = base.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("salts", F.lit(3))
+        parts = [counts.where(c).drop("n") for c in ("n > 0", "n >= 100", "n < 100")]
+        sizes = sorted(r["n"] for r in exact_dedup._salted(base, *parts)[0].groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect())
+        assert len(sizes) == 4 and sizes[-1] <= 2 * sizes[1]
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
