@@ -109,12 +109,13 @@ def subtype(df: DataFrame, text_col: str) -> DataFrame:
     )
 
 
-def route(df: DataFrame, entities: str | None = None) -> DataFrame:
+def route(df: DataFrame, entities: str | None = None, scoped: tuple[str, ...] = tuple(ROUTES)) -> DataFrame:
     """Adds top_k, score_threshold, min_return, max_return, low_confidence and, from a column of entities,
-    filter_names (null without one). df: intent, confidence."""
+    filter_names: the names whose texts a question of an intent in `scoped` is answered from; null for all texts.
+    df: intent, confidence."""
     pick = lambda i: reduce(lambda a, kv: a.when(F.col("intent") == kv[0], kv[1][i]), ROUTES.items(), F.when(F.lit(False), ROUTES["factual"][i])).otherwise(ROUTES["factual"][i])
     out = df.select("*", pick(0).alias("top_k"), pick(1).alias("score_threshold"), pick(2).alias("min_return"), pick(3).alias("max_return"), (F.col("confidence") < 0.5).alias("low_confidence"))
-    return out.withColumn("filter_names", F.when(F.size(entities) > 0, F.col(entities))) if entities else out
+    return out.withColumn("filter_names", F.when((F.size(entities) > 0) & F.col("intent").isin(*scoped), F.col(entities))) if entities else out
 
 
 def template_name(intent: Column, subtype_: Column, text: Column) -> Column:

@@ -29,27 +29,29 @@ def plain_line(text: Column, author: Column, year: Column, kind: Column) -> Colu
     return F.concat(F.coalesce(text, F.lit("")), F.lit(" (by "), _known(author), F.lit(", "), _known(year), F.lit(", "), _known(kind), F.lit(")"))
 
 
-def cited_line(style: str, text: Column, author: Column, year: Column, kind: Column, category: Column, number: Column) -> Column:
+def cited_line(style: str | Column, text: Column, author: Column, year: Column, kind: Column, category: Column, number: Column) -> Column:
     head = F.concat(F.lit("["), marker(kind), F.lit(" "), F.initcap(F.coalesce(kind, F.lit("speech"))), F.lit(" — "), _known(author), F.lit(", "), _known(year), F.lit("] "), F.trim(F.coalesce(text, F.lit(""))))
-    return F.concat(head, F.lit(" "), citation("inline", author, year, category, number)) if style == "inline" else head
+    inline = F.concat(head, F.lit(" "), citation("inline", author, year, category, number))
+    return F.when(style == "inline", inline).otherwise(head) if isinstance(style, Column) else inline if style == "inline" else head
 
 
-def assemble_context(df: DataFrame, by: str, style: str | None = None) -> DataFrame:
+def assemble_context(df: DataFrame, by: str, style: str | Column | None = None) -> DataFrame:
     """by, context, n_chunks: a question's chunks by rank, one blank line between them.
 
     df: rank, text, author, year, kind, category. Without a style each line is `text (by author, year,
-    kind)`; with footnotes the notes follow the lines. A question's chunks are few (its route's maximum).
+    kind)`; with footnotes the notes follow the lines. The style may be a column, one value for each question.
+    A question's chunks are few (its route's maximum).
     """
     number = F.col("rank") + 1
     cols = [F.col(c) for c in ("text", "author", "year", "kind")]
     line = plain_line(*cols) if style is None else cited_line(style, *cols, F.col("category"), number)
     note = citation("footnote", F.col("author"), F.col("year"), F.col("category"), number)
-    rows = df.withColumn("_line", line).withColumn("_note", note)
-    got = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("rank", "_line", "_note"))).alias("_x"))
+    noted = style == "footnote" if isinstance(style, Column) else F.lit(style == "footnote")
+    rows = df.withColumn("_line", line).withColumn("_note", note).withColumn("_noted", F.coalesce(noted, F.lit(False)))
+    got = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("rank", "_line", "_note"))).alias("_x"), F.bool_or("_noted").alias("_noted"))
     lines = F.transform("_x", lambda x: x["_line"])
-    if style == "footnote":
-        lines = F.concat(lines, F.array(F.lit("\n--- FOOTNOTES ---")), F.transform("_x", lambda x: x["_note"]))
-    return got.select(by, F.array_join(lines, "\n\n").alias("context"), F.size("_x").alias("n_chunks"))
+    notes = F.concat(lines, F.array(F.lit("\n--- FOOTNOTES ---")), F.transform("_x", lambda x: x["_note"]))
+    return got.select(by, F.array_join(F.when(F.col("_noted"), notes).otherwise(lines), "\n\n").alias("context"), F.size("_x").alias("n_chunks"))
 
 
 def build_prompts(questions: DataFrame, contexts: DataFrame, templates: DataFrame, by: str = "question_id") -> DataFrame:

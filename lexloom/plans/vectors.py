@@ -39,6 +39,13 @@ def vector_topk_filtered(spark, sf):
     return R.top_k(_queries(spark, sf), _corpus(spark, sf), 5, {"label": 3})
 
 
+def vector_topk_scoped(spark, sf):
+    """Each query has its own labels: two, one, none that exists, or all rows."""
+    n = F.col("query_id") / 50 % 4
+    scope = F.when(n == 0, F.array((F.col("query_id") % 7).cast("string"), F.lit("9"))).when(n == 1, F.array((F.col("query_id") % 10).cast("string"))).when(n == 2, F.array(F.lit("none")))
+    return R.top_k(_queries(spark, sf).withColumn("label", scope), _corpus(spark, sf), 5, scope="label")
+
+
 def vector_topk_fallback(spark, sf):
     return R.retrieve(_queries(spark, sf), _corpus(spark, sf), 15, None, 0.35, 3, 12)
 
@@ -166,11 +173,12 @@ select query_id, chunk_id, term_id, boost_factor, score,
 from n where case when enough then score >= {threshold}::double else rn < {least} end and rn < {most}"""
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, vector_topk_fallback, vector_topk_metadata, vector_adaptive_k, term_weighted_retrieval, term_union_retrieval, retrieval_report, ranked_expansion, expansion_map, expansion_intersection, text_vectors, text_vector_counts, sql_functions, score_stats, reason_counts, vector_norms, vector_normalized, vector_quality, vector_publish_ids)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, vector_topk_scoped, vector_topk_fallback, vector_topk_metadata, vector_adaptive_k, term_weighted_retrieval, term_union_retrieval, retrieval_report, ranked_expansion, expansion_map, expansion_intersection, text_vectors, text_vector_counts, sql_functions, score_stats, reason_counts, vector_norms, vector_normalized, vector_quality, vector_publish_ids)}
 
 _NORM = "sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double)))"
 SQL = {
     "vector_topk": _SCORES + " select query_id, chunk_id, score, rank from r where rank < 5",
+    "vector_topk_scoped": _SCORES.replace("from q, embeddings e", "from q, embeddings e where case query_id // 50 % 4 when 0 then e.label in (query_id % 7, 9) when 1 then e.label = query_id % 10 when 2 then false else true end") + " select query_id, chunk_id, score, rank from r where rank < 5",
     "vector_topk_filtered": _SCORES.replace("from q, embeddings e", "from q, embeddings e where e.label = 3") + " select query_id, chunk_id, score, rank from r where rank < 5",
     "vector_topk_fallback": _FALLBACK + " select * from f",
     "vector_topk_metadata": _SCORES + " select query_id, chunk_id, label, score, row_number() over (partition by query_id order by score desc, case when label = 0 then 1 else 0 end, chunk_id) - 1 as rank from r where rank < 10",
