@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.vectors import embed_table, embedding_counts, l2_normalize, norm, uuid5, vector_fault
 from lexloom.operators import retrieval as R
+from lexloom.operators.pruning import index_corpus, top_k_pruned
 from lexloom.session import register_sql, table
 
 DIM = 64
@@ -39,6 +40,10 @@ def vector_topk_filtered(spark, sf):
     return R.top_k(_queries(spark, sf), _corpus(spark, sf), 5, {"label": 3})
 
 
+def vector_topk_pruned(spark, sf):
+    return top_k_pruned(_queries(spark, sf), index_corpus(_corpus(spark, sf)), 5)[0]
+
+
 def vector_topk_scoped(spark, sf):
     """Each query has its own labels: two, one, none that exists, or all rows."""
     n = F.col("query_id") / 50 % 4
@@ -173,11 +178,12 @@ select query_id, chunk_id, term_id, boost_factor, score,
 from n where case when enough then score >= {threshold}::double else rn < {least} end and rn < {most}"""
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, vector_topk_scoped, vector_topk_fallback, vector_topk_metadata, vector_adaptive_k, term_weighted_retrieval, term_union_retrieval, retrieval_report, ranked_expansion, expansion_map, expansion_intersection, text_vectors, text_vector_counts, sql_functions, score_stats, reason_counts, vector_norms, vector_normalized, vector_quality, vector_publish_ids)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, vector_topk_scoped, vector_topk_pruned, vector_topk_fallback, vector_topk_metadata, vector_adaptive_k, term_weighted_retrieval, term_union_retrieval, retrieval_report, ranked_expansion, expansion_map, expansion_intersection, text_vectors, text_vector_counts, sql_functions, score_stats, reason_counts, vector_norms, vector_normalized, vector_quality, vector_publish_ids)}
 
 _NORM = "sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double)))"
 SQL = {
     "vector_topk": _SCORES + " select query_id, chunk_id, score, rank from r where rank < 5",
+    "vector_topk_pruned": _SCORES + " select query_id, chunk_id, score, rank from r where rank < 5",
     "vector_topk_scoped": _SCORES.replace("from q, embeddings e", "from q, embeddings e where case query_id // 50 % 4 when 0 then e.label in (query_id % 7, 9) when 1 then e.label = query_id % 10 when 2 then false else true end") + " select query_id, chunk_id, score, rank from r where rank < 5",
     "vector_topk_filtered": _SCORES.replace("from q, embeddings e", "from q, embeddings e where e.label = 3") + " select query_id, chunk_id, score, rank from r where rank < 5",
     "vector_topk_fallback": _FALLBACK + " select * from f",

@@ -150,3 +150,32 @@ def test_terms_of_scoped_queries(spark):
     terms = spark.createDataFrame([(7, "t", 0, 0.5, [1.0, 0.0], ["y"]), (8, "t", 0, 0.5, [1.0, 0.0], None), (9, "u", 0, 0.5, [0.0, 1.0], ["x"])], "query_id long, term_id string, term_rank int, weight double, vec array<float>, author array<string>")
     got = R.retrieve_terms(terms, corpus, 1, 0.2, 1, None, True, "kind", "b", dim=2, scope="author")
     assert sorted((r["query_id"], r["chunk_id"], r["term_id"]) for r in got.collect()) == [(7, 2, "t"), (8, 1, "t"), (9, 1, "u")]
+
+
+def _clusters(n, salt, dim=8):
+    rng = np.random.default_rng(salt)
+    centers = np.random.default_rng(99).normal(size=(25, dim))
+    m = centers[rng.integers(0, 25, n)] + 0.05 * rng.normal(size=(n, dim))
+    return np.round(m / np.linalg.norm(m, axis=1, keepdims=True), 3)
+
+
+@pytest.mark.parametrize("most", [16_384, 20])
+def test_pruned_top_k_is_exact_and_skips(spark, monkeypatch, most):
+    """Clusters, copies, vectors of different lengths and unusable ones; a k above the rows of a block and of the corpus."""
+    from lexloom.operators.pruning import index_corpus, top_k_pruned
+
+    monkeypatch.setattr(R, "BROADCAST_QUERIES", most)
+    c, q = _clusters(900, 1), _clusters(60, 2)
+    c[100:140], c[200:205] = c[100], c[200:205] * 3
+    rows = [(i, v.tolist()) for i, v in enumerate(c)] + [(2000, None), (2001, [0.0] * 8), (2002, [1.0])]
+    corpus = spark.createDataFrame(rows, "chunk_id long, vec array<float>").repartition(5)
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)] + [(99, None)], "query_id long, vec array<float>").repartition(3)
+    index = index_corpus(corpus, 8, 150)
+    for k, probe in ((5, 2), (60, 1), (1000, 3)):
+        got, report = top_k_pruned(asked, index, k, probe)
+        assert set(map(tuple, got.collect())) == _brute(q, c, k)
+        told = report.first()
+        assert told["pairs"] == 60 * 900 and told["scored"] <= told["pairs"]
+        if k == 5:
+            assert told["skipped"] > 0.6
+    assert top_k_pruned(asked.limit(0), index, 3)[0].count() == 0
