@@ -24,10 +24,22 @@ def stream_hourly(spark, sf):
 
 
 def stream_rolling(spark, sf):
-    out = S.run_available(S.per_window(_events(spark, sf), "24 hours", "6 hours", by=("event_type",)))
+    out = S.run_available(S.rolling(_events(spark, sf), "24 hours", "6 hours", by=("event_type",)))
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "total_value")
 
 
+def stream_live(spark, sf):
+    """The last 24 hours as they stand at the end of the stream, from hourly panes."""
+    return S.over_panes(S.live_panes(_events(spark, sf), by=("event_type",)), 24, by=("event_type",))
+
+
+def stream_live_intent(spark, sf):
+    """Weights are read anew for each batch."""
+    q = _stream(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("text").alias("question"))
+    rows = [(i, k, t, w) for i, kinds in WEIGHTS.items() for k, ts in kinds.items() for t, w in ts.items()]
+    return S.score_live(q, lambda s: s.createDataFrame(rows, "intent string, kind string, term string, weight double")).select("question_id", "intent", "confidence")
+
+
 def stream_tail(spark, sf):
     out = S.run_available(S.tail(_stream(spark, sf, "events").select("event_id", "event_type"), ["err", "SIGN"], "event_type"))
     return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
@@ -61,10 +73,11 @@ def stream_daily(spark, sf):
     return out.groupBy(F.col("dt").cast("string").alias("dt")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
 
 
-QUERIES = {f.__name__: f for f in (stream_hourly, stream_rolling, stream_tail, stream_pairing, stream_dedup, stream_intent, stream_upsert, stream_daily)}
+QUERIES = {f.__name__: f for f in (stream_hourly, stream_rolling, stream_live, stream_live_intent, stream_tail, stream_pairing, stream_dedup, stream_intent, stream_upsert, stream_daily)}
 SQL = {
     "stream_hourly": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n, round(sum(value), 4) as total_value from events where date_trunc('hour', ts) + interval 1 hour <= (select max(ts) - interval 2 hours from events) group by 1",
     "stream_rolling": "with w as (select time_bucket(interval 6 hours, ts) - o * interval 6 hours as s, event_type, value from events, (select unnest([0, 1, 2, 3]) as o)) select strftime(s, '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n, round(sum(value), 4) as total_value from w where s + interval 24 hours <= (select max(ts) - interval 2 hours from events) group by 1, 2",
+    "stream_live": "select event_type, count(*) as n, round(sum(value), 4) as total_value from events where date_trunc('hour', ts) > (select date_trunc('hour', max(ts)) - interval 24 hours from events) group by 1",
     "stream_tail": "select event_type, count(*) as n from events where event_type in ('error', 'signup') group by 1",
     "stream_pairing": """with k as (select *, case event_type when 'click' then 'start' when 'purchase' then 'done' when 'error' then 'fail' end as kind from events where event_type in ('click', 'purchase', 'error')),
 p as (select *, lag(kind) over w as before, lag(event_id) over w as start_id from k window w as (partition by user_id order by ts, event_id))
@@ -77,3 +90,4 @@ select coalesce(o.c_custkey, n.c_custkey) as c_custkey, coalesce(n.seg, o.c_mkts
 from .questions import SQL as _BATCH  # noqa: E402
 
 SQL["stream_intent"] = _BATCH["intent_winner"].partition(" select question_id, intent,")[0] + " select question_id, intent, confidence from c"
+SQL["stream_live_intent"] = SQL["stream_intent"]

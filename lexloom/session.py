@@ -43,6 +43,33 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _path(spark, path)
+    return fs.exists(p)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
+
+
+def make_path(spark: SparkSession, path: str) -> None:
+    fs, p = _path(spark, path)
+    fs.mkdirs(p)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the tables that materialize() has written in this application; frames that read them can't be used
+    afterwards."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        delete_path(spark, f"{base.rstrip('/')}/tables-{spark.sparkContext.applicationId}")
+
+
 #: A dimension of more rows than this is joined by a shuffle.
 BROADCAST_ROWS = 200_000
 

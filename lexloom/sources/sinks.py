@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.text import truncated
 from lexloom.functions.vectors import uuid5
+from lexloom.operators.buckets import upsert_buckets
 
 
 # Columns of the audit report, of its short form, and of the analysis.
@@ -46,10 +47,12 @@ def with_point_id(df: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     return df.withColumn("point_id", uuid5(F.col(id_col).cast("string")))
 
 
-def publish_vectors(df: DataFrame, path: str, id_col: str = "chunk_id", batch: int = 256) -> None:
-    """Vectors under ids that derive from id_col, once each, files of at most `batch` rows a flush unit;
-    writing again gives the same table."""
-    with_point_id(df, id_col).dropDuplicates(["point_id"]).write.mode("overwrite").option("maxRecordsPerFile", batch * 256).parquet(path)
+def publish_vectors(df: DataFrame, path: str, id_col: str = "chunk_id", buckets: int = 64) -> list[int]:
+    """Put vectors into the table at path under ids that derive from id_col, once each; gives the buckets rewritten.
+
+    A vector that is there already is replaced, others stay, and only buckets with a published id are rewritten (see
+    upsert_buckets); writing again gives the same table."""
+    return upsert_buckets(with_point_id(df, id_col).dropDuplicates(["point_id"]), path, ["point_id"], buckets)
 
 
 def yes_no(c: Column) -> Column:
