@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexloom.session import table
 from lexloom.streaming import jobs as S
+from lexloom.streaming.ordered import pair_ordered, rocksdb
 
 from .questions import WEIGHTS
 
@@ -46,9 +47,18 @@ def stream_tail(spark, sf):
 
 
 def stream_pairing(spark, sf):
+    return S.run_available(S.pair_live(_log_lines(spark, sf)))
+
+
+def stream_pairing_ordered(spark, sf):
+    """Pairs whose end the watermark has passed; lines are paired in the order of time, however they come."""
+    with rocksdb(spark):
+        return S.run_available(pair_ordered(_log_lines(spark, sf), idle="3650 days"))
+
+
+def _log_lines(spark, sf):
     kind = F.when(F.col("event_type") == "click", "start").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "fail")
-    e = _events(spark, sf).select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"), kind.alias("kind"))
-    return S.run_available(S.pair_live(e))
+    return _events(spark, sf).select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"), kind.alias("kind"))
 
 
 def stream_dedup(spark, sf):
@@ -73,7 +83,7 @@ def stream_daily(spark, sf):
     return out.groupBy(F.col("dt").cast("string").alias("dt")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
 
 
-QUERIES = {f.__name__: f for f in (stream_hourly, stream_rolling, stream_live, stream_live_intent, stream_tail, stream_pairing, stream_dedup, stream_intent, stream_upsert, stream_daily)}
+QUERIES = {f.__name__: f for f in (stream_hourly, stream_rolling, stream_live, stream_live_intent, stream_tail, stream_pairing, stream_pairing_ordered, stream_dedup, stream_intent, stream_upsert, stream_daily)}
 SQL = {
     "stream_hourly": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n, round(sum(value), 4) as total_value from events where date_trunc('hour', ts) + interval 1 hour <= (select max(ts) - interval 2 hours from events) group by 1",
     "stream_rolling": "with w as (select time_bucket(interval 6 hours, ts) - o * interval 6 hours as s, event_type, value from events, (select unnest([0, 1, 2, 3]) as o)) select strftime(s, '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n, round(sum(value), 4) as total_value from w where s + interval 24 hours <= (select max(ts) - interval 2 hours from events) group by 1, 2",
@@ -91,3 +101,4 @@ from .questions import SQL as _BATCH  # noqa: E402
 
 SQL["stream_intent"] = _BATCH["intent_winner"].partition(" select question_id, intent,")[0] + " select question_id, intent, confidence from c"
 SQL["stream_live_intent"] = SQL["stream_intent"]
+SQL["stream_pairing_ordered"] = SQL["stream_pairing"] + " and epoch_ms(ts) <= (select epoch_ms(max(ts)) - 7200000 from k)"
