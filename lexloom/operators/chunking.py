@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from functools import reduce
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,6 +35,13 @@ def _ends(sizes: list[int], most: int, overlap: int) -> list[int]:
     return out
 
 
+def cut_words(paragraphs: list[list[str]], most: int, overlap: int = 0) -> list[str]:
+    """The chunks of one text from the words of its paragraphs."""
+    pieces = [min(most, n - i) for n in map(len, paragraphs) for i in range(0, n, most)]
+    ends, own = _ends(pieces, most, overlap), list(chain.from_iterable(paragraphs))
+    return [" ".join(own[a:b]) for a, b in zip(ends[::2], ends[1::2], strict=True)]
+
+
 def packed(df: DataFrame, text_col: str, out: str, max_tokens: int = 500, overlap: int = 0, para_pattern: str = r"\n\s*\n") -> DataFrame:
     """df with an array of chunks in `out` instead of text_col: paragraphs packed in order up to max_tokens words.
 
@@ -50,18 +57,14 @@ def packed(df: DataFrame, text_col: str, out: str, max_tokens: int = 500, overla
 
     rest = [c for c in df.columns if c != text_col]
     paragraphs = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), para_pattern), words)
-    sized = df.select(*rest, paragraphs.alias("_paragraphs")).select(*rest, F.flatten("_paragraphs").alias("_words"), F.filter(F.transform("_paragraphs", F.size), lambda n: n > 0).alias("_sizes"))
+    sized = df.select(*rest, F.filter(paragraphs, lambda p: F.size(p) > 0).alias("_paragraphs"))
 
     def cut(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
-                out_rows = []
-                for own, sizes in zip(part.column(len(rest)).to_pylist(), part.column(len(rest) + 1).to_pylist(), strict=True):
-                    pieces = [min(max_tokens, n - i) for n in sizes for i in range(0, n, max_tokens)]
-                    ends = _ends(pieces, max_tokens, overlap)
-                    out_rows.append([" ".join(own[a:b]) for a, b in zip(ends[::2], ends[1::2], strict=True)])
-                yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(out_rows, pa.list_(pa.string()))], [*rest, out])
+                chunks = [cut_words(p, max_tokens, overlap) for p in part.column(len(rest)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(chunks, pa.list_(pa.string()))], [*rest, out])
 
     kept = [f for f in df.schema.fields if f.name != text_col]
     return sized.mapInArrow(cut, StructType([*kept, StructField(out, ArrayType(StringType()))]))

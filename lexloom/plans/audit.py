@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexloom.operators import audit as A
 from lexloom.operators.filters import since
 from lexloom.session import table
-from lexloom.sources.readers import jsonl_counts
+from lexloom.sources.readers import jsonl_counts, parse_variants, shape_counts
 from lexloom.sources.sinks import ANALYSIS_COLUMNS, AUDIT_COLUMNS, FOCUSED_COLUMNS, analysis_rows, audit_export, audit_rows, focused_export, focused_rows
 
 
@@ -101,6 +101,26 @@ def querylog_stats(spark, sf):
     return A.query_log_stats(e)
 
 
+def log_lines(spark, sf):
+    """Events as JSON lines of three shapes, with other names, types and missing fields, and some that are broken."""
+    e, n = table(spark, sf, "events"), F.col("event_id") % 4
+    one = F.to_json(F.struct(F.col("event_type").alias("intent"), F.col("value").alias("ms"), F.col("user_id").alias("tokens")))
+    two = F.to_json(F.struct(F.col("event_type").alias("intent"), F.concat(F.lit("about "), F.col("user_id").cast("string")).alias("tokens")))
+    three = F.to_json(F.struct(F.col("user_id").alias("tokens"), F.array("value").alias("ms"), F.lit(None).cast("string").alias("intent")), {"ignoreNullFields": "false"})
+    return e.select("event_id", F.when(n == 0, one).when(n == 1, two).when(n == 2, three).otherwise(F.when(F.col("event_id") % 8 == 3, F.lit('{"intent": ')).otherwise(F.lit(" "))).alias("value"))
+
+
+_SHAPE = {"intent": "string", "ms": "double", "tokens": "bigint"}
+
+
+def log_variants(spark, sf):
+    return parse_variants(log_lines(spark, sf), _SHAPE).select("event_id", "intent", F.round("ms", 4).alias("ms"), "tokens", "malformed", F.array_join("missing", ",").alias("missing"), F.array_join("drifted", ",").alias("drifted"))
+
+
+def log_shapes(spark, sf):
+    return shape_counts(parse_variants(log_lines(spark, sf), _SHAPE))
+
+
 def querylog_union(spark, sf):
     a = table(spark, sf, "events").select(F.col("event_type").alias("source"), "ts", "value")
     b = table(spark, sf, "conversations").select(F.col("role").alias("source"), F.length("text").alias("length"))
@@ -136,7 +156,7 @@ def jsonl_validate(spark, sf):
     return jsonl_counts(e.select(line.alias("value")), ["k"])
 
 
-QUERIES = {f.__name__: f for f in (audit_summary, audit_intents, audit_errors, audit_error_rows, audit_llm_stats, audit_cost, audit_export_rows, audit_focused, audit_report, audit_short, audit_analysis, audit_lookback, dashboard, log_pairing, querylog_stats, querylog_union, word_freq, recent_queries, prompt_stats, expansion_stats, expansion_summary, jsonl_validate)}
+QUERIES = {f.__name__: f for f in (audit_summary, audit_intents, audit_errors, audit_error_rows, audit_llm_stats, audit_cost, audit_export_rows, audit_focused, audit_report, audit_short, audit_analysis, audit_lookback, dashboard, log_pairing, querylog_stats, log_variants, log_shapes, querylog_union, word_freq, recent_queries, prompt_stats, expansion_stats, expansion_summary, jsonl_validate)}
 
 _E = """
 with e as (select event_id, ts, user_id, event_type as intent, event_type = 'error' as failed, value as total_time_ms, (props->>'$.k')::int as total_tokens,
@@ -155,6 +175,9 @@ def _columns(names: tuple[str, ...], **shown: str) -> str:
 
 
 _FLAG = "case when coalesce(error_occurred, false) then 'Yes' else 'No' end"
+_LOG = """with p as (select event_id, case when event_id % 4 < 2 then event_type end as intent, case when event_id % 4 = 0 then round(value, 4) end as ms, case when event_id % 4 in (0, 2) then user_id end as tokens,
+  event_id % 4 = 3 as malformed, case when event_id % 4 = 1 then 'ms' else '' end as missing, case event_id % 4 when 1 then 'tokens' when 2 then 'ms' else '' end as drifted from events)"""
+
 SQL = {
     "audit_report": _R + " select " + _columns(AUDIT_COLUMNS, error_occurred=_FLAG, retrieval_method="intent || ', x'", answer_length="case when length(final_answer) > 0 then length(final_answer) else answer_length end::int") + " from a",
     "audit_short": _R + " select " + _columns(FOCUSED_COLUMNS, error_occurred=_FLAG, final_answer="case when length(final_answer) > 500 then final_answer[1:500] || '...' else final_answer end") + " from a",
@@ -183,6 +206,10 @@ select user_id, event_id, start_event_id, start_value, case kind when 'done' the
     + """ select count(*) as total, count(*) filter (not failed) as completed, count(*) filter (failed) as failed_n, round(100.0::double * count(*) filter (not failed) / count(*), 1) as success_rate,
  min(ts)::varchar as first_ts, max(ts)::varchar as last_ts, round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts)))::double / 1e6::double / 3600), 2) as per_hour,
  round(avg(length(intent) + 1 + length(user_id::varchar)), 1) as avg_query_length, round(avg(nullif(chunk_count, 0)), 1) as avg_chunks, round(avg(nullif(total_tokens, 0)), 1) as avg_tokens, max(total_tokens) as max_tokens from e""",
+    "log_variants": _LOG + " select * from p",
+    "log_shapes": _LOG + """ select 'lines' as what, null as field, count(*) as n from p union all select 'malformed', null, count(*) from p where malformed having count(*) > 0
+union all select 'missing', f, count(*) from (select unnest(string_split(missing, ',')) as f from p) where f <> '' group by 2
+union all select 'drifted', f, count(*) from (select unnest(string_split(drifted, ',')) as f from p) where f <> '' group by 2""",
     "querylog_union": "select source, count(*) as n, round(avg(value), 4) as avg_value, max(length)::int as max_length, count(ts) as n_ts from (select event_type as source, ts, value, null as length from events union all select role, null, null, length(text) from conversations) group by 1",
     "word_freq": r"select word, count(*) as n from (select unnest(regexp_split_to_array(lower(coalesce(text, '')), '\s+')) as word from conversations) where word <> '' group by 1 order by n desc, word limit 20",
     "recent_queries": "select event_id, ts::varchar as ts, event_type from events order by events.ts desc, event_id desc limit 10",

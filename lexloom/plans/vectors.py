@@ -145,6 +145,13 @@ def sql_functions(spark, sf):
     return spark.sql("SELECT doc_id, round(lex_dot(embedding, reverse(embedding)), 4) AS crossed, round(lex_norm(slice(embedding, 1, 9)), 4) AS norm, lex_words(text) AS n_words, md5(lex_squeeze(text)) AS squeezed_md5 FROM lex_documents LEFT JOIN lex_embeddings ON doc_id = vec_id")
 
 
+def sql_chunks(spark, sf):
+    """chunk_greedy in SQL alone: a table function by a LATERAL join."""
+    register_sql(spark)
+    table(spark, sf, "documents").createOrReplaceTempView("lex_documents")
+    return spark.sql(r"SELECT doc_id, chunk_index, lex_words(chunk) AS n_words, md5(chunk) AS chunk_md5 FROM lex_documents, LATERAL lex_chunk(text, 120, 0, r'\n')")
+
+
 #: Hashed embedding of a column text: list of 64 floats, null without a word.
 EMBEDDED_SQL = r"""(with w as (select list_transform(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda w: w <> ''), lambda w: ('0x' || md5(w)[1:6])::int % 64) as slots),
  c as (select list_transform(range(64), lambda i: len(list_filter(slots, lambda s: s = i))::float) as v from w), n as (select v, sqrt(list_sum(list_transform(v, lambda x: x::double * x::double))) as s from c)
@@ -178,10 +185,13 @@ select query_id, chunk_id, term_id, boost_factor, score,
 from n where case when enough then score >= {threshold}::double else rn < {least} end and rn < {most}"""
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, vector_topk_scoped, vector_topk_pruned, vector_topk_fallback, vector_topk_metadata, vector_adaptive_k, term_weighted_retrieval, term_union_retrieval, retrieval_report, ranked_expansion, expansion_map, expansion_intersection, text_vectors, text_vector_counts, sql_functions, score_stats, reason_counts, vector_norms, vector_normalized, vector_quality, vector_publish_ids)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, vector_topk_scoped, vector_topk_pruned, vector_topk_fallback, vector_topk_metadata, vector_adaptive_k, term_weighted_retrieval, term_union_retrieval, retrieval_report, ranked_expansion, expansion_map, expansion_intersection, text_vectors, text_vector_counts, sql_functions, sql_chunks, score_stats, reason_counts, vector_norms, vector_normalized, vector_quality, vector_publish_ids)}
 
 _NORM = "sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double)))"
+from .texts import SQL as _TEXTS  # noqa: E402
+
 SQL = {
+    "sql_chunks": _TEXTS["chunk_greedy"],
     "vector_topk": _SCORES + " select query_id, chunk_id, score, rank from r where rank < 5",
     "vector_topk_pruned": _SCORES + " select query_id, chunk_id, score, rank from r where rank < 5",
     "vector_topk_scoped": _SCORES.replace("from q, embeddings e", "from q, embeddings e where case query_id // 50 % 4 when 0 then e.label in (query_id % 7, 9) when 1 then e.label = query_id % 10 when 2 then false else true end") + " select query_id, chunk_id, score, rank from r where rank < 5",

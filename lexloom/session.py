@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from html import unescape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.functions.text import CURLY, PLAIN
+
 
 def session(app: str = "lexloom", **conf: str) -> SparkSession:
     """UTC, AQE with skew handling; everything else comes from the cluster or from conf."""
@@ -80,17 +84,58 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _clean_sql() -> str:
+    """The body of clean_text() in SQL."""
+    body = r"regexp_replace(regexp_replace(regexp_replace(t, r'^\s+|\s+$', ''), r'(?is)\*Translated.*?Source:.*', ''), r'\[[^\]]{0,80}\]', '')"
+    body = f"replace(translate({body}, {_literal(CURLY)}, {_literal(PLAIN)}), '…', '...')"
+    for pattern, to in ((r"[ \t]+", "' '"), (r"\n{3,}", r"'\n\n'"), (r" +\n", r"'\n'"), (r"\n +", r"'\n'")):
+        body = f"regexp_replace({body}, r'{pattern}', {to})"
+    return rf"regexp_replace({body}, r'^\s+|\s+$', '')"
+
+
 # Scalar functions for SQL: name, parameters, result, body.
 SQL_FUNCTIONS = (
     ("lex_dot", "a ARRAY<FLOAT>, b ARRAY<FLOAT>", "DOUBLE", "aggregate(zip_with(a, b, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), CAST(0 AS DOUBLE), (s, x) -> s + x)"),
     ("lex_norm", "v ARRAY<FLOAT>", "DOUBLE", "sqrt(aggregate(v, CAST(0 AS DOUBLE), (s, x) -> s + CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))"),
+    ("lex_l2", "v ARRAY<FLOAT>", "ARRAY<FLOAT>", "CASE WHEN lex_norm(v) > 0 THEN transform(v, x -> CAST(CAST(x AS DOUBLE) / lex_norm(v) AS FLOAT)) END"),
+    ("lex_clean_text", "t STRING", "STRING", _clean_sql()),
     ("lex_words", "t STRING", "INT", r"size(filter(split(coalesce(t, ''), '\\s+'), w -> w <> ''))"),
     ("lex_squeeze", "t STRING", "STRING", r"trim(regexp_replace(t, '\\s+', ' '))"),
 )
 
 
+class ChunkText:
+    """lex_chunk(text, most, overlap, para_pattern): a row for each chunk of a text, as chunk() gives them."""
+
+    def eval(self, text: str, most: int, overlap: int, para_pattern: str):
+        from lexloom.operators.chunking import cut_words
+
+        paragraphs = [re.split(r"\s+", p, flags=re.ASCII) for p in re.split(para_pattern, text or "", flags=re.ASCII)]
+        yield from enumerate(cut_words([[w for w in p if w] for p in paragraphs], most, overlap))
+
+
+class PageLinks:
+    """lex_links(html): a row for each anchor of a page with an address: position, href, text (white space squeezed)."""
+
+    def eval(self, html: str):
+        at = 0
+        for found in re.finditer(r"""<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a\s*>""", html or "", re.I | re.S):
+            yield at, unescape(found[1]), re.sub(r"\s+", " ", unescape(re.sub(r"<[^>]*>", "", found[2]))).strip()
+            at += 1
+
+
+#: Table functions for SQL: name, class, columns. They are called by LATERAL joins, row by row, in Arrow batches.
+TABLE_FUNCTIONS = (("lex_chunk", ChunkText, "chunk_index int, chunk string"), ("lex_links", PageLinks, "position int, href string, text string"))
+
+
 def register_sql(spark: SparkSession) -> list[str]:
-    """Make the scalar functions available to SQL in this session; gives their names."""
+    """Make the scalar and table functions available to SQL in this session; gives their names."""
     for name, parameters, result, body in SQL_FUNCTIONS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {body}")
-    return [f[0] for f in SQL_FUNCTIONS]
+    for name, kind, columns in TABLE_FUNCTIONS:
+        spark.udtf.register(name, F.udtf(kind, returnType=columns, useArrow=True))
+    return [f[0] for f in (*SQL_FUNCTIONS, *TABLE_FUNCTIONS)]

@@ -169,3 +169,34 @@ def jsonl_counts(lines: DataFrame, required: list[str], col: str = "value") -> D
 
 def validate_jsonl(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
     return jsonl_counts(spark.read.text(path), required)
+
+
+def parse_variants(lines: DataFrame, fields: dict[str, str], col: str = "value") -> DataFrame:
+    """Log lines of unlike and changing shapes by one plan: lines (col and others) as VARIANT, read field by field.
+
+    fields: name -> type. Adds a column for each field (null where it is missing, null or of another type) and
+    malformed (no JSON), missing (names that are not there) and drifted (names that are there, not null, and
+    can't be read as their type). Blank and null lines are malformed.
+    """
+    v = F.col("_v")
+    read = lines.withColumn("_v", F.try_parse_json(F.when(F.trim(col) != "", F.col(col))))
+    there = {n: F.try_variant_get(v, f"$.{n}", "variant") for n in fields}
+    cast = {n: F.try_variant_get(v, f"$.{n}", t) for n, t in fields.items()}
+    names = lambda tests: F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in tests.items()]), lambda x: x.isNotNull())
+    missing = names({n: v.isNotNull() & c.isNull() for n, c in there.items()})
+    drifted = names({n: c.isNotNull() & ~F.is_variant_null(c) & cast[n].isNull() for n, c in there.items()})
+    rest = [c for c in lines.columns if c != col]
+    return read.select(*rest, *[c.alias(n) for n, c in cast.items()], v.isNull().alias("malformed"), missing.alias("missing"), drifted.alias("drifted"))
+
+
+def shape_counts(parsed: DataFrame, *by: str) -> DataFrame:
+    """Lines, malformed ones, and how often each field is missing or drifted: one row for each kind of trouble
+    (what, field, n), and one of all lines (what = lines)."""
+    each = lambda kind: F.transform(kind, lambda n: F.struct(F.lit(kind).alias("what"), n.alias("field")))
+    trouble = F.concat(
+        F.array(F.struct(F.lit("lines").alias("what"), F.lit(None).cast("string").alias("field"))),
+        F.when(F.col("malformed"), F.array(F.struct(F.lit("malformed").alias("what"), F.lit(None).cast("string").alias("field")))).otherwise(F.array().cast("array<struct<what:string,field:string>>")),
+        each("missing"),
+        each("drifted"),
+    )
+    return parsed.select(*by, F.explode(trouble).alias("t")).groupBy(*by, "t.what", "t.field").agg(F.count(F.lit(1)).alias("n"))

@@ -67,3 +67,41 @@ def test_service_log_pairs(spark):
     parsed = parse_service_log(spark.createDataFrame(lines, "value string"), r"start (\w+)", r"done (\d+) (\d+)", r"fail (\w+)").withColumn("log", F.lit(1))
     got = pair_events(parsed, "log", ["ts"], "kind", ["query"]).orderBy("ts").collect()
     assert [(r["start_query"], r["status"], r["chunk_count"], r["error"]) for r in got] == [("b", "completed", 5, None), ("c", "failed", None, "boom")]
+
+
+def test_variant_lines(spark):
+    from lexloom.sources.readers import parse_variants, shape_counts
+
+    lines = ['{"a": 1, "b": "x"}', '{"a": "7", "b": null}', '{"a": "no", "c": 1}', '{"a": [1], "b": {"d": 2}}', "not json", "", None, "[1, 2]", '{"a": 1.5, "b": true}']
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, value string")
+    parsed = parse_variants(df, {"a": "bigint", "b": "string"})
+    got = {r["i"]: (r["a"], r["b"], r["malformed"], r["missing"], r["drifted"]) for r in parsed.collect()}
+    assert got[0] == (1, "x", False, [], []) and got[1] == (7, None, False, [], []) and got[2] == (None, None, False, ["b"], ["a"])
+    assert got[3][0] is None and got[3][4][:1] == ["a"] and got[7] == (None, None, False, ["a", "b"], [])
+    assert all(got[i] == (None, None, True, [], []) for i in (4, 5, 6)) and got[8][1] == "true"
+    counts = {(r["what"], r["field"]): r["n"] for r in shape_counts(parsed).collect()}
+    assert counts[("lines", None)] == 9 and counts[("malformed", None)] == 3 and counts[("missing", "b")] == 2
+
+
+def test_sql_functions_like_the_frame_ones(spark):
+    from lexloom.functions.text import clean_text
+    from lexloom.functions.vectors import l2_normalize
+    from lexloom.operators.chunking import chunk
+    from lexloom.session import register_sql
+
+    assert {"lex_clean_text", "lex_l2", "lex_chunk", "lex_links"} <= set(register_sql(spark))
+    texts = ["  a [note] “b”  c\n\n\n\nd \n e…", "x *Translated by me\nSource: y\nz", None, "", "it’s ‘so’ – or\\n not", "[" + "long " * 30 + "] kept"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    df.createOrReplaceTempView("sql_texts")
+    assert sorted(map(tuple, spark.sql("select i, lex_clean_text(t) from sql_texts").collect())) == sorted(map(tuple, df.select("i", clean_text(F.col("t"))).collect()))
+    v = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None)], "i int, v array<float>")
+    v.createOrReplaceTempView("sql_vectors")
+    assert sorted(map(repr, spark.sql("select i, lex_l2(v) from sql_vectors").collect())).__len__() == 3
+    assert [r[0] for r in spark.sql("select lex_l2(v) from sql_vectors order by i").collect()] == [r[0] for r in v.orderBy("i").select(l2_normalize("v")).collect()]
+    long = spark.createDataFrame([(1, "a b c\n\nd e\n\nf g h i j k"), (2, None)], "i int, t string")
+    long.createOrReplaceTempView("sql_long")
+    got = spark.sql(r"select i, c.chunk_index, c.chunk from sql_long, lateral lex_chunk(t, 4, 1, r'\n\s*\n') c")
+    assert sorted(map(tuple, got.collect())) == sorted((r["i"], r["chunk_index"], r["chunk"]) for r in chunk(long, "t", 4, 1).collect())
+    page = "<p><a class='x' href='/a.pdf'>The <b>talk</b>\n &amp; more</a><A HREF=\"b\">c</A><a name='n'>no</a></p>"
+    spark.createDataFrame([(page,), (None,)], "html string").createOrReplaceTempView("sql_pages")
+    assert sorted(map(tuple, spark.sql("select l.* from sql_pages, lateral lex_links(html) l").collect())) == [(0, "/a.pdf", "The talk & more"), (1, "b", "c")]
