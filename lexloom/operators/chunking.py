@@ -6,7 +6,9 @@ from bisect import bisect_right
 from functools import reduce
 from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -42,6 +44,27 @@ def cut_words(paragraphs: list[list[str]], most: int, overlap: int = 0) -> list[
     return [" ".join(own[a:b]) for a, b in zip(ends[::2], ends[1::2], strict=True)]
 
 
+def _joined(texts: pa.ListArray, most: int, overlap: int) -> pa.ListArray:
+    """cut_words() for a column of texts (lists of paragraphs, lists of words): the words of all chunks are joined at once."""
+    paragraphs = texts.flatten()
+    sizes = paragraphs.value_lengths().to_numpy(zero_copy_only=False)
+    last = np.cumsum(texts.value_lengths().to_numpy(zero_copy_only=False))
+    ends: list[int] = []
+    counts, base, at = [], 0, 0
+    for k in last.tolist():
+        pieces = [min(most, n - i) for n in sizes[at:k].tolist() for i in range(0, n, most)]
+        own = _ends(pieces, most, overlap)
+        ends += [base + x for x in own]
+        counts.append(len(own) // 2)
+        base, at = base + sum(pieces), k
+    begin, end = (np.array(ends[i::2], np.int64) for i in range(2))
+    words_, lengths = paragraphs.flatten(), end - begin
+    if overlap:  # else each word is in one chunk, in order
+        words_ = words_.take(pa.array(np.repeat(end - np.cumsum(lengths), lengths) + np.arange(lengths.sum())))
+    offset = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+    return pa.ListArray.from_arrays(offset(counts), pc.binary_join(pa.ListArray.from_arrays(offset(lengths), words_), " "))
+
+
 def packed(df: DataFrame, text_col: str, out: str, max_tokens: int = 500, overlap: int = 0, para_pattern: str = r"\n\s*\n") -> DataFrame:
     """df with an array of chunks in `out` instead of text_col: paragraphs packed in order up to max_tokens words.
 
@@ -63,8 +86,8 @@ def packed(df: DataFrame, text_col: str, out: str, max_tokens: int = 500, overla
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
-                chunks = [cut_words(p, max_tokens, overlap) for p in part.column(len(rest)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(chunks, pa.list_(pa.string()))], [*rest, out])
+                chunks = _joined(part.column(len(rest)), max_tokens, overlap)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], chunks], [*rest, out])
 
     kept = [f for f in df.schema.fields if f.name != text_col]
     return sized.mapInArrow(cut, StructType([*kept, StructField(out, ArrayType(StringType()))]))
