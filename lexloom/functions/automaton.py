@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 
 #: Characters of a block; blocks of a batch advance together.
 BLOCK = 1024
+#: Matches that are held before repeated ones go.
+HELD = 1 << 20
 #: Bytes of the arrays for each character of the patterns, at most.
 BYTES_PER_CHARACTER = 40
 
@@ -16,10 +19,21 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
 
 
+#: Code points below this are looked up in a table.
+_TABLE = 1 << 16
+
+
+@cache
+def _word_table() -> np.ndarray:
+    return np.array([c == 0x5F or chr(c).isalnum() for c in range(_TABLE)], bool)
+
+
 def _is_word(points: np.ndarray) -> np.ndarray:
     """Which code points belong to words: letters, numbers and the underscore."""
-    kinds, at = np.unique(points, return_inverse=True)
-    return np.array([chr(c) == "_" or chr(c).isalnum() for c in kinds.tolist()], bool)[at] if len(kinds) else np.zeros(0, bool)
+    out = _word_table()[np.minimum(points, _TABLE - 1)]
+    far = np.flatnonzero(points >= _TABLE)
+    out[far] = [chr(c).isalnum() for c in points[far].tolist()]
+    return out
 
 
 class Automaton:
@@ -123,12 +137,18 @@ class Automaton:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         points = _codes("\x00".join(texts))
         ends = np.cumsum([len(t) + 1 for t in texts])
-        at = np.minimum(np.searchsorted(self.letters, points), len(self.letters) - 1)
-        letters = np.where(self.letters[at] == points, at + 1, 0)
+        table = np.zeros(_TABLE, np.int64)
+        near = self.letters[self.letters < _TABLE]
+        table[near] = np.arange(1, len(near) + 1)  # letters are sorted, the near ones come first
+        letters = np.where(points < _TABLE, table[np.minimum(points, _TABLE - 1)], 0)
+        if len(near) < len(self.letters):
+            far = np.flatnonzero(points >= _TABLE)
+            at = np.minimum(np.searchsorted(self.letters, points[far]), len(self.letters) - 1)
+            letters[far] = np.where(self.letters[at] == points[far], at + 1, 0)
         letters[ends[:-1] - 1] = 0  # between texts
         word = np.concatenate([[False], _is_word(points), [False]])
         word[ends[:-1]] = False
-        found = [np.zeros(0, np.int64)]
+        found, held = [np.zeros(0, np.int64)], 0
         for position, state in self._ends(letters):
             while len(state):
                 n = self.begin[state + 1] - self.begin[state]
@@ -136,11 +156,12 @@ class Automaton:
                 each = self.ending[np.arange(len(here)) - np.repeat(np.cumsum(n) - n, n) + self.begin[here]]
                 good = ~(self.opens[each] & word[where - self.size[each] + 1]) & ~(self.closes[each] & word[where + 2])
                 text = np.searchsorted(ends, where[good], side="right")
-                found.append(np.unique(text * len(self.owner) + each[good]))
+                found.append(text * len(self.owner) + each[good])
+                held += len(text)
                 state = self.shorter[state]
                 position, state = position[state > 0], state[state > 0]
-            if len(found) > 4096:
-                found = [np.unique(np.concatenate(found))]
+            if held > HELD:
+                found, held = [np.unique(np.concatenate(found))], 0
         pairs = np.unique(np.concatenate(found))
         text, pattern = pairs // len(self.owner), self.owner[pairs % len(self.owner)]
         order = np.lexsort((pattern, text))
