@@ -8,12 +8,20 @@ from pyspark.sql import functions as F
 from .common import NOT_WS, materialize, numbered, table, unused
 
 
-def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
-    """df with the sums (name: column) over all rows before each row in the order.
+#: Up to this many rows one task adds up an order; more are ranged over the tasks.
+ROWS_OF_TASK = 100_000
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column], rows: int | None = None) -> DataFrame:
+    """df with the sums (name: column) over all rows before each row in the order; rows is their number, if known.
 
     Spark ranges the rows over the tasks; each task adds up its own, and the totals of the tasks before, one row a
-    task, are added. So no task sees all rows.
+    task, are added. So no task sees all rows. Up to ROWS_OF_TASK rows, where their number is given, are one task's
+    work, with the same sums.
     """
+    if rows is not None and rows <= ROWS_OF_TASK:
+        ahead = Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select(*df.columns, *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(n) for n, c in sums.items()])
     part = unused(df, "_part")
     dealt = materialize(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
@@ -34,11 +42,11 @@ def water_fill(sources: DataFrame, share_num: int = 3, share_den: int = 2, max_e
     is left, and the level that is feasible is the largest of these. All sums are whole numbers; one
     division gives the level. A table with one row for each source; empty in, empty out.
     """
-    n = sources.agg(F.sum("source_size"), F.sum("weight")).first()
+    n = sources.agg(F.sum("source_size"), F.sum("weight"), F.count(F.lit(1))).first()
     if n[1] is None:
         return sources.withColumn("target", F.lit(0.0))
     capped = sources.withColumn("cap", F.lit(max_epochs) * F.col("source_size")).withColumn("full_at", F.col("cap") / F.col("weight"))
-    placed = running(capped, [F.col("full_at"), F.col("source").asc_nulls_last()], {"cap_before": F.col("cap"), "weight_before": F.col("weight")})
+    placed = running(capped, [F.col("full_at"), F.col("source").asc_nulls_last()], {"cap_before": F.col("cap"), "weight_before": F.col("weight")}, n[2])
     level = (F.lit(share_num) * F.lit(n[0]) - F.lit(share_den) * F.col("cap_before")).cast("double") / (F.lit(share_den) * (F.lit(n[1]) - F.col("weight_before"))).cast("double")
     feasible = placed.agg(F.max(level)).first()[0]
     return placed.select("source", "source_size", "weight", F.least(F.col("cap").cast("double"), F.lit(feasible) * F.col("weight")).alias("target"))
@@ -62,10 +70,10 @@ def plan_mix(
     row is taken more than the cap allows. Rows without words are repeated zero times. Repeated rows
     are rows of their own. Ids may be of any type. An empty table gives no rows.
 
-    The order within a source is never sorted as a whole: one byte of the digest, and with more rows part
-    of a second, deal a source out over 256 to 65536 cells of about rows_per_cell rows at most. Their sums
-    are added up first, and how many cells there are doesn't change the order. Only (id, source, size,
-    digest) is shuffled.
+    No task sorts a source as a whole: rows are dealt out by ranges of source, digest, id and size, of about
+    rows_per_cell rows at most (65536 ranges at most), so a hot source, and rows without an id, lie in many ranges.
+    The sums of ranges are added up first, and how many there are doesn't change the order. Only (id, source, size,
+    digest) is shuffled. Not split are rows that agree in source, id and size; mix() splits them by their number.
     """
     planned = _planned(docs, F.lit(None).cast("long"), id_col, text_col, source_col, weights, seed, rows_per_cell)
     return planned.drop("_row")
@@ -84,20 +92,21 @@ def _planned(
             F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("u"),
         )
     )
-    finer = max(1, min(256, -(-sized.count() // (256 * rows_per_cell))))
-    first, second = (F.conv(F.substring("u", at, 2), 16, 10).cast("int") for at in (3, 1))
-    sized = sized.withColumn("salt", first * finer + F.floor(second * finer / 256).cast("int"))
+    order = [F.substring("u", 3, 2), F.col("u"), F.col("id").asc_nulls_last(), F.col("size"), F.col("_row")]
+    ranges = max(docs.sparkSession.sparkContext.defaultParallelism, min(65536, -(-sized.count() // rows_per_cell)))
+    dealt = sized.repartitionByRange(ranges, F.col("source").asc_nulls_last(), *order)
+    sized = materialize(dealt.withColumn("salt", F.spark_partition_id()))
     cells = sized.groupBy("source", "salt").agg(F.sum("size").alias("cell_size"))
-    totals = cells.groupBy("source").agg(F.sum("cell_size").alias("source_size"))
-    placed = running(totals, [F.col("source").asc_nulls_last()], {"place": F.lit(1)})
+    totals = materialize(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")))
+    placed = running(totals, [F.col("source").asc_nulls_last()], {"place": F.lit(1)}, totals.count())
     weighted = placed.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))).drop("place")
-    targets = water_fill(materialize(weighted))
+    targets = water_fill(weighted)
     offset = Window.partitionBy("source").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("cell_before", F.coalesce(F.sum("cell_size").over(offset), F.lit(0))).select(
         F.col("source").alias("c_source"), F.col("salt").alias("c_salt"), "cell_before"
     )
     cells = cells.join(targets, F.col("c_source").eqNullSafe(F.col("source"))).drop("source")
-    within = Window.partitionBy("source", "salt").orderBy("u", F.col("id").asc_nulls_last(), "size", "_row").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "salt").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     ordered = sized.withColumn("own_before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     joined = ordered.join(cells, (F.col("salt") == F.col("c_salt")) & F.col("source").eqNullSafe(F.col("c_source")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
