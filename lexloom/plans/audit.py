@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexloom.operators import audit as A
+from lexloom.operators import partials as P
 from lexloom.operators.filters import since
-from lexloom.session import table
+from lexloom.session import materialize, shared_folder, table
 from lexloom.sources.readers import jsonl_counts, parse_variants, shape_counts
 from lexloom.sources.sinks import ANALYSIS_COLUMNS, AUDIT_COLUMNS, FOCUSED_COLUMNS, analysis_rows, audit_export, audit_rows, focused_export, focused_rows
 
@@ -89,6 +90,17 @@ def dashboard(spark, sf):
     return A.dashboard(events(spark, sf), "2024-01-20 00:00:00", 48)
 
 
+def audit_summary_panes(spark, sf):
+    """The summary of each intent from a stored table of panes."""
+    return P.summary_from_panes(materialize(P.audit_panes(events(spark, sf))), "intent")
+
+
+def dashboard_panes(spark, sf):
+    """The dashboard from panes, and from the records of the piece of an hour at the start of its span."""
+    e = events(spark, sf)
+    return P.dashboard_from_panes(materialize(P.audit_panes(e)), e, "2024-01-20 00:30:00", 48)
+
+
 def log_pairing(spark, sf):
     kind = F.when(F.col("event_type") == "click", "start").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "fail")
     e = table(spark, sf, "events").withColumn("kind", kind)
@@ -156,7 +168,7 @@ def jsonl_validate(spark, sf):
     return jsonl_counts(e.select(line.alias("value")), ["k"])
 
 
-QUERIES = {f.__name__: f for f in (audit_summary, audit_intents, audit_errors, audit_error_rows, audit_llm_stats, audit_cost, audit_export_rows, audit_focused, audit_report, audit_short, audit_analysis, audit_lookback, dashboard, log_pairing, querylog_stats, log_variants, log_shapes, querylog_union, word_freq, recent_queries, prompt_stats, expansion_stats, expansion_summary, jsonl_validate)}
+QUERIES = {f.__name__: f for f in (audit_summary, audit_intents, audit_errors, audit_error_rows, audit_llm_stats, audit_cost, audit_export_rows, audit_focused, audit_report, audit_short, audit_analysis, audit_lookback, dashboard, audit_summary_panes, dashboard_panes, log_pairing, querylog_stats, log_variants, log_shapes, querylog_union, word_freq, recent_queries, prompt_stats, expansion_stats, expansion_summary, jsonl_validate)}
 
 _E = """
 with e as (select event_id, ts, user_id, event_type as intent, event_type = 'error' as failed, value as total_time_ms, (props->>'$.k')::int as total_tokens,
@@ -221,3 +233,7 @@ select count(*) filter (k > 0) as n_expanded, sum(k)::bigint as n_terms, round(s
 select count(*) as total, count(*) filter (trim(value) = '') as blank, count(*) filter (trim(value) <> '' and not json_valid(value)) as malformed,
  count(*) filter (json_valid(value) and not coalesce(try(json_exists(value, '$.k')), false)) as missing_field, count(*) filter (json_valid(value) and coalesce(try(json_exists(value, '$.k')), false)) as valid from v""",
 }
+
+_WHOLE = SQL["audit_summary"].partition("count(*) filter (total_tokens % 5 = 0) as expanded")[0].rstrip().rstrip(",")
+SQL["audit_summary_panes"] = _WHOLE.replace("select count(*) as total,", "select intent, count(*) as total,") + " from e group by intent"
+SQL["dashboard_panes"] = SQL["dashboard"].replace("2024-01-18 00:00:00", "2024-01-18 00:30:00")
