@@ -132,6 +132,14 @@ def text_vectors(spark, sf):
     return e.select("doc_id", F.array_position("embedding", most).cast("int").alias("slot"), F.round(most.cast("double"), 5).alias("weight"))
 
 
+def text_retrieval(spark, sf):
+    """Questions given as text (names of nations and regions) against the documents, embedded alike."""
+    names = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.col("n_name").alias("question"))
+    regions = table(spark, sf, "region").select((F.col("r_regionkey") + 1000).cast("long").alias("query_id"), F.col("r_name").alias("question"))
+    corpus = embed_table(table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "text").select("chunk_id", F.col("embedding").alias("vec"))
+    return R.retrieve_texts(names.unionByName(regions), corpus, k=15, threshold=0.35, min_return=3, max_return=12)
+
+
 def text_vector_counts(spark, sf):
     """Rows and failures of the embedding, by language; texts without a word fail."""
     docs = table(spark, sf, "documents").select("lang", F.when(F.col("doc_id") % 9 > 0, F.col("text")).otherwise("?!").alias("text"))
@@ -163,6 +171,12 @@ s as (select q.query_id, e.vec_id as chunk_id, e.label, round(list_dot_product(q
       from q, embeddings e),
 r as (select *, row_number() over (partition by query_id order by score desc, chunk_id) - 1 as rank from s)"""
 
+_TEXT_SCORES = f"""
+with t0 as (select n_nationkey::bigint as id, n_name as text from nation union all select r_regionkey + 1000, r_name from region),
+q as (select id as query_id, {EMBEDDED_SQL}::double[] as v from t0), e as (select doc_id as chunk_id, {EMBEDDED_SQL}::double[] as v from documents),
+s as (select query_id, chunk_id, round(list_dot_product(q.v, e.v), 6) as score from q, e where q.v is not null and e.v is not null),
+r as (select *, row_number() over (partition by query_id order by score desc, chunk_id) - 1 as rank from s)"""
+
 _FALLBACK = (
     _SCORES
     + """,
@@ -185,7 +199,7 @@ select query_id, chunk_id, term_id, boost_factor, score,
 from n where case when enough then score >= {threshold}::double else rn < {least} end and rn < {most}"""
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, vector_topk_scoped, vector_topk_pruned, vector_topk_fallback, vector_topk_metadata, vector_adaptive_k, term_weighted_retrieval, term_union_retrieval, retrieval_report, ranked_expansion, expansion_map, expansion_intersection, text_vectors, text_vector_counts, sql_functions, sql_chunks, score_stats, reason_counts, vector_norms, vector_normalized, vector_quality, vector_publish_ids)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, vector_topk_scoped, vector_topk_pruned, vector_topk_fallback, vector_topk_metadata, vector_adaptive_k, term_weighted_retrieval, term_union_retrieval, retrieval_report, ranked_expansion, expansion_map, expansion_intersection, text_vectors, text_retrieval, text_vector_counts, sql_functions, sql_chunks, score_stats, reason_counts, vector_norms, vector_normalized, vector_quality, vector_publish_ids)}
 
 _NORM = "sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double)))"
 from .texts import SQL as _TEXTS  # noqa: E402
@@ -196,6 +210,7 @@ SQL = {
     "vector_topk_pruned": _SCORES + " select query_id, chunk_id, score, rank from r where rank < 5",
     "vector_topk_scoped": _SCORES.replace("from q, embeddings e", "from q, embeddings e where case query_id // 50 % 4 when 0 then e.label in (query_id % 7, 9) when 1 then e.label = query_id % 10 when 2 then false else true end") + " select query_id, chunk_id, score, rank from r where rank < 5",
     "vector_topk_filtered": _SCORES.replace("from q, embeddings e", "from q, embeddings e where e.label = 3") + " select query_id, chunk_id, score, rank from r where rank < 5",
+    "text_retrieval": _FALLBACK.replace(_SCORES, _TEXT_SCORES) + " select * from f",
     "vector_topk_fallback": _FALLBACK + " select * from f",
     "vector_topk_metadata": _SCORES + " select query_id, chunk_id, label, score, row_number() over (partition by query_id order by score desc, case when label = 0 then 1 else 0 end, chunk_id) - 1 as rank from r where rank < 10",
     "vector_adaptive_k": _SCORES + " select query_id, chunk_id, score, rank from r where rank < case query_id % 3 when 0 then 15 when 1 then 10 else 5 end",

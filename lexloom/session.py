@@ -76,12 +76,15 @@ def drop_scratch(spark: SparkSession) -> None:
 
 #: A dimension of more rows than this is joined by a shuffle.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df marked for broadcast if it is small: its rows are counted first. Beyond the bound it stays as it is and
-    Spark chooses the join."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df marked for broadcast if it is small: its rows and their bytes (as JSON) are measured first, by one job that
+    stops behind the bound of rows. Beyond either bound it stays as it is and Spark chooses the join."""
+    width = F.coalesce(F.octet_length(F.to_json(F.struct("*"))), F.lit(0))
+    rows, size = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def _literal(text: str) -> str:

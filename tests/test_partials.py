@@ -74,3 +74,17 @@ def test_refresh_replaces_days_only(spark, records, tmp_path):
     for _ in range(2):  # running again changes nothing
         P.refresh_panes(late, path, ["2024-03-03"])
         assert P.summary_from_panes(P.read_panes(spark, path)).first() == P.summary_from_panes(P.audit_panes(late)).first()
+
+
+def test_wide_rows_are_not_broadcast(spark, monkeypatch):
+    from lexloom import session
+
+    wide = spark.range(20).select("id", F.repeat(F.lit("x"), 1000).alias("body"))
+    hinted = lambda: "ResolvedHint" in session.small(wide)._jdf.queryExecution().analyzed().toString()
+    assert hinted()
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 10_000)
+    assert not hinted()
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 1 << 20)
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 19)
+    assert not hinted()
+    assert session.small(wide.limit(0)).count() == 0
