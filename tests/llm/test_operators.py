@@ -144,6 +144,29 @@ def test_mix(spark, awkward):
     assert sorted(map(tuple, finer.collect())) == sorted(map(tuple, got))
 
 
+def test_mix_without_ids_and_many_sources(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    n = spark.range(20_000)
+    text = F.expr("repeat('w ', int(id % 50))")
+    hot = n.select(F.lit(None).cast("bigint").alias("doc_id"), text.alias("text"), F.when(F.col("id") % 3 > 0, "hot").otherwise("cold").alias("source"))
+    plan = mixing.plan_mix(hot).groupBy("source_size").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(plan) == 2 and all(abs(r["taken"] - r["target"]) <= 49 for r in plan)
+    # rows without an id lie in several ranges of the order: no range holds more than half of them
+    kept = []
+    wrapped = mixing.materialize
+    monkeypatch.setattr(mixing, "materialize", lambda df: (kept.append(wrapped(df)), kept[-1])[1])
+    mixing.plan_mix(hot)
+    ranges = next(df for df in kept if "salt" in df.columns).groupBy("salt").count().collect()
+    assert len(ranges) > 2 and max(r["count"] for r in ranges) <= 10_000
+    monkeypatch.undo()
+    # one task or ranges for the order of sources: the same plan
+    many = n.limit(3000).select(F.col("id").alias("doc_id"), text.alias("text"), F.concat(F.lit("s"), (F.col("id") % 700).cast("string")).alias("source"))
+    one = sorted(map(tuple, mixing.plan_mix(many).collect()))
+    monkeypatch.setattr(mixing, "ROWS_OF_TASK", 10)
+    assert sorted(map(tuple, mixing.plan_mix(many).collect())) == one
+
+
 # 5
 
 
