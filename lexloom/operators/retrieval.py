@@ -19,7 +19,7 @@ BROADCAST_QUERIES, BROADCAST_BYTES = 16_384, 1 << 26
 #: Pairs of a query and a row that a tile holds at most, and tiles for each shuffle partition below that.
 PAIRS_OF_TILE, TILES_PER_TASK = 1 << 32, 2
 #: Queries and rows of one matrix product, and candidates that a task holds before it cuts them to the best k.
-QUERIES_AT_ONCE, ROWS_AT_ONCE, CANDIDATES = 1024, 2048, 1 << 20
+QUERIES_AT_ONCE, ROWS_AT_ONCE, CANDIDATES = 512, 512, 1 << 18
 DIGITS = 6
 #: Terms of so many characters or less are not retrieved by, unless they have weights.
 SHORT_TERM = 2
@@ -40,8 +40,12 @@ class _Best:
         for i in range(0, len(rows), ROWS_AT_ONCE):
             for j in range(0, len(which), QUERIES_AT_ONCE):
                 asked = which[j : j + QUERIES_AT_ONCE]
-                scores = np.round(rows[i : i + ROWS_AT_ONCE] @ self.vectors[asked].T, DIGITS)
-                at, own = np.nonzero(scores >= self.least[asked])
+                scores = rows[i : i + ROWS_AT_ONCE] @ self.vectors[asked].T
+                np.round(scores, DIGITS, out=scores)
+                good, k = scores >= self.least[asked], int(self.ks[asked].max())
+                if k < len(scores) and np.count_nonzero(good) > 2 * k * len(asked):  # the k best of these rows, and their ties, will do
+                    good &= scores >= np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
+                at, own = np.nonzero(good)
                 self.held.append((asked[own], scores[at, own], chunk_ids[at + i]))
                 self.n += len(at)
                 if self.n > CANDIDATES + 2 * self.kept:

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -179,3 +180,20 @@ def test_pruned_top_k_is_exact_and_skips(spark, monkeypatch, most):
         if k == 5:
             assert told["skipped"] > 0.6
     assert top_k_pruned(asked.limit(0), index, 3)[0].count() == 0
+
+
+def test_a_task_holds_few_candidates_from_the_first_rows_on():
+    rng = np.random.default_rng(7)
+    vectors, rows, seen = rng.normal(size=(1024, 8)), rng.integers(-2, 3, (4096, 8)).astype(float), []
+
+    class Counted(R._Best):
+        def _cut(self):
+            seen.append(self.n)
+            super()._cut()
+
+    best = Counted(np.arange(1024), vectors, np.full(1024, 5))
+    best.add(np.arange(4096), rows)
+    got = [tuple(x) for b in best.rows(pa.int64()) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    scores = np.round(rows @ vectors.T, 6)
+    want = [(q, i, scores[i, q]) for q in range(1024) for i in np.lexsort((np.arange(4096), -scores[:, q]))[:5].tolist()]
+    assert got == want and max(seen) < 1_000_000
