@@ -309,8 +309,10 @@ def retrieve_texts(questions: DataFrame, corpus: DataFrame, model: str | None =
 
 
 def similarity_map(expansions: DataFrame, digits: int = 4) -> DataFrame:
-    """query_id and a map from term to similarity, for the audit record."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col("term_id").cast("string").alias("term"), F.round("similarity", digits).alias("s"))))
+    """query_id and a map from term to similarity, for the audit record. Similarities are rounded in binary arithmetic,
+    as numpy and SQL engines do: F.round takes their shortest decimals, which turns more of the halves up."""
+    near = F.round(F.col("similarity") * 10**digits, 0) / 10**digits
+    pairs = F.array_sort(F.collect_list(F.struct(F.col("term_id").cast("string").alias("term"), near.alias("s"))))
     known = expansions.where(F.col("term_id").isNotNull())
     return known.groupBy("query_id").agg(F.map_from_entries(pairs).alias("similarities"))
 

@@ -197,3 +197,11 @@ def test_a_task_holds_few_candidates_from_the_first_rows_on():
     scores = np.round(rows @ vectors.T, 6)
     want = [(q, i, scores[i, q]) for q in range(1024) for i in np.lexsort((np.arange(4096), -scores[:, q]))[:5].tolist()]
     assert got == want and max(seen) < 1_000_000
+
+
+def test_similarities_of_the_map_are_rounded_as_in_sql(spark, duck):
+    """Of six digits that end in 50, half are rounded down in binary arithmetic."""
+    values = [(1, i, (300_050 + 100 * i) / 1e6) for i in range(500)]
+    m = R.similarity_map(spark.createDataFrame(values, "query_id int, term_id int, similarity double")).first()["similarities"]
+    want = {str(i): duck.execute("select round(?::double, 4)", [v]).fetchall()[0][0] for _, i, v in values}
+    assert m == want
