@@ -3,6 +3,9 @@ import pytest
 from lexloom.operators import facts as X
 from lexloom.operators.filters import flatten
 from lexloom.operators.merge import upsert
+from lexloom.plans import answers as answer_plans
+from lexloom.session import materialize
+from tables import SMALL
 
 ROWS = [
     (0, "Mira Halvorsen", 1951, "female", "norway", "letters", "for her river songs", "1902-05-11", "1980-01-03"),
@@ -77,3 +80,32 @@ def test_scoped_entities(spark):
     asked = spark.createDataFrame([(1, "Compare Mira Halvorsen and Duarte"), (2, "What about Halvorsens?")], "question_id int, question string")
     got = {r[0]: r[1] for r in X.scoped_entities(asked, names).collect()}
     assert got == {1: ["Mira Halvorsen", "Inês Duarte"]}
+
+
+def _people(spark, n=40):
+    rows = [(i, f"Ada {i:09d}", 1990 + i % 3, "Female", "chile", "for work", "1900-01-01", None) for i in range(n)]
+    return spark.createDataFrame(rows, "ord long, full_name string, year_awarded int, gender string, country string, prize_motivation string, date_of_birth string, date_of_death string")
+
+
+def test_names_of_facts_are_not_broadcast_by_the_size_of_their_file(spark):
+    facts = materialize(_people(spark))
+    matched = spark.createDataFrame([(1, "ada 000000007", "")], "question_id long, a string, b string")
+    found = X._by_name(matched, facts)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.select("f.ord").first()[0] == 7
+
+
+def test_names_of_a_year_are_joined_run_by_run_in_order(spark, monkeypatch):
+    monkeypatch.setattr(X, "NAMES_AT_ONCE", 4)
+    asked = spark.createDataFrame([(i, f"Who won the prize in {1990 + i % 4}?") for i in range(40)], "question_id long, question string")
+    got = {r["question_id"]: r["answer"] for r in X.answer_facts(asked, _people(spark)).collect()}
+    said = [f"In {1990 + y}, the prize went to " + ", ".join(f"Ada {i:09d}" for i in range(y, 40, 3)) + "." for y in range(3)] + ["No laureate found for 1993."]
+    assert got == {i: said[i % 4] for i in range(40)}
+
+
+def test_long_answers_of_rules_are_not_written(spark, monkeypatch):
+    written = []
+    for module in (answer_plans, X):
+        monkeypatch.setattr(module, "materialize", lambda df: written.append(df.columns) or materialize(df))
+    answer_plans._answers(spark, SMALL)
+    assert written and not any("answer" in columns for columns in written)
