@@ -53,16 +53,17 @@ def answer_batch(
     chunks of these authors only. With terms (keyword, embedding; see term_vectors) thematic questions retrieve by
     their nearest terms, weighted and merged, chunks of kind `last` behind the others on ties; without, and for all
     other intents, by the question's own vector. A template gives how many chunks its context holds at most, and how
-    they are cited. Facts, rule answers, routes and chosen rows are written once, as several branches read them.
+    they are cited. Facts, questions that a rule matches, routes and chosen rows are written once, as several branches
+    read them; the rules' answers, which may be long, are not.
     """
     none = lambda n, kind="string": F.lit(None).cast(kind).alias(n)
     checked = questions.withColumn("_fault", query_fault(F.col("question")))
     bad = checked.where("_fault is not null").select("question_id", F.lit("invalid").alias("answer_type"), none("rule"), none("intent"), none("template"), F.col("_fault").alias("answer"), none("chunks", "array<bigint>"))
     good = checked.where("_fault is null").select("question_id", "question")
     facts = materialize(facts)  # each rule reads it
-    known = materialize(X.answer_facts(good, facts, award))
-    by_rule = known.select("question_id", F.lit("facts").alias("answer_type"), "rule", F.lit("factual").alias("intent"), none("template"), "answer", none("chunks", "array<bigint>"))
-    rest = good.join(known.select("question_id"), "question_id", "left_anti")
+    matched = X.matched_questions(good, award)
+    by_rule = X.answer_matched(matched, facts, award).select("question_id", F.lit("facts").alias("answer_type"), "rule", F.lit("factual").alias("intent"), none("template"), "answer", none("chunks", "array<bigint>"))
+    rest = good.join(matched.select("question_id"), "question_id", "left_anti")
     rest = rest.join(X.scoped_entities(rest, names), "question_id", "left") if names is not None else rest.withColumn("entities", F.lit(None).cast("array<string>"))
     routed = I.route(I.classify(I.subtype(rest, "question"), "question", weights), "entities", scoped).withColumn("template", I.template_name(F.col("intent"), F.col("subtype"), F.col("question")))
     shapes = small(templates.select(F.col("name").alias("template"), F.coalesce("chunk_count", F.lit(5)).alias("_most"), F.coalesce("citation_style", F.lit("inline")).alias("_style")))
