@@ -129,3 +129,18 @@ def build_corpus(entities: DataFrame, texts: DataFrame, shared: DataFrame, field
     parts += [d.where("trim(text) <> ''").select(*meta, "source_type", F.lit(0).alias("chunk_index"), F.col("text").alias("chunk")) for d in whole]
     every = reduce(DataFrame.unionByName, parts)
     return every.withColumn("chunk_id", chunk_id(F.col("year_awarded"), F.col("lastname"), F.col("source_type"), F.col("chunk_index")))
+
+
+def corpus_counts(built: DataFrame) -> DataFrame:
+    """source_type, chunks, ids, entities of a build_corpus(): its rows, distinct chunk_ids and distinct full_names.
+
+    Chunks of a text are numbered from 0 on and an id ends with the number, so of the texts with the same rest of the id
+    the longest has all ids. Rows are first summed up to one for each text: no task holds the ids of all chunks.
+    """
+    rest = F.concat_ws("_", "year_awarded", "lastname", "source_type")
+    texts = built.groupBy("source_type", "full_name", rest.alias("_rest")).agg(F.count(F.lit(1)).alias("chunks"), (F.max("chunk_index") + 1).cast("long").alias("ids"))
+    # a row for each rest of an id (0), one for each name (1)
+    rows = texts.select("source_type", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("_rest").alias("of"), "chunks", "ids"), F.struct(F.lit(1).alias("kind"), F.col("full_name").alias("of"), F.lit(0).cast("long").alias("chunks"), F.lit(0).cast("long").alias("ids")))).alias("x")).select("source_type", "x.*")
+    each = rows.groupBy("source_type", "kind", "of").agg(F.sum("chunks").alias("chunks"), F.max("ids").alias("ids"))
+    named = F.count_if((F.col("kind") == 1) & F.col("of").isNotNull())
+    return each.groupBy("source_type").agg(F.sum("chunks").alias("chunks"), F.sum("ids").alias("ids"), named.alias("entities"))

@@ -101,10 +101,11 @@ def corpus_build(spark, sf):
     e = table(spark, sf, "customer").select(F.col("c_name").alias("full_name"), _year("c_custkey").alias("year_awarded"), F.col("c_mktsegment").alias("motivation"), F.concat_ws(" ", "c_name", "c_mktsegment", F.col("c_custkey")).alias("life"))
     docs = _docs(spark, sf)
     own = docs.select(_year("doc_id").alias("year_awarded"), F.concat(F.lit("customer#"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("lastname"), F.lit("lecture").alias("source_type"), "text")
-    longest = F.max_by("text", F.struct(F.length("text"), -F.col("doc_id")))
-    shared = docs.groupBy(_year("doc_id").alias("year_awarded")).agg(longest.alias("text")).select("year_awarded", F.lit("ceremony").alias("source_type"), "text")
+    # the longest texts are found by length and id, so that no task sorts texts
+    longest = docs.groupBy(_year("doc_id").alias("year_awarded")).agg(F.max(F.struct(F.length("text").alias("n"), (-F.col("doc_id")).alias("neg"))).alias("x"))
+    shared = longest.select("year_awarded", (-F.col("x.neg")).alias("doc_id")).join(docs.select("doc_id", "text"), "doc_id").dropDuplicates(["year_awarded"]).select("year_awarded", F.lit("ceremony").alias("source_type"), "text")
     built = C.build_corpus(e, own, shared, {"motivation": False, "life": True}, 200, 0, "\n")
-    return built.groupBy("source_type").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("chunk_id").alias("ids"), F.count_distinct("full_name").alias("entities"))
+    return C.corpus_counts(built)
 
 
 def chunk_sizes(spark, sf):

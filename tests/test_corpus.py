@@ -3,6 +3,8 @@
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from tables import SMALL
 from lexloom.operators import chunking as C
 from lexloom.plans import texts
@@ -43,3 +45,10 @@ def test_shared_texts_reach_every_entity_of_their_year(spark):
     got = C.build_corpus(people, own, shared, {"motivation": False}, 3, 0, "\n").select("full_name", "source_type", "chunk_index", "chunk").collect()
     want = [(n, "ceremony", k, c) for n in ("Ada One", "Bo Two") for k, c in enumerate(_packed("a b\nc d e\nf", 3, "\n"))]
     assert sorted(map(tuple, got)) == sorted([*want, ("Ada One", "motivation", 0, "m"), ("Bo Two", "motivation", 0, "n")])
+
+
+def test_counts_of_a_corpus_sum_up_texts_first(spark):
+    """Two entities of a year share a last name, so their chunks share ids; the longer text has them all."""
+    rows = [("Ada One", 1901, "one", "a", k) for k in range(3)] + [("Bo One", 1901, "one", "a", k) for k in range(5)] + [("Cy Two", 1902, "two", "a", 0), (None, 1902, "two", "b", 0)]
+    built = spark.createDataFrame(rows, "full_name string, year_awarded int, lastname string, source_type string, chunk_index int").withColumn("chunk_id", C.chunk_id(*map(F.col, ("year_awarded", "lastname", "source_type", "chunk_index"))))
+    assert sorted(map(tuple, C.corpus_counts(built).collect())) == [("a", 9, 6, 3), ("b", 1, 1, 0)]
