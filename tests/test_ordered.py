@@ -45,3 +45,23 @@ def test_starts_without_an_end_go(rocks, tmp_path):
         _frame(spark, part).coalesce(1).write.mode("append").parquet(source)
         got = S.run_available(O.pair_ordered(spark.readStream.schema(SCHEMA).parquet(source), idle="2 hours", late="10 minutes"), folder=str(tmp_path / "out"))
     assert list(map(tuple, got.collect())) == [(2, 2, 3, "completed")]
+
+
+def test_calls_grow_with_groups_not_with_logs(rocks, tmp_path, monkeypatch):
+    """Many logs, one of them without a key, share the calls of their groups; microseconds decide the order."""
+    spark, seen, source = rocks, str(tmp_path / "seen"), str(tmp_path / "in")
+
+    class Counted(O._Pairing):
+        def handleInputRows(self, key, rows, timerValues):
+            with open(seen, "a") as f:
+                print(key, file=f)
+            yield from super().handleInputRows(key, rows, timerValues)
+
+    monkeypatch.setattr(O, "_Pairing", Counted)
+    base = 1_704_100_000_000_000
+    lines = [(k or None, base + 3, 10 * k + 1, "done") for k in range(60)] + [(k or None, base + 2, 10 * k + 2, "start") for k in range(60)] + [(k or None, base + 1, 10 * k + 3, "fail") for k in range(60)]
+    events = spark.createDataFrame([*lines, (99, base + 10**12, 999, "start"), (7, None, 998, "done")], "key long, us long, id long, kind string")
+    events.select("key", F.timestamp_micros("us").alias("ts"), "id", "kind").coalesce(1).write.parquet(source)
+    got = S.run_available(O.pair_ordered(spark.readStream.schema(SCHEMA).parquet(source), idle="30 days", late="1 hour", groups=4))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr((k or None, 10 * k + 2, 10 * k + 1, "completed")) for k in range(60))
+    assert len(open(seen).readlines()) <= 4
