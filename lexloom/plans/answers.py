@@ -53,11 +53,11 @@ def answer_batch(
     chunks of these authors only. With terms (keyword, embedding; see term_vectors) thematic questions retrieve by
     their nearest terms, weighted and merged, chunks of kind `last` behind the others on ties; without, and for all
     other intents, by the question's own vector. A template gives how many chunks its context holds at most, and how
-    they are cited. Facts, questions that a rule matches, routes and chosen rows are written once, as several branches
+    they are cited. Questions, facts, questions that a rule matches, routes and chosen rows are written once, as several branches
     read them; the rules' answers, which may be long, are not.
     """
     none = lambda n, kind="string": F.lit(None).cast(kind).alias(n)
-    checked = questions.withColumn("_fault", query_fault(F.col("question")))
+    checked = materialize(questions.withColumn("_fault", query_fault(F.col("question"))))
     bad = checked.where("_fault is not null").select("question_id", F.lit("invalid").alias("answer_type"), none("rule"), none("intent"), none("template"), F.col("_fault").alias("answer"), none("chunks", "array<bigint>"))
     good = checked.where("_fault is null").select("question_id", "question")
     facts = materialize(facts)  # each rule reads it

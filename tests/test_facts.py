@@ -109,3 +109,16 @@ def test_long_answers_of_rules_are_not_written(spark, monkeypatch):
         monkeypatch.setattr(module, "materialize", lambda df: written.append(df.columns) or materialize(df))
     answer_plans._answers(spark, SMALL)
     assert written and not any("answer" in columns for columns in written)
+
+
+def test_rules_look_names_up_together(spark, monkeypatch):
+    """One lookup for all rules that go by a name, so that the plan of the answers doesn't grow with these rules."""
+    calls, look = [], X._by_name
+    monkeypatch.setattr(X, "_by_name", lambda *a: calls.append(a) or look(*a))
+    asked = ["When did Duarte win?", "Where is Okafor-Lind from?", "What is the motivation for Nobody?", "When was Mira Halvorsen born?", "Winner in 1953?"]
+    out = X.answer_facts(spark.createDataFrame(list(enumerate(asked)), "question_id int, question string"), spark.createDataFrame(ROWS, SCHEMA))
+    assert {r["question_id"]: (r["rule"], r["answer"]) for r in out.collect()} == {
+        0: ("award_year_by_name", "Inês Duarte won in 1955."), 1: ("country_of_laureate", "Tomas Okafor-Lind is from ghana."), 2: ("prize_motivation_by_name", "No laureate found matching 'Nobody'."),
+        3: ("birth_death_date_by_name", "Mira Halvorsen was born on 1902-05-11."), 4: ("winner_in_year", "No laureate found for 1953."),
+    }
+    assert len(calls) == 1
