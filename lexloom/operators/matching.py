@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from lexloom.functions.automaton import BYTES_PER_CHARACTER, Automaton
+from lexloom.functions.sieve import Sieve, bits_for, pattern_places
 from lexloom.session import materialize
 
-#: Bytes of an automaton that is broadcast; a larger table of patterns is cut into shards of this size.
+#: Bytes of an automaton that is broadcast; texts meet a larger table of patterns by a join.
 SHARD_BYTES = 1 << 26
-#: Characters of text that are searched at a time.
-TEXT_CHARS = 1 << 20
+#: Characters of text that are searched at a time, by an automaton and by a sieve.
+TEXT_CHARS, WINDOW_CHARS = 1 << 20, 1 << 18
 
 
 class _Finder:
@@ -38,7 +40,23 @@ class _Finder:
 
 def _held(patterns: DataFrame) -> DataFrame:
     known = patterns.where(F.col("pattern").isNotNull() & (F.col("pattern") != "") & F.col("label").isNotNull())
-    return known.groupBy("pattern", "bounded").agg(F.collect_set("label").alias("labels"))
+    return known.groupBy("pattern", F.coalesce("bounded", F.lit(False)).alias("bounded")).agg(F.collect_set("label").alias("labels"))
+
+
+def _sieve(held: DataFrame, n: int, sizes: list[int]) -> Sieve:
+    """The sieve of n patterns; of the patterns only its bits pass the driver."""
+    bits = bits_for(n)
+
+    def places(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(pattern_places(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bits))], ["at"])
+
+    at = held.select("pattern", "bounded").mapInArrow(places, "at long")
+    rows = at.groupBy((F.col("at") / 64).cast("int").alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("word")).toArrow()
+    words = np.zeros(bits // 64, np.uint64)
+    words[rows.column("i").to_numpy()] = rows.column("word").to_numpy().view(np.uint64)
+    return Sieve(words, sizes)
 
 
 def find_labels(df: DataFrame, text_col: str, patterns: DataFrame, out: str) -> DataFrame:
@@ -50,12 +68,14 @@ def find_labels(df: DataFrame, text_col: str, patterns: DataFrame, out: str) ->
     id and may repeat.
 
     The patterns' characters are summed up first. Up to SHARD_BYTES the automaton is broadcast, and rows are matched
-    where they are, without a shuffle. A larger table is cut into shards, every text meets every shard by one
-    shuffle (the patterns never pass the driver), and the labels of a row are put together by its number.
+    where they are, without a shuffle. Of a larger table only bits of digests are broadcast, at most MOST_BITS of them:
+    the windows of a text whose bits are set meet the patterns by a join on the characters, so the result is exact,
+    each text is read once however many patterns there are, and the labels of a row are put together by its number.
     """
     spark, rest = df.sparkSession, [c for c in df.columns if c != text_col]
     held = materialize(_held(patterns))
-    size = BYTES_PER_CHARACTER * (held.agg(F.sum(F.length("pattern"))).first()[0] or 0)
+    n, characters, sizes = held.agg(F.count(F.lit(1)), F.sum(F.length("pattern")), F.collect_set(F.length("pattern"))).first()
+    size = BYTES_PER_CHARACTER * (characters or 0)
     labelled = StructType([*[f for f in df.schema.fields if f.name != text_col], StructField(out, ArrayType(StringType()))])
     if size <= SHARD_BYTES:
         find = _Finder([(r["pattern"], r["bounded"], r["labels"]) for r in held.toArrow().to_pylist()])
@@ -68,37 +88,23 @@ def find_labels(df: DataFrame, text_col: str, patterns: DataFrame, out: str) ->
 
         return df.select(*rest, text_col).mapInArrow(near, labelled)
 
-    shards, parts = -(-size // SHARD_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions"))
     numbered = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
-    tile = ["_shard", "_part"]
-    own = held.withColumn("_shard", F.pmod(F.xxhash64("pattern"), F.lit(shards))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    rows = numbered.where(F.col(text_col).isNotNull()).withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(parts)).cast("int")).withColumn("_shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    none = F.lit(None)
-    met = own.select(*tile, none.cast("long").alias("_row"), F.col("pattern").alias("_text"), "bounded", "labels").unionByName(
-        rows.select(*tile, "_row", F.col(text_col).alias("_text"), none.cast("boolean").alias("bounded"), none.cast("array<string>").alias("labels"))
-    )
+    sieve = spark.sparkContext.broadcast(_sieve(held, n, sizes))
 
     def far(batches):
-        now, rules, find = None, [], None
         for batch in batches:
-            at = 0
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(2)), batch.column(2).is_valid().to_pylist(), strict=True))
-            while at < len(keys):
-                end = next((i for i in range(at, len(keys)) if keys[i] != keys[at]), len(keys))
-                part = batch.slice(at, end - at)
-                if keys[at][:2] != now:
-                    now, rules, find = keys[at][:2], [], None
-                if keys[at][2]:
-                    find = find or _Finder(rules)
-                    found = find(part.column(3).to_pylist())
-                    hit = pa.array([i for i, x in enumerate(found) if x], pa.int64())
-                    yield pa.RecordBatch.from_arrays([part.column(2).take(hit), pa.array([x for x in found if x], pa.list_(pa.string()))], ["_row", out])
-                else:
-                    rules += zip(part.column(3).to_pylist(), part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True)
-                at = end
-
-    dealt = met.repartition(*tile).sortWithinPartitions(*tile, F.col("_row").asc_nulls_first())
-    found = dealt.mapInArrow(far, StructType([StructField("_row", LongType()), StructField(out, ArrayType(StringType()))]))
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            begin = count = 0
+            for i, text in enumerate(texts):
+                count += len(text)
+                if count > WINDOW_CHARS or i + 1 == len(texts):
+                    found = sieve.value.windows(texts[begin : i + 1])
+                    windows = [w for _, w in found]
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[begin + t] for t, _ in found], pa.int64()), pa.array(windows, pa.string()), pa.array(found.values(), pa.bool_())], ["_row", "pattern", "_free"])
+                    begin, count = i + 1, 0
+
+    passed = numbered.where(F.col(text_col).isNotNull()).select("_row", text_col).mapInArrow(far, "_row long, pattern string, _free boolean")
+    found = passed.join(held.hint("merge"), "pattern").where(F.col("_free") | ~F.col("bounded")).select("_row", F.col("labels").alias(out))
     joint = found.groupBy("_row").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(out)))).alias(out))
     empty = F.array().cast("array<string>")
     return numbered.join(joint, "_row", "left").select(*rest, F.coalesce(F.col(out), empty).alias(out))

@@ -96,3 +96,19 @@ def test_themes_alike_for_any_size_of_the_dimension(spark, monkeypatch, shard):
     assert rows(T.extract_themes(docs, "id", "text", themes), "themes") == [(1, ("arts",)), (7, ("sky", "water")), (7, ("water",))]
     assert rows(T.extract_themes(docs, "id", "text", themes, {"running": "sea", "clouds": "cloud"}), "themes") == [(1, ("arts",)), (3, ("water",)), (7, ("sky", "water")), (7, ("water",))]
     assert rows(T.expand_keywords(docs, "id", "text", themes), "keywords") == [(1, ("art world",)), (7, ("cloud", "sea")), (7, ("cloud", "sea"))]
+
+
+def test_large_tables_of_patterns_meet_windows_of_texts_not_whole_texts(spark, monkeypatch):
+    """Texts aren't repeated for parts of the table; odd characters and boundaries count as in plain search."""
+    monkeypatch.setattr(matching, "SHARD_BYTES", 100)
+    monkeypatch.setattr(matching, "WINDOW_CHARS", 50)
+    rng = random.Random(5)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(rng.randrange(n)))
+    for letters in ("ab -'", "aé日😀_1 .\x00"):
+        patterns = sorted({(draw(letters, 12), rng.random() < 0.5) for _ in range(80)})
+        texts = [draw(letters + "x", 60) for _ in range(40)] + ["", letters * 50]
+        table = spark.createDataFrame([(p, b, f"{j:03d}") for j, (p, b) in enumerate(patterns)], "pattern string, bounded boolean, label string")
+        found = matching.find_labels(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "text", table, "found")
+        got = {(r["id"], int(x)) for r in found.collect() for x in r["found"]}
+        assert got == _plain(texts, [p for p, _ in patterns], [b for _, b in patterns]) and len(got) > 100
+        assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
