@@ -128,7 +128,8 @@ def link_groups(fps: np.ndarray, group: np.ndarray, part: np.ndarray, radius: in
     step = 1 << 14
     for k in range(0, n_words, step):
         bits = np.unpackbits(padded[k * 64 : (k + step) * 64].view(np.uint8).reshape(-1, 64, 8), axis=2, bitorder="little")
-        planes[:, k : k + step] = np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").view(np.uint64)[:, :, 0]
+        packed = np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")  # of a single word it is not in C order
+        planes[:, k : k + step] = np.ascontiguousarray(packed).view(np.uint64)[:, :, 0]
 
     own_word = where // 64
     n_later = word_begin[gi] + words_of[gi] - own_word  # words from the row's own to the group's last

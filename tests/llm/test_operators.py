@@ -298,6 +298,15 @@ def test_every_block_choice_and_split_buckets(spark, n_blocks, monkeypatch):
     assert {x: got.get(x, x) for x in fps} == want
 
 
+@pytest.mark.parametrize("sizes", [[5], [64], [65], [2] * (1 << 14) + [3]])
+def test_planes_of_a_single_word(sizes):
+    """One word in all, or one left over behind full steps of 2**14 words."""
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    fps = (group.astype(np.uint64) << np.uint64(20)) | np.arange(len(group)).astype(np.uint64) % np.uint64(2)
+    root = simhash.link_groups(fps, group, np.full(len(fps), 2), 4)
+    assert (root == np.searchsorted(group, group)).all()
+
+
 # 10
 
 
