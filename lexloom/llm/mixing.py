@@ -47,7 +47,8 @@ def water_fill(sources: DataFrame, share_num: int = 3, share_den: int = 2, max_e
         return sources.withColumn("target", F.lit(0.0))
     capped = sources.withColumn("cap", F.lit(max_epochs) * F.col("source_size")).withColumn("full_at", F.col("cap") / F.col("weight"))
     placed = running(capped, [F.col("full_at"), F.col("source").asc_nulls_last()], {"cap_before": F.col("cap"), "weight_before": F.col("weight")}, n[2])
-    level = (F.lit(share_num) * F.lit(n[0]) - F.lit(share_den) * F.col("cap_before")).cast("double") / (F.lit(share_den) * (F.lit(n[1]) - F.col("weight_before"))).cast("double")
+    whole = F.lit(share_num * n[0]).cast("long")  # a sum below 2**31 comes back as an int, whose product would overflow
+    level = (whole - F.lit(share_den) * F.col("cap_before")).cast("double") / (F.lit(share_den) * (F.lit(n[1]) - F.col("weight_before"))).cast("double")
     feasible = placed.agg(F.max(level)).first()[0]
     return placed.select("source", "source_size", "weight", F.least(F.col("cap").cast("double"), F.lit(feasible) * F.col("weight")).alias("target"))
 

@@ -167,6 +167,15 @@ def test_mix_without_ids_and_many_sources(spark, monkeypatch):
     assert sorted(map(tuple, mixing.plan_mix(many).collect())) == one
 
 
+@pytest.mark.parametrize("size", [10**9, 3 * 10**9])
+def test_targets_of_billions_of_words(spark, size):
+    """One and a half times what still fits into 32 bits, and what doesn't."""
+    sources = spark.createDataFrame([("a", size, 3), ("b", size // 2, 1), (None, 7, 2)], "source string, source_size long, weight int")
+    total, got = size + size // 2 + 7, {r["source"]: r["target"] for r in mixing.water_fill(sources).collect()}
+    left = 1.5 * total - 14  # two copies of the small source, the rest 3 to 1 below two copies
+    assert got == {"a": pytest.approx(0.75 * left), "b": pytest.approx(0.25 * left), None: 14.0}
+
+
 # 5
 
 
