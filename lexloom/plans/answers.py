@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.vectors import hashed_embedding
@@ -40,6 +42,7 @@ def _by_terms(routed: DataFrame, corpus: DataFrame, terms: DataFrame, dim: int,
 def answer_batch(
     questions: DataFrame, facts: DataFrame, corpus: DataFrame, templates: DataFrame, weights: dict, award: str = "prize", dim: int = 64,
     names: DataFrame | None = None, terms: DataFrame | None = None, scoped: tuple[str, ...] = tuple(I.ROUTES), last: str = "ceremony",
+    form: Callable[[Column], Column] = lambda answer: answer, contexts: bool = True,
 ) -> DataFrame:
     """question_id, answer_type, rule, intent, template, answer for every question (question_id, question).
 
@@ -55,17 +58,23 @@ def answer_batch(
     other intents, by the question's own vector. A template gives how many chunks its context holds at most, and how
     they are cited. Questions, facts, questions that a rule matches, routes and chosen rows are written once, as several branches
     read them; the rules' answers, which may be long, are not.
+
+    form: what is wanted of an answer, as its digest; answers that many questions share are brought into it once.
+    Without contexts nothing is retrieved: the answer and the chunks of each prompt are null, all else is the same.
     """
     none = lambda n, kind="string": F.lit(None).cast(kind).alias(n)
     checked = materialize(questions.withColumn("_fault", query_fault(F.col("question"))))
-    bad = checked.where("_fault is not null").select("question_id", F.lit("invalid").alias("answer_type"), none("rule"), none("intent"), none("template"), F.col("_fault").alias("answer"), none("chunks", "array<bigint>"))
+    bad = checked.where("_fault is not null").select("question_id", F.lit("invalid").alias("answer_type"), none("rule"), none("intent"), none("template"), form(F.col("_fault")).alias("answer"), none("chunks", "array<bigint>"))
     good = checked.where("_fault is null").select("question_id", "question")
     facts = materialize(facts)  # each rule reads it
     matched = X.matched_questions(good, award)
-    by_rule = X.answer_matched(matched, facts, award).select("question_id", F.lit("facts").alias("answer_type"), "rule", F.lit("factual").alias("intent"), none("template"), "answer", none("chunks", "array<bigint>"))
+    by_rule = X.answer_matched(matched, facts, award, form=form).select("question_id", F.lit("facts").alias("answer_type"), "rule", F.lit("factual").alias("intent"), none("template"), "answer", none("chunks", "array<bigint>"))
     rest = good.join(matched.select("question_id"), "question_id", "left_anti")
     rest = rest.join(X.scoped_entities(rest, names), "question_id", "left") if names is not None else rest.withColumn("entities", F.lit(None).cast("array<string>"))
     routed = I.route(I.classify(I.subtype(rest, "question"), "question", weights), "entities", scoped).withColumn("template", I.template_name(F.col("intent"), F.col("subtype"), F.col("question")))
+    if not contexts:
+        by_prompt = routed.select("question_id", F.lit("prompt").alias("answer_type"), none("rule"), "intent", "template", none("answer"), none("chunks", "array<bigint>"))
+        return bad.unionByName(by_rule).unionByName(by_prompt)
     shapes = small(templates.select(F.col("name").alias("template"), F.coalesce("chunk_count", F.lit(5)).alias("_most"), F.coalesce("citation_style", F.lit("inline")).alias("_style")))
     routed = materialize(routed.withColumn("vec", hashed_embedding(F.col("question"), dim)).join(shapes, "template", "left"))
     themed = F.lit(terms is not None) & (F.col("intent") == "thematic")
@@ -80,10 +89,10 @@ def answer_batch(
     by_rank = F.array_sort(F.collect_list(F.struct("rank", F.col("chunk_id").cast("long").alias("chunk_id"))))
     used = chosen.groupBy(F.col("query_id").alias("question_id")).agg(F.transform(by_rank, lambda x: x["chunk_id"]).alias("chunks"))
     lines = chosen.join(corpus.select("chunk_id", "text", "author", "year", "kind", "category"), "chunk_id").withColumnRenamed("query_id", "question_id")
-    contexts = P.assemble_context(lines, "question_id", F.coalesce("_style", F.lit("inline")))
-    prompts = P.build_prompts(routed.select("question_id", "question", "template"), contexts, templates)
+    told = P.assemble_context(lines, "question_id", F.coalesce("_style", F.lit("inline")))
+    prompts = P.build_prompts(routed.select("question_id", "question", "template"), told, templates)
     by_prompt = prompts.drop("template").join(routed.select("question_id", "intent", "template"), "question_id").join(used, "question_id", "left")
-    by_prompt = by_prompt.select("question_id", F.lit("prompt").alias("answer_type"), none("rule"), "intent", "template", F.col("prompt").alias("answer"), "chunks")
+    by_prompt = by_prompt.select("question_id", F.lit("prompt").alias("answer_type"), none("rule"), "intent", "template", form(F.col("prompt")).alias("answer"), "chunks")
     return bad.unionByName(by_rule).unionByName(by_prompt)
 
 
@@ -102,7 +111,7 @@ ABOUT = (("How do winners think about that part of the sea in the work of ", "?"
 NOTED = ("thematic_comparative", "generative_email")
 
 
-def _answers(spark, sf):
+def _answers(spark, sf, **how):
     corpus = table(spark, sf, "documents").select(
         F.col("doc_id").alias("chunk_id"), "text", hashed_embedding(F.col("text")).alias("vec"), F.concat(F.lit("Kim "), "source").alias("author"), (F.lit(1901) + F.col("doc_id") % 100).alias("year"),
         F.when(F.col("doc_id") % 5 == 0, "ceremony").otherwise("lecture").alias("kind"), F.col("lang").alias("category"),
@@ -117,12 +126,12 @@ def _answers(spark, sf):
     asked = facts_questions(spark, sf).unionByName(talk).unionByName(about)
     templates = read_dimension(spark, "templates").withColumn("citation_style", F.when(F.col("name").isin(*NOTED), "footnote").otherwise(F.col("citation_style")))
     terms = term_vectors(spark.createDataFrame(THEMES, "theme string, keyword string"))
-    return answer_batch(asked, _spaced(spark, sf), corpus, templates, WEIGHTS, names=names, terms=terms)
+    return answer_batch(asked, _spaced(spark, sf), corpus, templates, WEIGHTS, names=names, terms=terms, **how)
 
 
 def answers(spark, sf):
-    a = _answers(spark, sf)
-    return a.select("question_id", "answer_type", "rule", "intent", "template", F.md5("answer").alias("answer_md5"), F.array_join("chunks", ",").alias("chunks"))
+    a = _answers(spark, sf, form=F.md5)
+    return a.select("question_id", "answer_type", "rule", "intent", "template", F.col("answer").alias("answer_md5"), F.array_join("chunks", ",").alias("chunks"))
 
 
 def answer_types(spark, sf):

@@ -1,4 +1,7 @@
+import hashlib
+
 import pytest
+from pyspark.sql import functions as F
 
 from lexloom.operators import facts as X
 from lexloom.operators.filters import flatten
@@ -111,6 +114,24 @@ def test_long_answers_of_rules_are_not_written(spark, monkeypatch):
     assert written and not any("answer" in columns for columns in written)
 
 
+def test_a_shared_answer_takes_its_form_once(spark):
+    """A year's names are built and digested for each year, not for each of its questions."""
+    built = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def digest(answer):
+        built.add(1)
+        return hashlib.md5(answer.encode()).hexdigest()
+
+    asked = materialize(spark.createDataFrame([(i, f"Who won the prize in {1990 + i % 4}?") for i in range(40)], "question_id long, question string"))
+    matched, facts = X.matched_questions(asked), materialize(_people(spark))
+    rules = [r for r in X.RULES if r.name == "winner_in_year"]
+    got = {r["question_id"]: r["answer"] for r in X.answer_matched(matched, facts, rules=rules, form=digest).collect()}
+    whole = {r["question_id"]: r["answer"] for r in X.answer_matched(matched, facts, rules=rules).collect()}
+    assert len(got) == 40 and got == {i: hashlib.md5(a.encode()).hexdigest() for i, a in whole.items()}
+    assert built.value == 4
+
+
 def test_rules_look_names_up_together(spark, monkeypatch):
     """One lookup for all rules that go by a name, so that the plan of the answers doesn't grow with these rules."""
     calls, look = [], X._by_name
