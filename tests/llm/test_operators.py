@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tables import SMALL
-from lexloom.llm import bpe, chat, exact_dedup, langid, mixing, quality_model, quality_rules, registry, simhash, suffix_dedup, warc
+from lexloom.llm import bpe, chat, common, exact_dedup, langid, mixing, quality_model, quality_rules, registry, simhash, suffix_dedup, warc
 from lexloom.llm.components import components
 
 
@@ -120,6 +121,13 @@ def test_suffix_dedup(spark, awkward, monkeypatch):
         suffix_dedup.remove_repeats(df.select(F.col("doc_id").cast("string"), "text"))
 
 
+def test_passages_leave_one_table_behind(spark, awkward, tmp_path, monkeypatch):
+    """The tables of the steps are deleted before the texts are shuffled."""
+    monkeypatch.setattr(common, "scratch_dir", lambda spark: f"{tmp_path}/{uuid.uuid4().hex}")
+    rows = suffix_dedup.remove_repeats(awkward)
+    assert rows.count() == awkward.count() and len(list(tmp_path.iterdir())) == 1
+
+
 # 4
 
 
