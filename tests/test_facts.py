@@ -132,6 +132,12 @@ def test_a_shared_answer_takes_its_form_once(spark):
     assert built.value == 4
 
 
+def test_counting_answers_retrieves_nothing(spark, monkeypatch):
+    """Counts by type are those of the whole answers, without a retrieval."""
+    monkeypatch.setattr(answer_plans.R, "top_k", lambda *a, **b: pytest.fail("retrieved"))
+    assert {r["answer_type"] for r in answer_plans.answer_types(spark, SMALL).collect()} == {"facts", "invalid", "prompt"}
+
+
 def test_rules_look_names_up_together(spark, monkeypatch):
     """One lookup for all rules that go by a name, so that the plan of the answers doesn't grow with these rules."""
     calls, look = [], X._by_name
