@@ -1,5 +1,6 @@
 import hashlib
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +8,7 @@ from lexloom.operators import facts as X
 from lexloom.operators.filters import flatten
 from lexloom.operators.merge import upsert
 from lexloom.plans import answers as answer_plans
+from lexloom.plans import facts as facts_plans
 from lexloom.session import materialize
 from tables import SMALL
 
@@ -132,6 +134,14 @@ def test_a_shared_answer_takes_its_form_once(spark):
     assert built.value == 4
 
 
+def test_long_answers_are_not_held_by_the_hundred(spark, tmp_path):
+    """Fifty rows of a megabyte each don't wait for one another in a task that writes them."""
+    facts_plans.facts_answers(spark, SMALL)
+    rows = spark.range(50).coalesce(1).select(F.expr("concat(id, repeat(cast(rand() as string), 60000))").alias("answer"))
+    rows.write.option("parquet.block.size", 4 << 20).option("compression", "none").parquet(f"{tmp_path}/out")
+    assert sum(pq.ParquetFile(f).num_row_groups for f in tmp_path.glob("out/*.parquet")) > 5
+
+
 def test_counting_answers_retrieves_nothing(spark, monkeypatch):
     """Counts by type are those of the whole answers, without a retrieval."""
     monkeypatch.setattr(answer_plans.R, "top_k", lambda *a, **b: pytest.fail("retrieved"))
